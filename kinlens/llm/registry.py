@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, packing
 from .common import table
 
 
@@ -19,8 +19,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.packed_matrices(table(spark, sf_dir, "documents"))
+    return rows.select("sequence_id", "n_tokens", "doc_ids", "pieces", "cu_seqlens", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
+
+
+def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.certified_packing(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op10_bpe": op10_bpe}
+    return {"op4_token_matrices": op4_token_matrices, "op5_best_fit": op5_best_fit, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
