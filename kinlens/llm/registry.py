@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, chat, lines, packing
 from .common import table
 
 
@@ -28,9 +28,18 @@ def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.certified_packing(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.dedup(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "line_counts.*", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations")).withColumn("mask", chat.mask_text(F.col("mask")))
+
+
 def queries() -> dict:
-    return {"op4_token_matrices": op4_token_matrices, "op5_best_fit": op5_best_fit, "op10_bpe": op10_bpe}
+    return {"op4_token_matrices": op4_token_matrices, "op5_best_fit": op5_best_fit, "op6_line_dedup": op6_line_dedup, "op9_perspectives": op9_perspectives, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": lines.SQL, "op9_perspectives": chat.SQL}
