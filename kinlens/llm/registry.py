@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, packing
+from . import bpe, chat, lines, packing, secrets
 from .common import table
 
 
@@ -33,12 +33,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "line_counts.*", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), "base_sha256", spans.alias("spans"))
+
+
 def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations")).withColumn("mask", chat.mask_text(F.col("mask")))
 
 
 def queries() -> dict:
-    return {"op4_token_matrices": op4_token_matrices, "op5_best_fit": op5_best_fit, "op6_line_dedup": op6_line_dedup, "op9_perspectives": op9_perspectives, "op10_bpe": op10_bpe}
+    return {"op4_token_matrices": op4_token_matrices, "op5_best_fit": op5_best_fit, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op9_perspectives": op9_perspectives, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
