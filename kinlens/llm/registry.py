@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, packing, secrets
+from . import bpe, chat, lines, packing, quality, secrets
 from .common import table
 
 
@@ -19,6 +19,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    found = quality.scored(docs, quality.fit(docs, labels)).withColumnRenamed("quality_score", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.packed_matrices(table(spark, sf_dir, "documents"))
     return rows.select("sequence_id", "n_tokens", "doc_ids", "pieces", "cu_seqlens", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
@@ -45,7 +53,7 @@ def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_token_matrices": op4_token_matrices, "op5_best_fit": op5_best_fit, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op9_perspectives": op9_perspectives, "op10_bpe": op10_bpe}
+    return {"op1_quality": op1_quality, "op4_token_matrices": op4_token_matrices, "op5_best_fit": op5_best_fit, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op9_perspectives": op9_perspectives, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
