@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, packing, quality, secrets
+from . import bpe, chat, lines, neardup, packing, quality, secrets
 from .common import table
 
 
@@ -48,12 +48,16 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), "base_sha256", spans.alias("spans"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations")).withColumn("mask", chat.mask_text(F.col("mask")))
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op4_token_matrices": op4_token_matrices, "op5_best_fit": op5_best_fit, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op9_perspectives": op9_perspectives, "op10_bpe": op10_bpe}
+    return {"op1_quality": op1_quality, "op4_token_matrices": op4_token_matrices, "op5_best_fit": op5_best_fit, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op8_near_duplicates": op8_near_duplicates, "op9_perspectives": op9_perspectives, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
