@@ -26,8 +26,8 @@ from .common import map_batches
 
 #: The pre-token pattern of this vocabulary's byte-level splitter.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of the memo of a worker; it starts anew when full.
-MEMO = 400_000
+#: Entries of the memo of a worker; when full, it keeps the short pre-tokens, which most of a text consists of.
+MEMO, SHORT = 700_000, 7
 
 _SPLIT = regex.compile(PATTERN)
 _BEYOND_LATIN = re.compile("[԰-\U0010ffff]")
@@ -53,6 +53,12 @@ def pretokens(text: str) -> list[str]:
     return _SPLIT.findall(text)
 
 
+def trimmed(memo: dict) -> dict:
+    """The short pre-tokens of a full memo, or an empty one if those alone fill half of it."""
+    short = {w: x for w, x in memo.items() if isinstance(w, int) or len(w) <= SHORT}
+    return short if len(short) <= MEMO // 2 else {}
+
+
 class Vocabulary:
     """Merge ranks, byte symbols and token bytes of a byte-level BPE tokenizer file (its JSON text)."""
 
@@ -67,9 +73,9 @@ class Vocabulary:
             self.token_bytes[i] = bytes(letters[c] for c in token)
         for token, i in self.specials.items():
             self.token_bytes[i] = token.encode()
-        self.byte_id = [0] * 256
+        self.byte_ids = np.zeros(256, np.int64)
         for letter, b in letters.items():
-            self.byte_id[b] = ids[letter]
+            self.byte_ids[b] = ids[letter]
         self.width = size
         self.merges: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -80,50 +86,57 @@ class Vocabulary:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each pre-token, by one pair occurrence index over all of them."""
-        symbols: list[int] = []
-        spans = []
-        for w in words:
-            start = len(symbols)
-            symbols.extend(map(self.byte_id.__getitem__, w.encode()))
-            spans.append((start, len(symbols)))
-            symbols.append(-1)  # a wall between words
-        n, size, merges = len(symbols), self.width, self.merges
+        raw = [w.encode() for w in words]
+        bounds = np.cumsum([0, *(len(r) + 1 for r in raw)])
+        codes = np.frombuffer(b"\0".join([*raw, b""]), np.uint8).astype(np.int64)
+        start = self.byte_ids[codes]
+        start[bounds[1:] - 1] = -1  # a wall between words
+        n, size, merges = len(start), self.width, self.merges
+        index = self._first_index(start)
+        active = [(merges[pair][0], pair) for pair in index]
+        heapq.heapify(active)
+        symbols = start.tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        active: list[tuple[int, int]] = []
-
-        def note(at: int, a: int, b: int) -> None:
-            pair = a * size + b
-            found = index.get(pair)
-            if found is not None:
-                found.append(at)
-            elif pair in merges:
-                index[pair] = [at]
-                heapq.heappush(active, (merges[pair][0], pair))
-
-        for i in range(n - 1):
-            if symbols[i] >= 0 and symbols[i + 1] >= 0:
-                note(i, symbols[i], symbols[i + 1])
         while active:
             _, pair = heapq.heappop(active)
             a, b = divmod(pair, size)
             made = merges[pair][1]
-            for i in sorted(index.pop(pair)):
+            found = index.pop(pair)
+            found.sort()
+            for i in found:
                 j = after[i]
-                if symbols[i] != a or j >= n or symbols[j] != b:
+                if symbols[i] != a or symbols[j] != b:
                     continue  # a merge to the left took one of the two
-                k = after[j]
+                k = after[j]  # there is a wall at least
                 symbols[i], symbols[j] = made, -2
-                after[i] = k
-                if k < n:
-                    before[k] = i
-                    if symbols[k] >= 0:
-                        note(i, made, symbols[k])
+                after[i], before[k] = k, i
+                if symbols[k] >= 0 and (new := made * size + symbols[k]) in merges:
+                    if new in index:
+                        index[new].append(i)
+                    else:
+                        index[new] = [i]
+                        heapq.heappush(active, (merges[new][0], new))
                 h = before[i]
-                if h >= 0 and symbols[h] >= 0:
-                    note(h, symbols[h], made)
+                if h >= 0 and symbols[h] >= 0 and (new := symbols[h] * size + made) in merges:
+                    if new in index:
+                        index[new].append(h)
+                    else:
+                        index[new] = [h]
+                        heapq.heappush(active, (merges[new][0], new))
         flat = np.array(symbols, np.int64)
-        return [(part := flat[s:e])[part >= 0].astype("<u4").tobytes() for s, e in spans]
+        alive = flat >= 0
+        ends = np.concatenate([[0], np.cumsum(alive)])[bounds]
+        ids = flat[alive].astype("<u4").tobytes()
+        return [ids[4 * s : 4 * e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def _first_index(self, symbols: np.ndarray) -> dict[int, list[int]]:
+        """Positions of every adjacent pair of bytes that has a rank."""
+        at = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0))
+        pairs = symbols[at] * self.width + symbols[at + 1]
+        order = np.argsort(pairs, kind="stable")
+        at, pairs = at[order], pairs[order]
+        firsts = np.flatnonzero(np.diff(pairs, prepend=-1)).tolist()
+        return {pair: at[s:e].tolist() for s, e in zip(firsts, [*firsts[1:], len(at)]) if (pair := int(pairs[s])) in self.merges}
 
     def segments(self, text: str) -> list[str | int]:
         """Pre-tokens and, for the vocabulary's special strings, their ids."""
@@ -142,8 +155,8 @@ class Vocabulary:
         cut = [self.segments(t) if t else [] for t in texts]
         fresh = set().union(*cut) - self.memo.keys()
         if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
-            fresh = set().union(*cut)
+            self.memo = trimmed(self.memo)
+            fresh = set().union(*cut) - self.memo.keys()
         words = [w for w in fresh if isinstance(w, str)]
         self.memo.update(zip(words, self.encode_words(words)))
         self.memo.update((i, np.array([i], "<u4").tobytes()) for i in fresh if not isinstance(i, str))
