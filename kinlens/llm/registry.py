@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lines, neardup, packing, quality, secrets
-from .common import table
+from . import bpe, chat, chroma, lines, neardup, neighbours, packing, quality, secrets
+from .common import table, written
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,19 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-second excerpts of every fiftieth recording, found again among all recordings of ``embeddings`` as audio."""
+    vectors = table(spark, sf_dir, "embeddings")
+    recordings = written(chroma.fingerprints(chroma.rendered(vectors)), "prints")
+    excerpts = chroma.fingerprints(chroma.rendered(vectors.where("vec_id % 50 = 0"), 1.01, 3.01))
+    return chroma.alignments(recordings, excerpts)
+
+
+def op3_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = written(neighbours.usable(table(spark, sf_dir, "embeddings")), "vectors")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op4_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.packed_matrices(table(spark, sf_dir, "documents"))
     return rows.select("sequence_id", "n_tokens", "doc_ids", "pieces", "cu_seqlens", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
@@ -57,7 +70,7 @@ def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op4_token_matrices": op4_token_matrices, "op5_best_fit": op5_best_fit, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op8_near_duplicates": op8_near_duplicates, "op9_perspectives": op9_perspectives, "op10_bpe": op10_bpe}
+    return {"op1_quality": op1_quality, "op2_chroma": op2_chroma, "op3_collision_counting": op3_collision_counting, "op4_token_matrices": op4_token_matrices, "op5_best_fit": op5_best_fit, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op8_near_duplicates": op8_near_duplicates, "op9_perspectives": op9_perspectives, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
