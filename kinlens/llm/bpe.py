@@ -27,9 +27,13 @@ from .common import map_batches
 #: The pre-token pattern of this vocabulary's byte-level splitter.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of the memo of a worker; when full, it keeps the short pre-tokens, which most of a text consists of.
-MEMO, SHORT = 700_000, 7
+MEMO, SHORT = 1_000_000, 8
 
 _SPLIT = regex.compile(PATTERN)
+#: The same for texts of Latin letters up to U+024F, with the classes written out: twice as fast, and the rule of such texts.
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+_LATIN_SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
+_NOT_LATIN = re.compile("[^\t-\r -ɏ]")
 _BEYOND_LATIN = re.compile("[԰-\U0010ffff]")
 
 
@@ -42,6 +46,8 @@ def byte_letters() -> dict[str, int]:
 
 def pretokens(text: str) -> list[str]:
     """The text cut into pre-tokens; characters that this Unicode version has not assigned are neither letters nor numbers."""
+    if not _NOT_LATIN.search(text):
+        return _LATIN_SPLIT.findall(text)
     if _BEYOND_LATIN.search(text):
         new = {ord(c): "͸" for c in set(text) if c >= "԰" and unicodedata.category(c) == "Cn"}
         if new:
