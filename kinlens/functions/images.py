@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Markers, labels, phrases, templates and limits that decide results.
 SCREENSHOT_MARKERS = ("screenshot", "screen shot", "screen-shot", "scrnshot", "screen recording", "screen_recording", "cleanshot")
@@ -38,7 +39,7 @@ def dhash_bits(gray: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def dhash(pixels: pd.Series) -> pd.Series:
     """Difference hash of 72 gray bytes; null for anything else."""
     return pixels.map(lambda p: dhash_bits(np.frombuffer(p, np.uint8)) if p is not None and len(p) == 72 else None).astype("Int64")

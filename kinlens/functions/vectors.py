@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A fixed value: norms up to this count as zero.
 ZERO_NORM = 1e-12
@@ -44,13 +45,13 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.lit(1.0) - cosine_similarity(a, b)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_blob(vectors: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_blob(blobs: pd.Series) -> pd.Series:
     """The vector of a blob; empty where its size is no positive multiple of four."""
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4") if len(b) >= 4 and len(b) % 4 == 0 else np.empty(0, np.float32))
