@@ -261,6 +261,7 @@ def centroid_merged(faces: DataFrame, groups: DataFrame, constraints: DataFrame
         a = groups.select(F.col("id").alias("face_a"), F.col("grp").alias("grp_a"), *keys)
         b = groups.select(F.col("id").alias("face_b"), F.col("grp").alias("grp_b"))
         links = constraints.where("kind = 'cannotLink'").select("face_a", "face_b").join(a, "face_a").join(b, "face_b").select(*keys, "grp_a", "grp_b").distinct()
+        links = written(links, "group-links")
         none = pd.DataFrame({"old": [], "grp": []})
         moved = sums.groupBy(*keys).cogroup(links.groupBy(*keys)).applyInPandas(lambda p, q: merge(p, q) if len(p) else none, schema)
     return groups.select("id", "kind", F.col("grp").alias("old")).join(moved, "old").select("id", "kind", "grp")
