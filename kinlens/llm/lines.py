@@ -9,7 +9,7 @@ run of the next level, so a batch meets a logarithmic number of runs.
 Defined results: a null or empty text is one empty line; a null document id orders below all others and its
 lines count as one document's; rows that repeat a document id are one document for counting and are each cleaned;
 line keys under ``least_chars`` code points are never dropped; an empty table gives no rows; extra columns
-of the input, whatever their names, pass through ``dedup``.
+of the input, whatever their names, pass through ``dedup``, but for those with its own names.
 """
 
 from __future__ import annotations
@@ -118,17 +118,18 @@ def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEA
     # a repeated key can be on a third of all lines; the join deals such a key out in pieces
     dropped = lines.join(repeated, "key").where(F.col("id") < F.col("keeper")).groupBy("id", "version").agg(F.collect_set("at").alias("drop"))
     dropped = dropped.select(F.struct("id", "version").alias("which"), "drop")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("kept_text", "line_counts")]).alias("doc"))
     whole = whole.withColumn("which", F.struct(F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("doc.text").alias("version")))
     found = whole.join(dropped, "which", "left").withColumn("lines", split_lines(F.col("doc.text")))
     n = F.size("lines")
     # array_except hashes, so long documents with many repeated lines stay linear
     kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("drop")), lambda i: F.col("lines")[i])
-    return found.select(
-        "doc.*",
-        F.when(F.col("drop").isNull(), F.coalesce("doc.text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
-        F.struct(n.cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped")).alias("line_counts"),
+    made = found.select(
+        "doc",
+        F.when(F.col("drop").isNull(), F.coalesce("doc.text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("_text"),
+        F.struct(n.cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped")).alias("_counts"),
     )
+    return made.select("doc.*", F.col("_text").alias("kept_text"), F.col("_counts").alias("line_counts"))
 
 
 #: DuckDB SQL of op6's rows.
