@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows of a batch that are Python objects at once.
+ROWS = 512
+
 _shipped: set[str] = set()
 _own_folder: dict[str, str] = {}
 
@@ -80,7 +83,8 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterato
     target = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in batches if b.num_rows)
+        parts = (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
+        rows = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in parts)
         for out in fn(rows):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 

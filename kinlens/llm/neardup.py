@@ -2,14 +2,15 @@
 
 A document's set is the distinct 5-word shingles of its lower-cased text, as 64-bit hashes. One hash a shingle
 fills 256 registers: the top bits choose the register, the rest its value, of which the leading-zero count of the
-register's least hash and ten mantissa bits are kept. Bands of six registers are the candidate keys: at the
+register's least hash and ten mantissa bits are kept. Empty registers borrow
+from filled ones, and bands of six registers are the candidate keys: at the
 similarity of 0.85 a pair misses all 42 bands with probability 2e-9. Candidates whose collision-corrected estimate
 lies six standard deviations under the threshold are dropped; the rest are confirmed on the full sets.
 
 Equal sets are one class from the start, so copies never meet each other. Of a band key's classes each is
 first held against the smallest one; what is linked then counts as one component, and only classes of different
-components that share a key are compared further. Keys with very many such classes are refined by a second band that
-both must share before any pair is made, which a pair at the threshold does with all but certainty.
+components that share a key are compared further, on their registers and where they lie, in blocks; those with a rival that the
+estimate leaves come again with their full sets.
 
 Defined results: a null, empty or blank text has the empty set and is linked with nothing; a text of fewer than five
 words is one shingle; repeated rows of a document are one document in the components and each keep their row; null
@@ -33,8 +34,10 @@ REGISTERS = 256
 MANTISSA = 10
 BAND = 6
 BANDS = REGISTERS // BAND
-#: Keys that still have more classes than this after the first round are refined by a second band.
-REFINE = 48
+#: Classes of one key that are held against each other in one place.
+BLOCK = 512
+#: Bits of the filter that keeps texts out of a shuffle: 4 MB.
+FILTER_BITS = 1 << 25
 #: Standard deviations of slack of the estimate.
 SLACK = 6.0
 
@@ -77,7 +80,7 @@ def estimate(r: np.ndarray, q: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return np.clip((same - c) / (1 - c), 0, 1), filled
 
 
-def sketches(docs: DataFrame, percent_columns: bool = False) -> DataFrame:
+def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n, twin, regs): set size, a 128-bit sum of the set (equal sets, equal sums), and registers (binary)."""
 
     def run(batches):
@@ -90,12 +93,37 @@ def sketches(docs: DataFrame, percent_columns: bool = False) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, twin binary, regs binary")
 
 
+_ORDERS = mix64(np.arange(REGISTERS * REGISTERS, dtype=np.uint64)).reshape(REGISTERS, REGISTERS)
+_PLACES = mix64(np.arange(1, BAND + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def densified(regs: np.ndarray) -> np.ndarray:
+    """Rows of registers without empty ones: an empty register takes the value of the filled one that comes first in its own
+    random order, so that each agrees with another set's as often as the sets are similar, however small they are."""
+    out = regs.copy()
+    for k in np.flatnonzero((regs == 0).any(1) & (regs > 0).any(1)).tolist():
+        filled = np.flatnonzero(regs[k])
+        empty = np.flatnonzero(regs[k] == 0)
+        out[k, empty] = regs[k, filled[np.argmin(_ORDERS[empty][:, filled], 1)]]
+    return out
+
+
+def keys_of(regs: np.ndarray) -> np.ndarray:
+    """Keys of every band (rows, BANDS) of rows of registers."""
+    parts = densified(regs)[:, : BANDS * BAND].reshape(-1, BANDS, BAND).astype(np.uint64)
+    return mix64((parts * _PLACES).sum(2, dtype=np.uint64) + mix64(np.arange(BANDS, dtype=np.uint64) + np.uint64(977))).view(np.int64)
+
+
 def band_keys(classes: DataFrame) -> DataFrame:
-    """(key, id, n) for each band of a class that has a filled register."""
-    width = 2 * BAND
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.substring("regs", 1 + k * width, width).alias("part")) for k in range(BANDS)])
-    rows = classes.select("id", "n", F.explode(bands).alias("b")).where(F.col("b.part") != F.lit(bytes(width)))
-    return rows.select(F.xxhash64("b.band", "b.part").alias("key"), "id", "n")
+    """(key, band, id, n) for each band of a class."""
+
+    def run(batches):
+        for b in batches:
+            regs = np.frombuffer(b"".join(b["regs"]), "<u2").reshape(-1, REGISTERS)
+            yield {"id": b["id"], "n": b["n"], "keys": list(keys_of(regs))}
+
+    rows = map_batches(classes.select("id", "n", "regs"), run, "id long, n long, keys array<long>")
+    return rows.select("id", "n", F.posexplode("keys").alias("band", "key"))
 
 
 def _near_in_size(n, m):
@@ -105,8 +133,8 @@ def _near_in_size(n, m):
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) that the estimate does not rule out."""
-    r = classes.select("id", "n", "regs")
-    both = pairs.join(r.toDF("a", "n_a", "regs_a"), "a").join(r.toDF("b", "n_b", "regs_b"), "b")
+    r = written(among(classes.select("id", "n", "regs"), "id", pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "registers")
+    both = pairs.hint("merge").join(r.toDF("a", "n_a", "regs_a"), "a").hint("merge").join(r.toDF("b", "n_b", "regs_b"), "b")
 
     def run(batches):
         for x in batches:
@@ -120,27 +148,44 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(both, run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold; the texts come by id, and only those that a pair needs."""
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+def among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``rows`` whose ``column`` is in ``wanted`` (one column of that name, distinct).
 
-    def to_sets(batches):
+    A hashed bitmap of the wanted ids, of FILTER_BITS at most whatever their number, goes to every task and keeps most other
+    rows out of the shuffle; the join behind it decides.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    maps = wanted.select(at(column).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    byte = "cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_at) div 8 + 1 as int), 1)), 16, 10) as int)"
+    is_set = F.expr(f"(shiftright({byte}, cast(bitmap_bit_position(_at) % 8 as int)) & 1) = 1")
+    near = rows.withColumn("_at", at(column)).withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(maps), "_bucket").where(is_set)
+    return near.select(*rows.columns).hint("merge").join(wanted, column, "left_semi")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, shingles): the full sets of the wanted ids (doc_id), sorted 64-bit hashes in a binary column."""
+    texts = among(docs.select("doc_id", "text"), "doc_id", wanted).groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    def run(batches):
         for b in batches:
             for s in in_pieces(b["text"]):
-                yield {"doc_id": b["doc_id"][s], "shingles": [shingle_hashes((t or "").encode()).astype("<u8").tobytes() for t in b["text"][s]]}
+                yield {"id": b["doc_id"][s], "shingles": [shingle_hashes((t or "").encode()).astype("<u8").tobytes() for t in b["text"][s]]}
 
-    sets = written(map_batches(texts, to_sets, "doc_id long, shingles binary"), "sets")
-    both = pairs.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b")
+    return written(map_batches(texts, run, "id long, shingles binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the threshold."""
+    pairs = written(pairs, "pairs")
+    sets = sets_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    both = pairs.hint("merge").join(sets.toDF("a", "s_a"), "a").hint("merge").join(sets.toDF("b", "s_b"), "b")
 
     def run(batches):
         for x in batches:
             keep = []
             for p, q in zip(x["s_a"], x["s_b"]):
                 u, v = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-                shared = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * shared >= PERCENT * (len(u) + len(v) - shared))
+                keep.append(bool(linked(u, [v])[0]))
             yield {"a": [v for v, k in zip(x["a"], keep) if k], "b": [v for v, k in zip(x["b"], keep) if k]}
 
     out = written(map_batches(both, run, "a long, b long"), "links")
@@ -148,11 +193,20 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+def linked(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the sorted sets reach the threshold with ``own``."""
+    sizes = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    shared = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 100 * shared >= PERCENT * (len(own) + sizes - shared)
+
+
 def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, component) of the classes that are linked with another."""
     rows = band_keys(classes)
     counts = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1")
-    shared = written(rows.join(counts, "key").select("key", "id", "n", "head"), "shared")
+    shared = written(rows.join(counts, "key").select("key", "band", "id", "n", "head"), "shared")
 
     heads = classes.select(F.col("id").alias("head"), F.col("n").alias("n_head"))
     stars = shared.where("id <> head").select("id", "n", "head").distinct().join(heads, "head").where(_near_in_size(F.col("n"), F.col("n_head")))
@@ -160,25 +214,111 @@ def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     links = confirmed(estimated(tried, classes), docs)
     found = components(links)
 
-    # what shares a key across components and was not tried yet
-    where = shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = where.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    left = written(where.join(mixed, "key").select("key", "id", "n", "component", "size"), "left")
-    plain = left.where(F.col("size") <= REFINE).select("key", "id", "n", "component")
-    hot = left.where(F.col("size") > REFINE).select("key", "id", "n", "component")
-    second = rows.select(F.col("key").alias("key2"), "id")
-    refined = hot.join(second, "id").where("key <> key2").select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "id", "n", "component").distinct()
-    members = plain.union(refined)
-    other = members.toDF("key", "id2", "n2", "component2")
-    pairs = members.join(other, "key").where((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & _near_in_size(F.col("n"), F.col("n2")))
-    pairs = pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = confirmed(estimated(pairs, classes), docs)
+    # what shares a key across components
+    where = shared.hint("merge").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("head")
+    mixed = where.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "size")
+    left = written(where.hint("merge").join(mixed, "key"), "mixed")
+    regs = written(among(classes.select("id", "regs"), "id", left.select("id").distinct()), "registers")
+    close = written(in_groups(in_blocks(left.hint("merge").join(regs, "id")), close_members, PLACE), "close")
+    sets = sets_of(docs, close.select(F.col("id").alias("doc_id")).distinct())
+    more = written(in_groups(close.hint("merge").join(regs.hint("merge").join(sets, "id"), "id"), links_of, "a long, b long").distinct(), "links")
     if not more.isEmpty():
         found = components(links.union(more))
-    discard(shared, tried, left, links, more)
+    discard(shared, tried, links, left, regs, close, sets, more)
     return found
 
 
+#: A class in a group: a key's pair of blocks, and which of the two it is from.
+PLACE = "key long, i int, j int, side int, band int, id long, n long, component long"
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Classes (key, band, id, n, component, size of the key, regs) in their groups: a key of more than BLOCK classes is dealt into
+    blocks, each pair of which is a group of its own, so a group is two blocks at most."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    names = ["key", "i", "j", "side", "band", "id", "n", "component", "regs"]
+    low = rows.withColumn("other", F.explode(F.sequence("at", F.col("blocks") - 1))).withColumns({"i": F.col("at"), "j": F.col("other"), "side": F.lit(0)}).select(*names)
+    high = rows.where("at > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("at") - 1))).withColumns({"i": F.col("other"), "j": F.col("at"), "side": F.lit(1)}).select(*names)
+    return low.unionByName(high)
+
+
+def in_groups(rows: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` of every group (key, i, j) of rows, which come to it together."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id")
+
+    def run(batches):
+        group: dict[str, list] = {}
+        for x in batches:
+            marks = list(zip(x["key"], x["i"], x["j"]))
+            start = 0
+            while start < len(marks):
+                end = start + 1
+                while end < len(marks) and marks[end] == marks[start]:
+                    end += 1
+                if group and (group["key"][0], group["i"][0], group["j"][0]) != marks[start]:
+                    yield fn(group)
+                    group = {}
+                for name in x:
+                    group.setdefault(name, []).extend(x[name][start:end])
+                start = end
+        if group:
+            yield fn(group)
+
+    return map_batches(dealt, run, schema)
+
+
+def rivals(group: dict[str, list]):
+    """For the classes of a group outside its largest component: (class, those of other components that the estimate does not rule out).
+
+    A pair comes at the first band that it shares, once: with all of the largest component, and with those after it of the others. What
+    the receiver writes into ``component`` counts from then on.
+    """
+    ids, n = np.array(group["id"]), np.array(group["n"])
+    component = np.unique(group["component"], return_inverse=True)[1]
+    if component.max() == 0:
+        return
+    side, band = np.array(group["side"]), group["band"][0]
+    regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(-1, REGISTERS)
+    keys = keys_of(regs)[:, :band]
+    within = group["i"][0] == group["j"][0]
+    big = component == np.argmax(np.bincount(component))
+    t = PERCENT / 100
+    for k in np.flatnonzero(~big).tolist():
+        other = (component != component[k]) & (big | (np.arange(len(ids)) > k)) & (np.minimum(n, n[k]) * 100 >= np.maximum(n, n[k]) * PERCENT)
+        if not within:
+            other &= side != side[k]
+        at = np.flatnonzero(other)
+        at = at[~(keys[at] == keys[k]).any(1)]  # else an earlier band has the pair
+        if len(at):
+            j, filled = estimate(regs[at], np.broadcast_to(regs[k], (len(at), REGISTERS)), n[at], np.full(len(at), n[k]))
+            at = at[j >= t - SLACK * np.sqrt(t * (1 - t) / np.maximum(filled, 1))]
+            if len(at):
+                yield k, at, component
+
+
+def close_members(group: dict[str, list]) -> dict[str, list]:
+    """The classes of a group that have a rival in it, and so are to come again with their full sets."""
+    close = np.zeros(len(group["id"]), bool)
+    for k, at, _ in rivals(group):
+        close[k] = close[at] = True
+    return {name: [v for v, c in zip(group[name], close) if c] for name in ("key", "i", "j", "side", "band", "id", "n", "component")}
+
+
+def links_of(group: dict[str, list]) -> dict[str, list]:
+    """Links (a, b) of a group, as many as connect what all its links connect."""
+    ids, sets, out = group["id"], [np.frombuffer(s, "<u8") for s in group["shingles"]], {"a": [], "b": []}
+    for k, at, component in rivals(group):
+        at = at[linked(sets[k], [sets[x] for x in at.tolist()])]
+        for c in np.unique(component[at]).tolist():
+            x = int(at[np.argmax(component[at] == c)])
+            out["a"].append(min(ids[k], ids[x]))
+            out["b"].append(max(ids[k], ids[x]))
+        component[np.isin(component, component[at])] = component[k]
+    return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -188,6 +328,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = linked_classes(classes, docs)
     named = classes.select("twin", "n", "id").join(found, "id", "left").select("twin", "n", F.coalesce("component", "id").alias("component"))
     # copies can be a third of all rows and share one class; the join deals such a class out in pieces
-    out = sketch.drop("regs").join(named, ["twin", "n"], "left")
+    out = sketch.drop("regs").hint("merge").join(named, ["twin", "n"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
