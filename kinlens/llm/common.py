@@ -1,12 +1,8 @@
-"""What the operators of this subpackage share: tables, the shared folder, Arrow batches, word hashes."""
+"""What the operators of this subpackage share: tables, Arrow batches, word hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import discard, ship, written
+
+__all__ = ["BLANKS", "discard", "lower_ascii", "map_batches", "mix64", "shingle_hashes", "ship", "table", "word_hashes", "written"]
+
 #: ``[\x20\x09-\x0D]``, the white space of every contract here.
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,59 +21,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of a batch that are Python objects at once.
 ROWS = 512
 
-_shipped: set[str] = set()
-_own_folder: dict[str, str] = {}
-
-
-def ship(spark: SparkSession) -> None:
-    """Give executors this package through Spark's own file server, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="kinlens-")) / "kinlens_package.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``), or one of our own where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="kinlens-shared-")
-    return _own_folder[app]
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage of ``df`` with a Parquet table in the shared folder, which survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/kinlens/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._kinlens_path = path
-    return out
-
-
-def discard(*frames: DataFrame | None) -> None:
-    """Delete tables made by :func:`written` that no later plan reads."""
-    for df in frames:
-        path = getattr(df, "_kinlens_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with plain lists: ``fn`` gets an iterator of {column: values} and yields the same."""
     ship(df.sparkSession)

@@ -23,9 +23,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .bpe import in_pieces
 from .common import discard, map_batches, mix64, shingle_hashes, written
-from .components import components
 
 SHINGLE = 5
 #: 100 * intersection >= PERCENT * union.

@@ -1,0 +1,349 @@
+"""Packing, near-duplicates, neighbours, chroma and the pipeline against brute force."""
+
+import io
+import re
+import wave
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from kinlens.llm import chroma, neardup, neighbours, packing, registry
+from kinlens.llm.common import shingle_hashes, word_hashes
+
+DOCS = "doc_id long, text string"
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+# --- packing
+
+
+@given(st.lists(st.integers(1, 24), min_size=1, max_size=9))
+@settings(deadline=None, max_examples=150)
+def test_bound_is_under_the_optimum(lengths):
+    lengths = np.array(lengths)
+
+    def optimum(rest, bins):
+        if not rest:
+            return len(bins)
+        best, seen = 99, set()
+        for k, b in enumerate(bins):
+            if b >= rest[0] and b not in seen:
+                seen.add(b)
+                best = min(best, optimum(rest[1:], bins[:k] + [b - rest[0]] + bins[k + 1 :]))
+        return min(best, optimum(rest[1:], bins + [24 - rest[0]])) if len(bins) < best else best
+
+    exact = optimum(sorted(lengths.tolist(), reverse=True), [])
+    bins, offsets, made = packing.best_fit_decreasing(lengths, 24)
+    assert packing.lower_bound(np.bincount(lengths, minlength=25), 24) <= exact <= made
+    assert np.bincount(bins, lengths).max() <= 24
+
+
+@given(st.lists(st.integers(1, 32), min_size=1, max_size=60))
+@settings(deadline=None, max_examples=100)
+def test_tree_is_best_fit(lengths):
+    got = packing.best_fit_decreasing(np.array(lengths), 32)[2]
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else 32) - n)
+    assert got == len(rooms)
+
+
+def check_packed(rows, docs):
+    by, seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append(r)
+        seq[r["sequence_id"]].append(r)
+    for doc_id, text in docs:
+        ids = TOKENIZER.encode(text or "", add_special_tokens=False).ids + [2]
+        at = 0
+        for k, p in enumerate(sorted(by[doc_id], key=lambda r: r["piece"])):
+            assert (p["piece"], p["start"]) == (k, at) and p["length"] <= 1024
+            assert p["length"] == 1024 or k == 0
+            at += p["length"]
+            assert p["ids_crc32"] == zlib.crc32(np.array(ids[p["start"] : at], "<u4").tobytes())
+        assert at == len(ids)
+    for rows_ in seq.values():
+        at = 0
+        for r in sorted(rows_, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 1024
+    return len(seq)
+
+
+def test_certified_packing(spark, small, monkeypatch):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    rows = registry.op5_best_fit(spark, small).collect()
+    n = check_packed(rows, docs)
+    least = packing.lower_bound(np.bincount([r["length"] for r in rows], minlength=1025), 1024)
+    assert least <= n <= least * 1.02 + 1
+    monkeypatch.setattr(packing, "PARTITION_PIECES", 25)
+    again = registry.op5_best_fit(spark, small)
+    assert check_packed(again.collect(), docs) <= n + 6
+    report = packing.packing_report(again).first()
+    assert report["least_sequences"] == least and report["sequences"] >= least
+
+
+def test_packing_edges(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "<|endoftext|> x"), (4, "word " * 9000)], DOCS)
+    check_packed(packing.certified_packing(df).collect(), [(1, None), (2, ""), (3, "<|endoftext|> x"), (4, "word " * 9000)])
+    twice = packing.certified_packing(spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], DOCS)).collect()
+    assert len(twice) == 3 and len({(r["sequence_id"], r["offset"]) for r in twice}) == 3
+    assert packing.certified_packing(spark.createDataFrame([], DOCS)).count() == 0
+    assert packing.packed_matrices(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_matrices_hold_every_id(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = defaultdict(dict)
+    for r in packing.packed_matrices(docs, pieces=64, pad_id=9).collect():
+        ids, positions = np.frombuffer(r["input_ids"], "<u4"), np.frombuffer(r["position_ids"], "<u4")
+        assert len(ids) == len(positions) == 1024 and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_tokens"]
+        assert (ids[r["n_tokens"] :] == 9).all() and not positions[r["n_tokens"] :].any()
+        for doc, piece, s, e in zip(r["doc_ids"], r["pieces"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+            assert (positions[s:e] == np.arange(e - s)).all()
+            found[doc][piece] = ids[s:e].tolist()
+    for doc, text in texts.items():
+        ids = [x for k in sorted(found[doc]) for x in found[doc][k]]
+        assert ids == TOKENIZER.encode(text, add_special_tokens=False).ids + [2]
+
+
+def test_word_ids_without_ranks():
+    from kinlens.llm.bpe import tokenizer_source
+
+    w = packing.WordIds(tokenizer_source())
+    fast = w.encode(["some words, and Ünique ones"])
+    w.clear()
+    w.ranked = None
+    assert w.encode(["some words, and Ünique ones"]) == fast
+
+
+# --- near-duplicates
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_components(docs):
+    sets = {}
+    for i, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    holders, shared = defaultdict(list), defaultdict(int)
+    for i in sorted(sets):
+        for s in sets[i]:
+            for j in holders[s]:
+                shared[j, i] += 1
+            holders[s].append(i)
+    for (a, b), n in shared.items():
+        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+            a, b = top(a), top(b)
+            parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), top(i)) for i in sets}
+
+
+def found_components(df):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in df.collect()}
+
+
+def test_near_duplicates_are_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = registry.op8_near_duplicates(spark, folder)
+    assert found_components(got) == brute_components(docs)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.collect())
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_near_duplicate_families(spark, monkeypatch, block):
+    """Chains of edits: neighbours are linked and ends are not; texts that share a passage are not linked; blocks don't matter."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(4000)]
+    docs, k = [], 0
+    for _ in range(4):
+        base = list(rng.choice(words, 120))
+        for _ in range(12):
+            docs.append((k, " ".join(base)))
+            base[int(rng.integers(0, 120))] = "edited" + str(k)
+            k += 1
+    passage = " ".join(rng.choice(words, 60))
+    for _ in range(25):
+        docs.append((k, passage + " " + " ".join(rng.choice(words, int(rng.integers(5, 60))))))
+        k += 1
+    docs += [(k, "few words"), (k + 1, "few WORDS"), (k + 2, ""), (k + 3, None), (k + 4, " \t\n"), (k + 5, "one"), (k + 6, " ".join(words * 5))]
+    assert found_components(neardup.near_duplicates(spark.createDataFrame(docs, DOCS))) == brute_components(docs)
+
+
+def test_near_duplicate_edges(spark):
+    df = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (3, "A b  c"), (None, "a b c"), (None, None)], DOCS)
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
+    assert [g for g in got if g[0] > 0] == [(3, 1, 3, True), (5, 1, 3, False), (5, 1, 3, False)]
+    assert len(got) == 5
+    assert neardup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_registers_estimate_similarity():
+    rng = np.random.default_rng(0)
+    pool = rng.integers(0, 1 << 63, 6000).astype(np.uint64)
+    for share in (0.3, 0.6, 0.9):
+        n = 2000
+        both = int(2 * n * share / (1 + share))
+        a, b = pool[:n], pool[n - both : 2 * n - both]
+        j, _ = neardup.estimate(neardup.registers(a)[None], neardup.registers(b)[None], np.array([n]), np.array([n]))
+        assert abs(j[0] - share) < 0.12
+    small = [neardup.registers(pool[k : k + 3]) for k in (0, 3)]
+    assert (neardup.densified(np.stack(small)) > 0).all()
+    assert 0 < neardup.expected_collisions(np.array([500]), np.array([500]))[0] < 1e-3
+
+
+def test_word_hashes_are_words():
+    assert len(word_hashes("a  b\tÜ\n".encode())) == 3
+    assert word_hashes(b"x abc y")[1] == word_hashes(b"abc")[0]
+    assert len(shingle_hashes(b"a b c d e f")) == 2 and len(shingle_hashes(b"a b")) == 1 and not len(shingle_hashes(b" "))
+    assert shingle_hashes(b"ab c")[0] != shingle_hashes(b"a bc")[0]
+
+
+# --- neighbours
+
+
+def test_neighbours_recall(spark):
+    folder = "/root/testdata/sf0.01"
+    got = defaultdict(list)
+    for r in registry.op3_collision_counting(spark, folder).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"], r["rank"]))
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    hits = total = 0
+    for q in ids[ids % 100 == 0].tolist():
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        near = got[q]
+        assert [n[2] for n in near] == list(range(1, 11))
+        assert all(abs(d[ids == v][0] - s) < 1e-12 for v, s, _ in near)
+        hits += len({v for v, _, _ in near} & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+        total += 10
+    assert hits / total >= 0.9
+
+
+def test_neighbours_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (9, [3.0, 4.0]), (9, [3.0, 4.0]), (None, [1.0, 1.0]), (10, [])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, block int")
+    v = neighbours.usable(df)
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(v, v, k=2).orderBy("query_id", "rank").collect()]
+    far = float(np.sqrt(20.0))
+    assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (1, 1, 0, 0.0), (1, 2, 2, 0.0), (2, 1, 0, 0.0), (2, 2, 1, 0.0), (9, 1, 0, far), (9, 2, 1, far)]
+    none = v.limit(0)
+    assert neighbours.nearest(none, none).count() == 0
+
+
+# --- chroma
+
+
+def tone(seconds, seed):
+    rng = np.random.default_rng(seed)
+    t = np.arange(int(seconds * chroma.RATE)) / chroma.RATE
+    pitch = 110 * 2 ** (rng.integers(0, 30, int(seconds * 4) + 1) / 12)
+    return (np.sin(2 * np.pi * pitch[(t * 4).astype(int)] * t) * 12000).astype("<i2")
+
+
+def test_filters_are_area_sums():
+    image = np.random.default_rng(1).random((20, 12))
+    got = chroma.fingerprint(image)
+    assert len(got) == 5
+    k, (kind, c, h, w) = 1, chroma.FILTERS[1]
+    assert kind == 1
+    wrapped = np.concatenate([image, image], 1)[2 : 2 + w, c : c + h]
+    a, b = wrapped[:, : h // 2].mean(), wrapped[:, h // 2 :].mean()
+    value = np.log((chroma.LEAST_LEVEL + a) / (chroma.LEAST_LEVEL + b))
+    cell = int(value >= -chroma.STEP) + int(value >= 0) + int(value >= chroma.STEP)
+    assert (int(got[2]) >> (2 * (15 - k))) & 3 == cell ^ (cell >> 1)
+
+
+def test_excerpts_are_found(spark):
+    whole = {k: tone(8, k) for k in range(6)}
+    rows = spark.createDataFrame([(k, x.tobytes(), chroma.RATE) for k, x in whole.items()], "rec_id long, audio binary, rate int")
+    cut = spark.createDataFrame([(100 + k, (x[2 * chroma.RATE + 77 : 5 * chroma.RATE] // 2).tobytes(), chroma.RATE) for k, x in whole.items()], "rec_id long, audio binary, rate int")
+    got = chroma.alignments(chroma.fingerprints(rows), chroma.fingerprints(cut)).collect()
+    best = {r["query_id"]: r for r in got if r["rank"] == 1}
+    assert {q: r["rec_id"] for q, r in best.items()} == {100 + k: k for k in whole}
+    assert all(abs(r["offset"] - (2 * chroma.RATE + 77) / chroma.HOP) <= 1 and r["bit_error"] < 0.12 for r in best.values())
+
+
+def test_chroma_edges(spark):
+    buffer = io.BytesIO()
+    with wave.open(buffer, "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(2 * chroma.RATE)
+        w.writeframes(np.repeat(tone(6, 0), 4).tobytes())  # twice the rate, two channels
+    rows = [(0, tone(6, 0).tobytes(), chroma.RATE), (1, buffer.getvalue(), None), (2, None, None), (3, b"", 1), (4, b"\1\2\3", None), (5, bytes(60000), None), (6, bytes(60000), None), (None, tone(6, 0).tobytes(), None), (7, tone(6, 0).tobytes(), None), (7, tone(6, 0).tobytes(), None)]
+    prints = chroma.fingerprints(spark.createDataFrame(rows, "rec_id long, audio binary, rate int"))
+    sizes = {r["rec_id"]: len(r["prints"]) for r in prints.collect()}
+    assert sizes[2] == sizes[3] == sizes[4] == 0 and sizes[0] and sizes[5]
+    got = defaultdict(list)
+    for r in chroma.alignments(prints, prints).orderBy("rank").collect():
+        got[r["query_id"]].append(r["rec_id"])
+    assert got[5] == [5, 6] and got[0][:2] == [0, 7] and 1 in got[0]
+    none = prints.limit(0)
+    assert chroma.alignments(none, none).count() == 0
+
+
+def test_chroma_query(spark):
+    got = [r for r in registry.op2_chroma(spark, "/root/testdata/sf0.01").collect() if r["rank"] == 1]
+    assert len(got) == 10 and all(r["query_id"] == r["rec_id"] for r in got)
+
+
+# --- the pipeline
+
+
+def test_pipeline_stages(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        path = f"{spark.conf.get('spark.checkpoint.dir')}/test-{name}"
+        out.write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == list(corpus_pipeline.COLUMNS)
+        kept[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    good = [d for d, q in labels.items() if q == 1]
+    assert np.mean([d in kept["quality"] for d in good]) > 0.97
+    assert np.mean([d in kept["quality"] for d, q in labels.items() if q == 0]) < 0.1
+    assert set(kept["lines"]) == set(kept["quality"])
+    components = brute_components(kept["lines"].items())
+    assert set(kept["near_duplicates"]) == {c for _, c in components.values()}
+    for d, text in kept["secrets"].items():
+        before = kept["near_duplicates"][d]
+        assert text == before or "[secret]" in text
+        assert not re.search("[0-9a-f]{32}", text)
+    rows = corpus_pipeline.packing_stage(spark, docs, folder).collect()
+    check_packed(rows, list(kept["secrets"].items()))
+
+
+def test_pipeline_runs_on_an_empty_table(spark, tmp_path):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    empty.withColumn("extra", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
