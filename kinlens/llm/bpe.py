@@ -59,10 +59,10 @@ def pretokens(text: str) -> list[str]:
     return _SPLIT.findall(text)
 
 
-def trimmed(memo: dict) -> dict:
+def trimmed(memo: dict, most: int = MEMO, short: int = SHORT) -> dict:
     """The short pre-tokens of a full memo, or an empty one if those alone fill half of it."""
-    short = {w: x for w, x in memo.items() if isinstance(w, int) or len(w) <= SHORT}
-    return short if len(short) <= MEMO // 2 else {}
+    kept = {w: x for w, x in memo.items() if isinstance(w, int) or len(w) <= short}
+    return kept if len(kept) <= most // 2 else {}
 
 
 class Vocabulary:

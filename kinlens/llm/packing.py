@@ -23,11 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import MEMO, PATTERN, byte_letters, in_pieces, pretokens, tokenizer_source, trimmed
+from .bpe import PATTERN, byte_letters, in_pieces, pretokens, tokenizer_source, trimmed
 from .common import discard, map_batches, written
 
 CAPACITY = 1024
 END_ID = 2
+#: Entries of a worker's memo of pre-token ids, and the length of those that it keeps when full; workers outlive their stage.
+MEMO, SHORT = 200_000, 6
 #: Pieces packed together by ``packed_matrices``, and about as many in a partition of ``certified_packing``.
 MATRIX_PIECES = 4096
 PARTITION_PIECES = 16_384
@@ -68,7 +70,7 @@ class WordIds(dict):
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self) > MEMO:
-            short = trimmed(self)
+            short = trimmed(self, MEMO, SHORT)
             self.clear()
             self.update(short)
         return [b"".join(map(self.__getitem__, pretokens(t))) if t and not any(s in t for s in self.specials) else self.whole(t or "") for t in texts]
