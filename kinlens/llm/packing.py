@@ -12,6 +12,7 @@ sequence is cut without loss; repeated rows are packed once each; an empty table
 from __future__ import annotations
 
 import json
+import math
 import os
 import zlib
 from array import array
@@ -175,10 +176,10 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, made
 
 
-def lower_bound(counts: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs: the best of several families of dual feasible functions over counts by length."""
+def fractional_bound(counts: np.ndarray, capacity: int) -> float:
+    """Bins that any packing needs, before rounding up: the best of several families of dual feasible functions over counts by length."""
     size = np.arange(capacity + 1)
-    best = -(-int(counts @ size) // capacity)
+    best = float(counts @ size) / capacity
     number = np.concatenate([[0], np.cumsum(counts)])
     volume = np.concatenate([[0], np.cumsum(counts * size)])
     for k in range(1, capacity // 2 + 1):
@@ -187,15 +188,19 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
         half, top = capacity // 2 + 1, capacity - k + 1
         middle, middle_volume = number[top] - number[half], volume[top] - volume[half]
         small = volume[half] - volume[k]
-        best = max(best, int(large + middle + max(0, -(-int(small - (middle * capacity - middle_volume)) // capacity))))
+        best = max(best, float(large + middle) + max(0, int(small - (middle * capacity - middle_volume))) / capacity)
     for p in range(1, 24):
         # u_p: a multiple of capacity / (p + 1) keeps its share, others go down to a multiple of 1 / p
         scaled = size * (p + 1)
         share = np.where(scaled % capacity == 0, scaled // capacity * p, scaled // capacity * (p + 1))
-        best = max(best, -(-int(counts @ share) // (p * (p + 1))))
+        best = max(best, float(counts @ share) / (p * (p + 1)))
     return best
 
 
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    return math.ceil(fractional_bound(counts, capacity) - 1e-9)
+
+
 def packed_matrices(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, pieces: int = MATRIX_PIECES, pad_id: int = 0) -> DataFrame:
     """Rows of one packed id matrix: sequence_id, n_tokens, doc_ids, pieces, ``cu_seqlens`` (0 first, n_tokens last),
     ``input_ids`` and ``position_ids`` (binary, little-endian unsigned 32-bit, ``capacity`` entries, positions restart
@@ -252,15 +257,24 @@ def write_packed(docs: DataFrame, path: str, **options) -> None:
     packed_matrices(docs, **options).write.parquet(path)
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, grp long, bin long, offset long, fill long, n_bins long, least_bins long"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, grp long, bin long, offset long, n_bins long, least_bins long, gives boolean"
 
 
 def _pack_partition(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Best-fit decreasing of a partition; ``gives`` marks the pieces that it offers for exchange."""
     pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
     lengths = pdf["length"].to_numpy(np.int64)
     bins, offsets, n = best_fit_decreasing(lengths, CAPACITY)
     fill = np.bincount(bins, lengths, n).astype(np.int64)
-    return pdf.assign(bin=bins, offset=offsets, fill=fill[bins], n_bins=n, least_bins=lower_bound(np.bincount(lengths, minlength=CAPACITY + 1), CAPACITY))
+    least = fractional_bound(np.bincount(lengths, minlength=CAPACITY + 1), CAPACITY)
+    if n > math.ceil(least - 1e-9):
+        gives = fill < CAPACITY
+    else:  # optimal by itself, but for the rounding: what is emptiest may fit in with others'
+        gives = np.zeros(n, bool)
+        if n - least > 1e-9:
+            gives[np.argsort(fill, kind="stable")[: max(8, n // 50)]] = True
+        gives &= fill < CAPACITY
+    return pdf.assign(bin=bins, offset=offsets, n_bins=n, least_bins=math.ceil(least - 1e-9), gives=gives[bins])
 
 
 def _dealt(pieces: DataFrame, rows: int, salt: int) -> DataFrame:
@@ -273,15 +287,15 @@ def certified_packing(docs: DataFrame, tokenizer: str | None = None, rounds: int
     """Places of all pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and per piece the
     number of sequences ``n_bins`` of the partition that placed it with its lower bound ``least_bins``.
 
-    A partition whose bins equal its bound is proven optimal and stays. In the others, full sequences
-    stay; the pieces of the rest are dealt anew among fewer partitions and packed again, as long as
-    that saves sequences. Only lengths move, never ids.
+    A partition whose sequences are over its bound offers all that are not full; one that meets it is proven optimal and
+    offers only its emptiest, for the fraction that its bound was rounded up by. Offered pieces of all partitions are dealt anew among
+    fewer partitions and packed again, as long as that saves sequences. Only lengths move, never ids.
     """
     pieces = written(encoded_pieces(docs, tokenizer, CAPACITY), "pieces")
     current = written(_dealt(pieces, pieces.count(), 0).groupBy("grp").applyInPandas(_pack_partition, _PACKED), "packed-0")
     kept = []
     for k in range(1, rounds + 1):
-        gap = (F.col("n_bins") > F.col("least_bins")) & (F.col("fill") < CAPACITY)
+        gap = F.col("gives")
         stats = current.agg(F.count_if(gap & (F.col("offset") == 0)).alias("bins"), F.count_if(gap).alias("rows"), F.count_distinct(F.when(gap, F.col("grp"))).alias("groups")).first()
         if stats.groups < 2:  # nothing to exchange with
             break
