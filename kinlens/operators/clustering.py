@@ -18,6 +18,7 @@ from ..functions.vectors import centroids
 from ..tables import ship, written
 from .browse import majority
 from .graph import components
+from .order import numbered
 from .similarity import cosine_pairs, nearest_two
 
 # Fixed values.
@@ -267,16 +268,6 @@ def centroid_merged(faces: DataFrame, groups: DataFrame, constraints: DataFrame
     return groups.select("id", "kind", F.col("grp").alias("old")).join(moved, "old").select("id", "kind", "grp")
 
 
-def numbered(df: DataFrame, order: list[Column], start: int, name: str) -> DataFrame:
-    """Rows numbered from ``start`` in an order, without one task for all: range partitions count their own, and get an offset."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = written(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "numbered")
-    counts = cut.groupBy("_part").count()  # one row a partition
-    offsets = counts.select("_part", (F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + start).alias("_from"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return cut.withColumn("_in", inside).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_from") + F.col("_in")).drop("_part", "_in", "_from")
-
-
 def identities(faces: DataFrame, groups: DataFrame, persons: DataFrame, config: Config, next_id: int) -> DataFrame:
     """(id, person_id, grp, reused): faces of kept groups with their person.
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .clustering import Config, cluster, numbered, person_centroids, threshold_of
+from .clustering import Config, cluster, person_centroids
+from .order import numbered
 from .similarity import cosine_pairs
 
 DISTANCE, LIMIT = 0.5, 20
@@ -157,5 +158,3 @@ def set_cover(persons: DataFrame, faces: DataFrame, person_id: int, photo_id: in
     own = F.col("id") == person_id
     return persons.withColumn("cover_face_id", F.when(own, F.lit(face)).otherwise(F.col("cover_face_id"))).withColumn("updated_at", F.when(own, F.lit(float(now))).otherwise(F.col("updated_at")))
 
-
-__all__ = ["candidates_for", "confirm_different", "confirm_same", "mark_not_person", "merge_people", "next_pair", "refreshed", "representatives", "set_cover", "suggest_merges", "threshold_of", "with_constraints"]

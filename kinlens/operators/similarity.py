@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.images import hamming
 from ..tables import ship, written
 from .graph import components
+from .order import numbered
 
 MAX_HAMMING = 6
 BITS = 64
@@ -63,8 +64,9 @@ def ranked_sets(labelled: DataFrame) -> DataFrame:
 
 
 def set_positions(members: DataFrame) -> DataFrame:
-    """(set_id, set_size, position) of the sets, larger ones first, then by best photo's id; a listing of sets, made when shown."""
-    return members.where("rank_in_set = 1").select("set_id", "set_size", F.row_number().over(Window.orderBy(F.col("set_size").desc(), "set_id")).alias("position"))
+    """(set_id, set_size, position) of the sets, larger ones first, then by best photo's id."""
+    best = members.where("rank_in_set = 1").select("set_id", "set_size")
+    return numbered(best, [F.col("set_size").desc(), F.col("set_id")], 1, "position")
 
 
 def shown_sets(members: DataFrame, photos: DataFrame, offline_roots: DataFrame, pins: DataFrame) -> DataFrame:

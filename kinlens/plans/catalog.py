@@ -14,6 +14,7 @@ from ..operators import browse as B
 from ..operators import clustering as C
 from ..operators import review as R
 from ..operators import similarity as S
+from ..operators.order import numbered
 from ..sources import inventory as N
 from ..streaming.watch import quiet_sessions
 from .domain import inventory, oracle, people, view
@@ -101,17 +102,17 @@ def _(spark, sf):
 
 @query("all_by_taken_at", _listing(NEWEST), "v_photo_plain")
 def _(spark, sf):
-    return C.numbered(photos(spark, sf).select("id", "taken_at", "mtime"), B.newest(), 1, "position").select("position", "id")
+    return numbered(photos(spark, sf).select("id", "taken_at", "mtime"), B.newest(), 1, "position").select("position", "id")
 
 
 @query("all_by_indexed_at", _listing("coalesce(indexed_at, 0) DESC, id"), "v_photo_plain")
 def _(spark, sf):
-    return C.numbered(photos(spark, sf).select("id", "indexed_at"), B.latest_indexed(), 1, "position").select("position", "id")
+    return numbered(photos(spark, sf).select("id", "indexed_at"), B.latest_indexed(), 1, "position").select("position", "id")
 
 
 @query("favorites", _listing(NEWEST, "favorite"), "v_photo_plain")
 def _(spark, sf):
-    return C.numbered(photos(spark, sf).where("favorite").select("id", "taken_at", "mtime"), B.newest(), 1, "position").select("position", "id")
+    return numbered(photos(spark, sf).where("favorite").select("id", "taken_at", "mtime"), B.newest(), 1, "position").select("position", "id")
 
 
 @query("viewer_range", f"SELECT position, id FROM ({_listing(NEWEST)}) WHERE position BETWEEN 40 AND 60", "v_photo_plain")
@@ -143,7 +144,7 @@ def _(spark, sf):
 
 @query("people_by_face_count", "SELECT row_number() OVER (ORDER BY face_count DESC, id) AS position, id, face_count FROM (SELECT p.id, count(f.photo_id) AS face_count FROM v_person p LEFT JOIN v_face f ON f.person_id = p.id WHERE NOT is_hidden GROUP BY p.id)", "v_person", "v_face")
 def _(spark, sf):
-    return C.numbered(B.people(people(spark, sf)).select("id", "face_count"), [F.col("face_count").desc(), F.col("id")], 1, "position")
+    return numbered(B.people(people(spark, sf)).select("id", "face_count"), [F.col("face_count").desc(), F.col("id")], 1, "position")
 
 
 @query("top_people_preview", "SELECT id, face_count FROM (SELECT p.id, count(f.photo_id) AS face_count FROM v_person p LEFT JOIN v_face f ON f.person_id = p.id WHERE NOT is_hidden GROUP BY p.id) ORDER BY face_count DESC, id LIMIT 4", "v_person", "v_face")
@@ -358,10 +359,6 @@ def _sets(spark, sf):
     return S.duplicate_sets(view(spark, sf, "v_photo").select("id", "phash", "size", "width", "height", "state"))
 
 
-def _sets_sql(body: str) -> str:
-    return SETS + body
-
-
 @query("duplicate_sets")
 def _(spark, sf):
     return _sets(spark, sf)
@@ -393,7 +390,7 @@ def _(spark, sf):
 for _name, _body in {
     "duplicate_sets": "SELECT set_id, rank_in_set, id, size, set_size FROM sets",
     "duplicate_trim_summary": "SELECT count(DISTINCT set_id) AS sets, count(*) AS photos, count(*) FILTER (WHERE rank_in_set > 1) AS trim_count, coalesce(sum(size) FILTER (WHERE rank_in_set > 1), 0)::BIGINT AS trim_bytes FROM sets",
-    "duplicate_best": "SELECT set_id, set_size, row_number() OVER (ORDER BY set_size DESC, set_id)::INT AS position FROM sets WHERE rank_in_set = 1",
+    "duplicate_best": "SELECT set_id, set_size, row_number() OVER (ORDER BY set_size DESC, set_id) AS position FROM sets WHERE rank_in_set = 1",
     "duplicates_trimmable": "SELECT set_id, id FROM sets WHERE rank_in_set > 1",
     "duplicates_shown": """, pinned AS (SELECT max(id) AS id FROM sets GROUP BY set_id),
         here AS (SELECT s.*, count(*) OVER (PARTITION BY set_id) AS n FROM sets s JOIN v_photo p USING (id) WHERE p.root_id <> 2)

@@ -16,6 +16,7 @@ from ..operators import browse as B
 from ..operators import clustering as C
 from ..operators import review as R
 from ..operators import similarity as S
+from ..operators.order import numbered
 from ..sources import inventory as N
 from ..sources.store import Store, with_metadata, with_root, with_values, without_photos
 from ..tables import written
@@ -69,7 +70,7 @@ class Library:
         generation = root["scan_generation"] + 1
         listing = listing if listing is not None else N.listed_with_inodes(self.spark, root["display_path"])
         diff = written(N.scan_diff(self.photos, listing, root_id, generation), "diff")
-        fresh = C.numbered(diff.where("status = 'inserted'").drop("id"), [F.col("relative_path")], self.store.next_id("photo"), "id")
+        fresh = numbered(diff.where("status = 'inserted'").drop("id"), [F.col("relative_path")], self.store.next_id("photo"), "id")
         rest = diff.where("status <> 'inserted'")
         own = rest.unionByName(fresh.select(*rest.columns)).select(*self.photos.columns)
         photos = self.photos.where(F.col("root_id") != root_id).unionByName(own)
@@ -94,7 +95,7 @@ class Library:
         photos = with_metadata(self.photos, columns)
         photos = with_values(photos, columns.where(~F.col("failed")).select("id", "category", "pet_kind", "phash"))
         photos = with_values(photos, state)
-        made = C.numbered(face_rows(raw, now), [F.col("photo_id"), F.col("nth")], self.store.next_id("face"), "id").drop("nth")
+        made = numbered(face_rows(raw, now), [F.col("photo_id"), F.col("nth")], self.store.next_id("face"), "id").drop("nth")
         gone = self.faces.join(paths.select(F.col("id").alias("photo_id")), "photo_id", "left_semi").select("id")
         kept = self.faces.join(gone, "id", "left_anti")
         dead = lambda c: gone.select(F.col("id").alias(c))
@@ -104,11 +105,31 @@ class Library:
         self.store.commit(photo=photos, face=faces, face_constraint=constraints)
         return report | {"faces": raw.select(F.sum(F.size("found"))).first()[0] or 0}
 
-    def index(self, path: str, listing: DataFrame | None = None, now: float | None = None) -> dict:
-        """Scan a folder, compute what is missing, and group the faces."""
-        root = self.add_root(path, now=now)
-        report = {"scan": self.scan(root, listing, now), "process": self.process(now)}
-        return report | {"groups": self.cluster_after_scan(now=now)}
+    def index(self, path: str, listing: DataFrame | None = None, now: float | None = None, progress: Callable[[str, dict], None] = lambda phase, counts: None) -> dict:
+        """Scan a folder, compute what is missing, and group the faces; ``progress`` hears of each phase with its counts."""
+        report: dict = {}
+        for phase, step in (("scan", lambda: self.scan(self.add_root(path, now=now), listing, now)), ("process", lambda: self.process(now)), ("groups", lambda: self.cluster_after_scan(now=now))):
+            progress(phase, {})
+            report[phase] = step()
+            progress(phase, report[phase])
+        return report
+
+    def index_all(self, paths: Iterable[str], now: float | None = None) -> dict:
+        """Index folders one after the other: sums of their counts, but the people are those after the last."""
+        total: dict = {}
+        for p in paths:
+            for phase, counts in self.index(p, now=now).items():
+                for k, v in counts.items():
+                    held = total.setdefault(phase, {})
+                    held[k] = v if k == "people" else held.get(k, 0) + v
+        return total
+
+    def watch(self, changed: DataFrame, checkpoint: str, **options):
+        """Index a root anew whenever a stream of changes (path, ts) under it is quiet; start it again when roots come or go."""
+        from ..streaming.watch import watch, with_roots
+
+        paths = {r["id"]: r["display_path"] for r in self.roots.select("id", "display_path").collect()}
+        return watch(with_roots(changed, self.roots), lambda root, _: self.index(paths[root]), checkpoint, **options)
 
     def reclassify(self) -> int:
         """Categories of photos that have none and whose files are there; how many got one."""
