@@ -91,7 +91,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample: int) -> DataFr
         for b in batches:
             for s in in_pieces(b["text"]):
                 each = [np.unique(np.concatenate(f), return_counts=True) if (f := features(t)) else (np.empty(0, np.int32), np.empty(0, np.int64)) for t in b["text"][s]]
-                yield {"doc_id": b["doc_id"][s], "label": b["label"][s], "rows": [u.astype("<i4").tobytes() for u, _ in each], "counts": [c.astype("<u4").tobytes() for _, c in each]}
+                yield {"doc_id": b["doc_id"][s], "label": b["label"][s], "rows": [u.astype("<i4").tobytes() for u, _ in each], "counts": [np.minimum(c, 65_535).astype("<u2").tobytes() for _, c in each]}
 
     return map_batches(found, run, "doc_id long, label int, rows binary, counts binary")
 
@@ -104,14 +104,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 0)
     if not len(y) or y.min() == y.max():
         share = 0.5 if not len(y) else float(np.clip(y[0], 1e-6, 1 - 1e-6))
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    bags = [(np.frombuffer(r.rows, "<i4"), (c := np.frombuffer(r.counts, "<u4").astype(np.float32)) / max(c.sum(), 1)) for r in rows]
+    bags = [(np.frombuffer(r.rows, "<i4"), np.frombuffer(r.counts, "<u2")) for r in rows]  # views of what came, no copies
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32)
     steps, step = EPOCHS * len(bags), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(bags)):
-            at, weight = bags[k]
+            at, weight = bags[k][0], bags[k][1].astype(np.float32)
+            weight /= max(weight.sum(), 1)
             rate = np.float32(RATE * (1 - step / steps))
             step += 1
             hidden = weight @ table[at]
