@@ -154,7 +154,10 @@ class Library:
             self.store.commit(face=cleared, person=self.persons.limit(0))
             return {"faces": 0, "people": 0, "reused": 0, "new": 0}
         found = written(C.recluster(faces, self.constraints, self.persons, self.config, self.store.next_id("person")), "groups")
-        return self._published(faces, found.select("id", "person_id"), found.where("NOT reused AND person_id IS NOT NULL").select("person_id", "kind").distinct(), now, all_centroids=True) | {"reused": found.where("reused").select("person_id").distinct().count()}
+        made = found.where("NOT reused AND person_id IS NOT NULL").select("person_id", "kind").distinct()
+        reused = found.where("reused").select("person_id").distinct().count()
+        report = self._published(faces, found.select("id", "person_id"), made, now)
+        return report | {"reused": reused, "people": reused + report["new"]}
 
     def cluster_after_scan(self, limit: int = C.FULL_LIMIT, now: float | None = None) -> dict[str, int]:
         """A full pass for few faces or no people; else new faces join people or form new ones."""
@@ -164,16 +167,15 @@ class Library:
             return self.recluster(now)
         found = written(C.assign_new(faces, self.persons, self.config, self.store.next_id("person")), "assigned")
         kinds = found.where("is_new").join(faces.select("id", F.coalesce("kind", F.lit("human")).alias("kind")), "id").select("person_id", "kind").distinct()
-        return self._published(faces, found.select("id", "person_id"), kinds, float(now or time.time()), all_centroids=False) | {"reused": 0}
+        return self._published(faces, found.select("id", "person_id"), kinds, float(now or time.time())) | {"reused": 0}
 
-    def _published(self, faces: DataFrame, assigned: DataFrame, new: DataFrame, now: float, all_centroids: bool) -> dict[str, int]:
+    def _published(self, faces: DataFrame, assigned: DataFrame, new: DataFrame, now: float) -> dict[str, int]:
         moved = written(with_values(faces, assigned), "moved")
         made = new.select(F.col("person_id").alias("id"), F.lit(None).cast("string").alias("display_name"), F.lit(None).cast("long").alias("cover_face_id"), F.lit(False).alias("is_hidden"), F.lit(None).cast("array<double>").alias("centroid"), F.lit(0).cast("long").alias("face_count"), F.when(F.col("kind") != "human", F.col("kind")).alias("kind"), F.lit(None).cast("string").alias("model"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"))
         touched = assigned.where("person_id IS NOT NULL").select("person_id").distinct()
         persons = written(R.refreshed(self.persons.unionByName(made.select(*self.persons.columns)), moved, now, touched), "people")
         n_new = new.count()
         if n_new:
-            self.store.reserve("person", 0)
             top = new.agg(F.max("person_id")).first()[0]
             self.store.manifest["next_id"]["person"] = max(self.store.next_id("person"), top + 1)
         self.store.commit(face=moved, person=persons)
