@@ -13,8 +13,9 @@ components that share a key are compared further, on their registers and where t
 estimate leaves come again with their full sets.
 
 Defined results: a null, empty or blank text has the empty set and is linked with nothing; a text of fewer than five
-words is one shingle; repeated rows of a document are one document in the components and each keep their row; null
-ids are kept, linked with nothing; an empty table gives no rows.
+words is one shingle; repeated rows of a document are one document in the components and each keep their row (an id stands for
+one text; of several, the smallest is what others are held against); null ids are kept, linked with nothing; an empty table gives
+no rows.
 """
 
 from __future__ import annotations

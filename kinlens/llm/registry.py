@@ -21,7 +21,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held_out)
     found = quality.scored(docs, quality.fit(docs, labels)).withColumnRenamed("quality_score", "score")
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
