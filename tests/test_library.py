@@ -339,3 +339,14 @@ def test_quiet_sessions_batch_and_stream(spark, tmp_path):
     for k, paths in seen:
         merged.setdefault(k, set()).update(paths)
     assert merged == {1: {"/a/x", "/a/y", "/a/w"}, 2: {"/b/z"}}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from kinlens.tables import shared_folder
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master, applicationId="x"))
+    assert shared_folder(session("yarn", "/shared")) == "/shared" and os.path.isdir(shared_folder(session("local[4]", None)))
+    with pytest.raises(RuntimeError):
+        shared_folder(session("spark://host:7077", None))
