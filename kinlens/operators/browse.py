@@ -27,7 +27,7 @@ def latest_indexed() -> list[Column]:
 
 def with_rank(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Rows numbered from 1 in an order over all of them; for results that are one listing."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 # filters
