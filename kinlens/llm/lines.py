@@ -108,8 +108,10 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
         batch = lines.where((F.col("id") <= top) & (F.col("id") > max(top - step, NO_ID - 1) if top - step >= NO_ID else F.col("id") <= top))
         # the partial sum holds a document once: (key, id) first, then ids are counted
         runs.add(batch.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")))
-    totals = runs.totals()
-    return lines, totals.where(F.col("n_docs") >= least_docs).select("key", "keeper")
+    # written, so that the join with the lines has a plain exchange on either side, whose skewed partitions can be split
+    repeated = written(runs.totals().where(F.col("n_docs") >= least_docs).select("key", "keeper"), "repeated")
+    discard(*[r for level in runs.levels for r in level])
+    return lines, repeated
 
 
 def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
