@@ -162,6 +162,23 @@ def _(spark, sf):
     return view(spark, sf, "v_root").orderBy("added_at")
 
 
+@query("first_roots", "SELECT id, display_path FROM v_root ORDER BY added_at, id LIMIT 4", "v_root")
+def _(spark, sf):
+    return view(spark, sf, "v_root").orderBy("added_at", "id").limit(4).select("id", "display_path")
+
+
+@query("photo_by_id", "SELECT id, relative_path FROM v_photo_plain WHERE id = 41", "v_photo_plain")
+def _(spark, sf):
+    return photos(spark, sf).where("id = 41").select("id", "relative_path")
+
+
+@query("people_refreshed", "SELECT id, face_count FROM (SELECT p.id, count(f.photo_id) AS face_count FROM v_person p LEFT JOIN v_face f ON f.person_id = p.id GROUP BY p.id) WHERE face_count > 0", "v_person", "v_face")
+def _(spark, sf):
+    """People whose counts were renewed, without those that lost all their faces."""
+    base = view(spark, sf, "v_person").select("id", F.lit(0).cast("long").alias("face_count"))
+    return R.refreshed(base, faces(spark, sf), 0.0)
+
+
 @query("photo_by_path", "SELECT id FROM v_photo_plain WHERE root_id = 1 AND relative_path = (SELECT min(relative_path) FROM v_photo_plain WHERE root_id = 1)", "v_photo_plain")
 def _(spark, sf):
     least = photos(spark, sf).where("root_id = 1").agg(F.min("relative_path").alias("relative_path"))

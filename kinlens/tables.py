@@ -63,18 +63,30 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage of ``df`` with a Parquet table in the shared folder, which survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/kinlens/{what}-{uuid.uuid4().hex}"
+    path = f"{_own_tables(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinlens_path = path
     return out
 
 
+def _own_tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/kinlens/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this application has written to the shared folder; results that read them end here."""
+    _delete(spark, _own_tables(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete tables made by :func:`written` that no later plan reads."""
     for df in frames:
         path = getattr(df, "_kinlens_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(df.sparkSession, path)
