@@ -90,7 +90,7 @@ class NoDetector:
         return ""
 
 
-#: Installed models in the order of preference: file stem and identifier.
+#: Installed models in the order of preference, file stem and identifier.
 KNOWN_MODELS = (("auraface", "auraface.v1"), ("arcface", "arcface.buffalo_l"))
 
 
