@@ -34,6 +34,8 @@ HARMLESS = ("example", "placeholder", "changeme", "your", "xxxx", "dummy", "samp
 LEAST_SCORE, LEAST_LITERAL = 0.55, 8
 
 _STEM = re.compile("|".join(sorted(SENSITIVE, key=len, reverse=True)))
+#: Found in every lower-cased text that holds a name to which :func:`sensitivity` gives anything: words can be joined as in camelCase.
+_GATE = re.compile("|".join(sorted({w.replace("_", "[-_.]?") for w in SENSITIVE}, key=len, reverse=True)))
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 _PAIR = re.compile(
     rf"""(?P<q>["']?)(?<![A-Za-z0-9_.\-])(?P<name>{_NAME})(?P=q)[ \t]*(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*(?P<value>(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s"'+,;#<>(){{}}\[\]]+)(?:[ \t]*\+[ \t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|{_NAME}))*)"""
@@ -124,7 +126,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, those and the lexer's), each ordered by start, then kind."""
     base = sorted(base_spans(text))
-    if not _STEM.search(text.lower().replace("-", "_")):
+    if not _GATE.search(text.lower()):
         return base, base
     named = {(x.start, 3, x.end) for x in literals(text) if x.score >= LEAST_SCORE}
     return base, sorted([*base, *named])

@@ -133,6 +133,17 @@ def test_secrets_propagate_constants():
     assert {text[s:e] for s, k, e in spans if k == 3} == found
 
 
+@pytest.mark.parametrize("form", ['{} = "q8Zr2LmX0vTb"', "{}: q8Zr2LmX0vTb", '{{"{}": "q8Zr2LmX0vTb"}}', "<{0}>q8Zr2LmX0vTb</{0}>"])
+def test_secrets_gate_skips_nothing(form):
+    for w in secrets.SENSITIVE:
+        joined = w.title().replace("_", "")
+        for name in (w, w.upper(), joined, joined[0].lower() + joined[1:], w.replace("_", "-"), w.replace("_", "."), "aws." + w.replace("_", ".")):
+            text = form.format(name)
+            base, spans = secrets.all_spans(text)
+            named = {(x.start, 3, x.end) for x in secrets.literals(text) if x.score >= secrets.LEAST_SCORE}
+            assert named and spans == sorted([*base, *named]), text
+
+
 def test_secrets_do_not_blow_up():
     assert len(secrets.literals('a = "x1y2z3w4v5"\n' + "a = a + a\n" * 60 + "token = a")) < 100
     assert secrets.all_spans("secret " + "z" * 200_000)[1] == []
