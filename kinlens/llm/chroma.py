@@ -34,9 +34,9 @@ WIDEST = 16
 FILTERS = [(k % 6, (5 * k) % 12, 2 + (k * 3) % 9, 4 + 4 * (k % 4)) for k in range(16)]
 #: Half width of the quantiser's middle cells, in log units, and what is added to levels for quiet areas.
 STEP, LEAST_LEVEL = 0.6, 0.02
-#: An alignment needs these shares of equal high halves and of overlap of the query's integers, and a bit error at most: excerpts of the same
-#: recording err up to 0.06 of bits at shifted frames, unrelated ones from 0.19 among thousands of pairs.
-LEAST_VOTES, LEAST_OVERLAP, MOST_ERROR = 0.05, 0.5, 0.12
+#: An alignment needs these shares of equal high halves and of overlap of the query's integers, and a bit error at most (a default, for copies
+#: that are noisy, resampled or encoded anew, too; among thousands of pairs unrelated recordings come under it now and then).
+LEAST_VOTES, LEAST_OVERLAP, MOST_ERROR = 0.05, 0.5, 0.2
 
 
 def samples(media: bytes | None, rate: int | None) -> tuple[np.ndarray, int]:
@@ -149,7 +149,7 @@ class PrintIndex:
         self.pos = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[order]
         self.longest = int(lengths.max(initial=0))
 
-    def align(self, query: np.ndarray) -> list[tuple[int, int, int, float]]:
+    def align(self, query: np.ndarray, most_error: float) -> list[tuple[int, int, int, float]]:
         """(id, offset of the query in the recording, votes, bit error) of every recording that aligns."""
         keys, places = query >> np.uint32(16), np.arange(len(query))
         low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
@@ -170,25 +170,25 @@ class PrintIndex:
             s, e = max(0, -offset), min(len(query), len(p) - offset)
             if e - s >= max(1, LEAST_OVERLAP * len(query)):
                 error = float(np.bitwise_count(query[s:e] ^ p[s + offset : e + offset]).mean() / 32)
-                if error <= MOST_ERROR:
+                if error <= most_error:
                     out.append((int(self.ids[r]), offset, v, error))
         return out
 
 
-def _ask(k: int, index: PrintIndex, batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
+def _ask(k: int, most_error: float, index: PrintIndex, batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
     out = {"query_id": [], "rec_id": [], "offset": [], "votes": [], "bit_error": []}
     for q, prints in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        found = sorted(index.align(np.frombuffer(prints, "<u4")), key=lambda x: (x[3], x[0], x[1]))
+        found = sorted(index.align(np.frombuffer(prints, "<u4"), most_error), key=lambda x: (x[3], x[0], x[1]))
         for row in found[:k]:
             for name, value in zip(out, (q, *row)):
                 out[name].append(value)
     yield out
 
 
-def alignments(recordings: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def alignments(recordings: DataFrame, queries: DataFrame, k: int = 10, most_error: float = MOST_ERROR) -> DataFrame:
     """(query_id, rank, rec_id, offset, votes, bit_error): each query's k best alignments; both inputs as :func:`fingerprints` gives them."""
     rows, asked = recordings.where("rec_id IS NOT NULL"), queries.where("rec_id IS NOT NULL")
-    found = search_blocks(rows, asked, PrintIndex, partial(_ask, k), "query_id long, rec_id long, offset int, votes int, bit_error double")
+    found = search_blocks(rows, asked, PrintIndex, partial(_ask, k, most_error), "query_id long, rec_id long, offset int, votes int, bit_error double")
     order = Window.partitionBy("query_id").orderBy("bit_error", "rec_id", "offset")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "rec_id", "offset", "votes", "bit_error")
 

@@ -308,6 +308,22 @@ def test_chroma_edges(spark):
     assert chroma.alignments(none, none).count() == 0
 
 
+PRINTS = "rec_id long, prints binary"
+
+
+def test_noisy_copies_align(spark):
+    rng = np.random.default_rng(4)
+    whole = rng.integers(0, 1 << 32, 200, dtype=np.uint32)
+    bad = rng.random((100, 32)) < 0.15
+    bad[::5, :16] = False  # some high halves are as they were
+    cut = whole[50:150] ^ (bad << np.arange(31, -1, -1)).sum(1).astype(np.uint32)
+    prints = spark.createDataFrame([(1, whole.astype("<u4").tobytes()), (2, rng.bytes(800))], PRINTS)
+    asked = spark.createDataFrame([(9, cut.astype("<u4").tobytes())], PRINTS)
+    (found,) = chroma.alignments(prints, asked).collect()
+    assert (found["rec_id"], found["offset"]) == (1, 50) and 0.12 < found["bit_error"] < 0.2
+    assert chroma.alignments(prints, asked, most_error=0.1).count() == 0
+
+
 def test_chroma_query(spark):
     got = [r for r in registry.op2_chroma(spark, "/root/testdata/sf0.01").collect() if r["rank"] == 1]
     assert len(got) == 10 and all(r["query_id"] == r["rec_id"] for r in got)
