@@ -139,7 +139,7 @@ class PrintIndex:
     """Postings of the integers' high halves, sorted."""
 
     def __init__(self, batch: pa.RecordBatch) -> None:
-        self.ids = batch.column(0).to_numpy(zero_copy_only=False)
+        self.ids = batch.column(0).to_pylist()
         self.prints = [np.frombuffer(p, "<u4") for p in batch.column(1).to_pylist()]
         lengths = np.array([len(p) for p in self.prints], np.int64)
         flat = np.concatenate([*self.prints, np.empty(0, np.uint32)]) >> np.uint32(16)
@@ -150,7 +150,7 @@ class PrintIndex:
         self.longest = int(lengths.max(initial=0))
 
     def align(self, query: np.ndarray, most_error: float) -> list[tuple[int, int, int, float]]:
-        """(id, offset of the query in the recording, votes, bit error) of every recording that aligns."""
+        """(class, offset of the query in the recording, votes, bit error) of every class of recordings that aligns."""
         keys, places = query >> np.uint32(16), np.arange(len(query))
         low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
         each = high - low
@@ -171,26 +171,34 @@ class PrintIndex:
             if e - s >= max(1, LEAST_OVERLAP * len(query)):
                 error = float(np.bitwise_count(query[s:e] ^ p[s + offset : e + offset]).mean() / 32)
                 if error <= most_error:
-                    out.append((int(self.ids[r]), offset, v, error))
+                    out.append((self.ids[r], offset, v, error))
         return out
 
 
-def _ask(k: int, most_error: float, index: PrintIndex, batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
-    out = {"query_id": [], "rec_id": [], "offset": [], "votes": [], "bit_error": []}
+def _ask(most_error: float, index: PrintIndex, batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
     for q, prints in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        found = sorted(index.align(np.frombuffer(prints, "<u4"), most_error), key=lambda x: (x[3], x[0], x[1]))
-        for row in found[:k]:
-            for name, value in zip(out, (q, *row)):
-                out[name].append(value)
-    yield out
+        found = index.align(np.frombuffer(prints, "<u4"), most_error)
+        if found:
+            yield {"asked": [q] * len(found)} | dict(zip(("twin", "offset", "votes", "bit_error"), map(list, zip(*found))))
 
 
-def alignments(recordings: DataFrame, queries: DataFrame, k: int = 10, most_error: float = MOST_ERROR) -> DataFrame:
-    """(query_id, rank, rec_id, offset, votes, bit_error): each query's k best alignments; both inputs as :func:`fingerprints` gives them."""
-    rows, asked = recordings.where("rec_id IS NOT NULL"), queries.where("rec_id IS NOT NULL")
-    found = search_blocks(rows, asked, PrintIndex, partial(_ask, k, most_error), "query_id long, rec_id long, offset int, votes int, bit_error double")
+def _classes(rows: DataFrame) -> DataFrame:
+    """(twin, prints) of the different fingerprints of ``rows`` that aren't empty."""
+    return rows.where(F.octet_length("prints") > 0).groupBy("twin").agg(F.first("prints").alias("prints"))
+
+
+def alignments(recordings: DataFrame, queries: DataFrame, k: int | None = None, most_error: float = MOST_ERROR) -> DataFrame:
+    """(query_id, rank, rec_id, offset, votes, bit_error): each query's alignments, or the ``k`` best; both inputs as :func:`fingerprints` gives them.
+
+    Equal fingerprints are one class in the search; the result has a row for every recording of a class.
+    """
+    rows, asked = (x.where("rec_id IS NOT NULL").withColumn("twin", F.unhex(F.sha2("prints", 256))) for x in (recordings, queries))
+    found = search_blocks(_classes(rows), _classes(asked), PrintIndex, partial(_ask, most_error), "asked binary, twin binary, offset int, votes int, bit_error double")
+    named = found.hint("merge").join(asked.select(F.col("rec_id").alias("query_id"), F.col("twin").alias("asked")), "asked")
+    named = named.hint("merge").join(rows.select("rec_id", "twin"), "twin")
     order = Window.partitionBy("query_id").orderBy("bit_error", "rec_id", "offset")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "rec_id", "offset", "votes", "bit_error")
+    out = named.withColumn("rank", F.row_number().over(order))
+    return (out if k is None else out.where(F.col("rank") <= k)).select("query_id", "rank", "rec_id", "offset", "votes", "bit_error")
 
 
 def rendered(vectors: DataFrame, first: float = 0.0, last: float = 4.0) -> DataFrame:

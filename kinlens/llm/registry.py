@@ -28,10 +28,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-second excerpts of every fiftieth recording, found again among all recordings of ``embeddings`` as audio."""
+    """Two-second excerpts of every fiftieth recording, with all their alignments among all recordings of ``embeddings`` as audio."""
     vectors = table(spark, sf_dir, "embeddings")
     recordings = written(chroma.fingerprints(chroma.rendered(vectors)), "prints")
-    excerpts = chroma.fingerprints(chroma.rendered(vectors.where("vec_id % 50 = 0"), 1.01, 3.01))
+    excerpts = written(chroma.fingerprints(chroma.rendered(vectors.where("vec_id % 50 = 0"), 1.01, 3.01)), "excerpts")
     return chroma.alignments(recordings, excerpts)
 
 

@@ -324,6 +324,18 @@ def test_noisy_copies_align(spark):
     assert chroma.alignments(prints, asked, most_error=0.1).count() == 0
 
 
+def test_every_copy_aligns(spark):
+    rng = np.random.default_rng(5)
+    whole = rng.integers(0, 1 << 32, 200, dtype=np.uint32)
+    near = whole ^ (rng.random(200) < 0.5).astype(np.uint32)  # other low halves
+    rows = [(k, whole.astype("<u4").tobytes()) for k in range(15)] + [(20, near.astype("<u4").tobytes()), (21, rng.bytes(800)), (22, b"")]
+    prints = spark.createDataFrame(rows, PRINTS)
+    asked = spark.createDataFrame([(q, whole[50:150].astype("<u4").tobytes()) for q in (30, 31)] + [(32, b"")], PRINTS)
+    got = [(r["query_id"], r["rank"], r["rec_id"]) for r in chroma.alignments(prints, asked).orderBy("query_id", "rank").collect()]
+    assert got == [(q, n + 1, k) for q in (30, 31) for n, k in enumerate([*range(15), 20])]
+    assert chroma.alignments(prints, asked, k=3).count() == 6
+
+
 def test_chroma_query(spark):
     got = [r for r in registry.op2_chroma(spark, "/root/testdata/sf0.01").collect() if r["rank"] == 1]
     assert len(got) == 10 and all(r["query_id"] == r["rec_id"] for r in got)
