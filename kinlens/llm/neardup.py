@@ -3,8 +3,8 @@
 A document's set is the distinct 5-word shingles of its lower-cased text, as 64-bit hashes. One hash a shingle
 fills 256 registers: the top bits choose the register, the rest its value, of which the leading-zero count of the
 register's least hash and ten mantissa bits are kept. Empty registers borrow
-from filled ones, and bands of six registers are the candidate keys: at the
-similarity of 0.85 a pair misses all 42 bands with probability 2e-9. Candidates whose collision-corrected estimate
+from filled ones, and bands of registers are the candidate keys, as wide as lets a pair at the threshold miss all of them
+with a probability of at most 4e-9: 51 bands of five at a similarity of 0.8, 42 of six at 0.85. Candidates whose collision-corrected estimate
 lies six standard deviations under the threshold are dropped; the rest are confirmed on the full sets.
 
 Equal sets are one class from the start, so copies never meet each other. Of a band key's classes each is
@@ -20,6 +20,8 @@ no rows.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +31,12 @@ from .bpe import in_pieces
 from .common import discard, map_batches, mix64, shingle_hashes, written
 
 SHINGLE = 5
-#: 100 * intersection >= PERCENT * union.
+#: 100 * intersection >= percent * union, unless a caller has another percentage.
 PERCENT = 85
 REGISTERS = 256
 MANTISSA = 10
-BAND = 6
-BANDS = REGISTERS // BAND
+#: The chance at most that a pair at the threshold shares no band.
+MOST_MISSED = 4e-9
 #: Classes of one key that are held against each other in one place.
 BLOCK = 512
 #: Bits of the filter that keeps texts out of a shuffle: 4 MB.
@@ -95,7 +97,13 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 _ORDERS = mix64(np.arange(REGISTERS * REGISTERS, dtype=np.uint64)).reshape(REGISTERS, REGISTERS)
-_PLACES = mix64(np.arange(1, BAND + 1, dtype=np.uint64)) | np.uint64(1)
+_PLACES = mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def band_width(percent: int) -> int:
+    """Registers of a band: as many as let a pair at the threshold miss all bands no more often than MOST_MISSED."""
+    t = percent / 100
+    return max([b for b in range(1, 33) if (1 - t**b) ** (REGISTERS // b) <= MOST_MISSED], default=1)
 
 
 def densified(regs: np.ndarray) -> np.ndarray:
@@ -109,30 +117,32 @@ def densified(regs: np.ndarray) -> np.ndarray:
     return out
 
 
-def keys_of(regs: np.ndarray) -> np.ndarray:
-    """Keys of every band (rows, BANDS) of rows of registers."""
-    parts = densified(regs)[:, : BANDS * BAND].reshape(-1, BANDS, BAND).astype(np.uint64)
-    return mix64((parts * _PLACES).sum(2, dtype=np.uint64) + mix64(np.arange(BANDS, dtype=np.uint64) + np.uint64(977))).view(np.int64)
+def keys_of(regs: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of every band (rows, bands) of rows of registers."""
+    width = band_width(percent)
+    bands = REGISTERS // width
+    parts = densified(regs)[:, : bands * width].reshape(-1, bands, width).astype(np.uint64)
+    return mix64((parts * _PLACES[:width]).sum(2, dtype=np.uint64) + mix64(np.arange(bands, dtype=np.uint64) + np.uint64(977))).view(np.int64)
 
 
-def band_keys(classes: DataFrame) -> DataFrame:
+def band_keys(classes: DataFrame, percent: int) -> DataFrame:
     """(key, band, id, n) for each band of a class."""
 
     def run(batches):
         for b in batches:
             regs = np.frombuffer(b"".join(b["regs"]), "<u2").reshape(-1, REGISTERS)
-            yield {"id": b["id"], "n": b["n"], "keys": list(keys_of(regs))}
+            yield {"id": b["id"], "n": b["n"], "keys": list(keys_of(regs, percent))}
 
     rows = map_batches(classes.select("id", "n", "regs"), run, "id long, n long, keys array<long>")
     return rows.select("id", "n", F.posexplode("keys").alias("band", "key"))
 
 
-def _near_in_size(n, m):
+def _near_in_size(n, m, percent: int):
     """The smaller set can hold the share of the larger one that the threshold asks for."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the estimate does not rule out."""
     r = written(among(classes.select("id", "n", "regs"), "id", pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "registers")
     both = pairs.hint("merge").join(r.toDF("a", "n_a", "regs_a"), "a").hint("merge").join(r.toDF("b", "n_b", "regs_b"), "b")
@@ -142,7 +152,7 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             p = np.frombuffer(b"".join(x["regs_a"]), "<u2").reshape(-1, REGISTERS)
             q = np.frombuffer(b"".join(x["regs_b"]), "<u2").reshape(-1, REGISTERS)
             j, filled = estimate(p, q, np.array(x["n_a"]), np.array(x["n_b"]))
-            t = PERCENT / 100
+            t = percent / 100
             keep = j >= t - SLACK * np.sqrt(t * (1 - t) / np.maximum(filled, 1))
             yield {"a": [v for v, k in zip(x["a"], keep) if k], "b": [v for v, k in zip(x["b"], keep) if k]}
 
@@ -175,7 +185,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(map_batches(texts, run, "id long, shingles binary"), "sets")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold."""
     pairs = written(pairs, "pairs")
     sets = sets_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
@@ -186,7 +196,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             keep = []
             for p, q in zip(x["s_a"], x["s_b"]):
                 u, v = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-                keep.append(bool(linked(u, [v])[0]))
+                keep.append(bool(linked(u, [v], percent)[0]))
             yield {"a": [v for v, k in zip(x["a"], keep) if k], "b": [v for v, k in zip(x["b"], keep) if k]}
 
     out = written(map_batches(both, run, "a long, b long"), "links")
@@ -194,25 +204,25 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def linked(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+def linked(own: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
     """Which of the sorted sets reach the threshold with ``own``."""
     sizes = np.array([len(o) for o in others])
     flat = np.concatenate(others)
     hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
     shared = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
-    return 100 * shared >= PERCENT * (len(own) + sizes - shared)
+    return 100 * shared >= percent * (len(own) + sizes - shared)
 
 
-def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
+def linked_classes(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the classes that are linked with another."""
-    rows = band_keys(classes)
+    rows = band_keys(classes, percent)
     counts = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1")
     shared = written(rows.join(counts, "key").select("key", "band", "id", "n", "head"), "shared")
 
     heads = classes.select(F.col("id").alias("head"), F.col("n").alias("n_head"))
-    stars = shared.where("id <> head").select("id", "n", "head").distinct().join(heads, "head").where(_near_in_size(F.col("n"), F.col("n_head")))
+    stars = shared.where("id <> head").select("id", "n", "head").distinct().join(heads, "head").where(_near_in_size(F.col("n"), F.col("n_head"), percent))
     tried = written(stars.select(F.col("head").alias("a"), F.col("id").alias("b")), "tried")
-    links = confirmed(estimated(tried, classes), docs)
+    links = confirmed(estimated(tried, classes, percent), docs, percent)
     found = components(links)
 
     # what shares a key across components
@@ -220,9 +230,9 @@ def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     mixed = where.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "size")
     left = written(where.hint("merge").join(mixed, "key"), "mixed")
     regs = written(among(classes.select("id", "regs"), "id", left.select("id").distinct()), "registers")
-    close = written(in_groups(in_blocks(left.hint("merge").join(regs, "id")), close_members, PLACE), "close")
+    close = written(in_groups(in_blocks(left.hint("merge").join(regs, "id")), partial(close_members, percent=percent), PLACE), "close")
     sets = sets_of(docs, close.select(F.col("id").alias("doc_id")).distinct())
-    more = written(in_groups(close.hint("merge").join(regs.hint("merge").join(sets, "id"), "id"), links_of, "a long, b long").distinct(), "links")
+    more = written(in_groups(close.hint("merge").join(regs.hint("merge").join(sets, "id"), "id"), partial(links_of, percent=percent), "a long, b long").distinct(), "links")
     if not more.isEmpty():
         found = components(links.union(more))
     discard(shared, tried, links, left, regs, close, sets, more)
@@ -270,7 +280,7 @@ def in_groups(rows: DataFrame, fn, schema: str) -> DataFrame:
     return map_batches(dealt, run, schema)
 
 
-def rivals(group: dict[str, list]):
+def rivals(group: dict[str, list], percent: int):
     """For the classes of a group outside its largest component: (class, those of other components that the estimate does not rule out).
 
     A pair comes at the first band that it shares, once: with all of the largest component, and with those after it of the others. What
@@ -282,12 +292,12 @@ def rivals(group: dict[str, list]):
         return
     side, band = np.array(group["side"]), group["band"][0]
     regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(-1, REGISTERS)
-    keys = keys_of(regs)[:, :band]
+    keys = keys_of(regs, percent)[:, :band]
     within = group["i"][0] == group["j"][0]
     big = component == np.argmax(np.bincount(component))
-    t = PERCENT / 100
+    t = percent / 100
     for k in np.flatnonzero(~big).tolist():
-        other = (component != component[k]) & (big | (np.arange(len(ids)) > k)) & (np.minimum(n, n[k]) * 100 >= np.maximum(n, n[k]) * PERCENT)
+        other = (component != component[k]) & (big | (np.arange(len(ids)) > k)) & (np.minimum(n, n[k]) * 100 >= np.maximum(n, n[k]) * percent)
         if not within:
             other &= side != side[k]
         at = np.flatnonzero(other)
@@ -299,19 +309,19 @@ def rivals(group: dict[str, list]):
                 yield k, at, component
 
 
-def close_members(group: dict[str, list]) -> dict[str, list]:
+def close_members(group: dict[str, list], percent: int) -> dict[str, list]:
     """The classes of a group that have a rival in it, and so are to come again with their full sets."""
     close = np.zeros(len(group["id"]), bool)
-    for k, at, _ in rivals(group):
+    for k, at, _ in rivals(group, percent):
         close[k] = close[at] = True
     return {name: [v for v, c in zip(group[name], close) if c] for name in ("key", "i", "j", "side", "band", "id", "n", "component")}
 
 
-def links_of(group: dict[str, list]) -> dict[str, list]:
+def links_of(group: dict[str, list], percent: int) -> dict[str, list]:
     """Links (a, b) of a group, as many as connect what all its links connect."""
     ids, sets, out = group["id"], [np.frombuffer(s, "<u8") for s in group["shingles"]], {"a": [], "b": []}
-    for k, at, component in rivals(group):
-        at = at[linked(sets[k], [sets[x] for x in at.tolist()])]
+    for k, at, component in rivals(group, percent):
+        at = at[linked(sets[k], [sets[x] for x in at.tolist()], percent)]
         for c in np.unique(component[at]).tolist():
             x = int(at[np.argmax(component[at] == c)])
             out["a"].append(min(ids[k], ids[x]))
@@ -320,13 +330,13 @@ def links_of(group: dict[str, list]) -> dict[str, list]:
     return out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``; similar by ``percent`` or more are linked."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = written(sketches(docs), "sketches")
     classes = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("twin", "n").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs"))
     classes = written(classes, "classes")
-    found = linked_classes(classes, docs)
+    found = linked_classes(classes, docs, percent)
     named = classes.select("twin", "n", "id").join(found, "id", "left").select("twin", "n", F.coalesce("component", "id").alias("component"))
     # copies can be a third of all rows and share one class; the join deals such a class out in pieces
     out = sketch.drop("regs").hint("merge").join(named, ["twin", "n"], "left")

@@ -193,6 +193,24 @@ def test_near_duplicate_families(spark, monkeypatch, block):
     assert found_components(neardup.near_duplicates(spark.createDataFrame(docs, DOCS))) == brute_components(docs)
 
 
+def test_near_duplicates_at_another_percentage(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(4000)]
+    docs = []
+    for k in range(20):  # 116 shingles; two far edits leave 106 of 126, 0.84
+        base = list(rng.choice(words, 120, replace=False))
+        docs.append((2 * k, " ".join(base)))
+        base[30], base[90] = f"edited{k}", f"edited{k}"
+        docs.append((2 * k + 1, " ".join(base)))
+    df = spark.createDataFrame(docs, DOCS)
+    assert found_components(neardup.near_duplicates(df, 80)) == {d: (116, d - d % 2) for d, _ in docs}
+    assert found_components(neardup.near_duplicates(df)) == {d: (116, d) for d, _ in docs}
+    for percent in (50, 80, 85, 95):
+        width = neardup.band_width(percent)
+        assert (1 - (percent / 100) ** width) ** (neardup.REGISTERS // width) <= neardup.MOST_MISSED
+    assert neardup.band_width(85) == 6 and neardup.band_width(80) == 5
+
+
 def test_near_duplicate_edges(spark):
     df = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (3, "A b  c"), (None, "a b c"), (None, None)], DOCS)
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
