@@ -149,15 +149,18 @@ def export_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    rows = wanted.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("id")))
-    most = rows.groupBy("name").agg(F.max("k").alias("need"))
+    named = wanted.where("name IS NOT NULL")
+    rows = named.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("id")))
     # the numbers in use: of ``stem (n).ext`` among what is there, n for the wanted name, 1 for the name itself
     numbered_ = F.regexp_extract("name", r"^(.*) \((\d+)\)(\.[^.]+)?$", 2)
     base = F.regexp_replace("name", r"^(.*) \((\d+)\)(\.[^.]+)?$", "$1$3")
     # wanted names can themselves be numbered forms of others: they are taken, too
     all_taken = taken.select("name").unionByName(wanted.select("name")).distinct()
     used = all_taken.where(numbered_ != "").select(base.alias("name"), numbered_.cast("int").alias("n")).unionByName(taken.select("name", F.lit(1).alias("n"))).distinct()
-    held = used.groupBy("name").agg(F.sort_array(F.collect_set("n")).alias("used"))
-    slots = most.join(held, "name", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
-    free = slots.select("name", F.slice(F.array_except(F.sequence(F.lit(1), F.col("need") + F.size("used") + 1), "used"), 1, F.col("need")).alias("free"))
-    return rows.join(free, "name").select("id", X.numbered(F.col("name"), F.element_at("free", F.col("k"))).alias("name"))
+    # a used number shifts those rows that have no more free numbers before theirs than lie under it
+    under = F.col("n") - F.row_number().over(Window.partitionBy("name").orderBy("n"))
+    marks = used.where("n >= 1").select(F.lit(None).cast(wanted.schema["id"].dataType).alias("id"), "name", under.alias("at"), F.lit(0).alias("side"))
+    both = rows.select("id", "name", (F.col("k") - 1).alias("at"), F.lit(1).alias("side")).unionByName(marks)
+    before = Window.partitionBy("name").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("n", (F.col("at") + 1 + F.count_if(F.col("side") == 0).over(before)).cast("int")).where("side = 1")
+    return placed.select("id", X.numbered(F.col("name"), F.col("n")).alias("name"))

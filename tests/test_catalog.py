@@ -17,6 +17,12 @@ def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.SQL)
 
 
+def test_export_names_of_every_photo(spark):
+    folder = "/root/testdata/sf0.01"
+    got, n = catalog.QUERIES["export_names_all"](spark, folder), catalog.photos(spark, folder).count()
+    assert got.count() == got.select("name").distinct().count() == n
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["id", "relative_path"] and df.count() > 0

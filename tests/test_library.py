@@ -194,6 +194,16 @@ def test_export_names(spark):
     assert len(set(got.values())) == 5 and not {"a.jpg", "b"} & set(got.values()) and got[5] == "c.png" and got[3] == "b (2)"
 
 
+def test_export_names_are_the_first_free_ones(spark):
+    wanted = [(k, "a.jpg") for k in range(1, 9)] + [(20, "a (4).jpg"), (21, "b.png"), (22, "b.png")]
+    there = ["a.jpg", "a (3).jpg", "a (6).jpg", "a (40).jpg", "a (0).jpg", "b (2).png"]
+    df = N.export_names(spark.createDataFrame(wanted, "id long, name string"), spark.createDataFrame([(t,) for t in there], "name string"))
+    got = {r["id"]: r["name"] for r in df.collect()}
+    assert got == {k + 1: f"a ({n}).jpg" for k, n in enumerate([2, 5, 7, 8, 9, 10, 11, 12])} | {20: "a (4).jpg", 21: "b.png", 22: "b (3).png"}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "sequence(" not in plan  # no array of a name's clashes
+
+
 # --- the store
 
 
