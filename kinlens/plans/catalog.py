@@ -213,6 +213,11 @@ def _(spark, sf):
     return faces(spark, sf).where("photo_id % 50 = 0").select("photo_id", "line", X.face_line(F.col("bbox_x"), F.col("bbox_y"), F.col("bbox_w"), F.col("bbox_h"), F.col("person_id")).alias("shown"))
 
 
+@query("face_lines_all", "SELECT photo_id, line, printf('person %s · bbox [x=%.3f y=%.3f w=%.3f h=%.3f]', coalesce(person_id::VARCHAR, '—'), bbox_x, bbox_y, bbox_w, bbox_h) AS shown FROM v_face", "v_face")
+def _(spark, sf):
+    return faces(spark, sf).select("photo_id", "line", X.face_line(F.col("bbox_x"), F.col("bbox_y"), F.col("bbox_w"), F.col("bbox_h"), F.col("person_id")).alias("shown"))
+
+
 @query("quality_gate", "SELECT photo_id, line, quality FROM v_face WHERE quality IS NULL OR quality >= 0.3", "v_face")
 def _(spark, sf):
     return faces(spark, sf).where(I.passes_quality(F.col("quality"))).select("photo_id", "line", "quality")

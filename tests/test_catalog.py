@@ -23,6 +23,11 @@ def test_export_names_of_every_photo(spark):
     assert got.count() == got.select("name").distinct().count() == n
 
 
+def test_face_lines_of_every_face(spark, small):
+    got, every = catalog.QUERIES["face_lines_all"](spark, small), catalog.faces(spark, small)
+    assert got.count() == every.count() > every.where("photo_id % 50 = 0").count()
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["id", "relative_path"] and df.count() > 0
