@@ -2,8 +2,9 @@
 
 Audio is cut into overlapping frames; each frame's power spectrum is folded to twelve pitch classes and normalised. Sixteen
 rectangle filters over the running (time, class) image, evaluated with an integral image, each give two bits: one packed
-32-bit integer a frame. Recordings align where an offset histogram over equal high halves of the integers peaks; the
-alignment's bit error over the overlap decides.
+32-bit integer a frame. Recordings can align at every offset with enough votes in a histogram over equal high halves of the
+integers; the bit error over the overlap decides, and the best offset of a recording is its alignment (one for each recording,
+however often it holds the query).
 
 Defined results: null, empty or too short audio has an empty fingerprint and aligns with nothing; silence has a
 fingerprint of equal integers and aligns with silence; an odd last byte is no sample; repeated rows are each a
@@ -150,7 +151,8 @@ class PrintIndex:
         self.longest = int(lengths.max(initial=0))
 
     def align(self, query: np.ndarray, most_error: float) -> list[tuple[int, int, int, float]]:
-        """(class, offset of the query in the recording, votes, bit error) of every class of recordings that aligns."""
+        """(class, offset of the query in the recording, votes, bit error) of every class of recordings that aligns: of its offsets with enough
+        votes that pass, the one of the least bit error, then of most votes, then the smallest."""
         keys, places = query >> np.uint32(16), np.arange(len(query))
         low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
         each = high - low
@@ -162,17 +164,15 @@ class PrintIndex:
         enough = votes >= max(2, LEAST_VOTES * len(query))
         code, votes = code[enough], votes[enough]
         rec = code // (2 * span)
-        best = np.lexsort((code, -votes, rec))
-        best = best[np.flatnonzero(np.diff(rec[best], prepend=-1))]  # the highest peak of each recording
-        out = []
-        for r, offset, v in zip(rec[best].tolist(), (code[best] % (2 * span) - span).tolist(), votes[best].tolist()):
+        best: dict[int, tuple[float, int, int]] = {}
+        for r, offset, v in zip(rec.tolist(), (code % (2 * span) - span).tolist(), votes.tolist()):
             p = self.prints[r]
             s, e = max(0, -offset), min(len(query), len(p) - offset)
             if e - s >= max(1, LEAST_OVERLAP * len(query)):
                 error = float(np.bitwise_count(query[s:e] ^ p[s + offset : e + offset]).mean() / 32)
                 if error <= most_error:
-                    out.append((self.ids[r], offset, v, error))
-        return out
+                    best[r] = min(best.get(r, (2.0, 0, 0)), (error, -v, offset))
+        return [(self.ids[r], offset, -v, error) for r, (error, v, offset) in best.items()]
 
 
 def _ask(most_error: float, index: PrintIndex, batch: pa.RecordBatch) -> Iterator[dict[str, list]]:

@@ -354,6 +354,17 @@ def test_every_copy_aligns(spark):
     assert chroma.alignments(prints, asked, k=3).count() == 6
 
 
+def test_a_lower_peak_aligns(spark):
+    """The most votes are at an offset with too little overlap; the excerpt lies at another."""
+    rng = np.random.default_rng(7)
+    asked = rng.integers(0, 1 << 32, 100, dtype=np.uint32)
+    true = asked ^ np.where(rng.random(100) < 0.8, np.uint32(1 << 20), np.uint32(0)).astype(np.uint32)  # few high halves are equal
+    whole = np.concatenate([asked[60:], rng.integers(0, 1 << 32, 30, dtype=np.uint32), true])
+    prints = spark.createDataFrame([(1, whole.astype("<u4").tobytes())], PRINTS)
+    (found,) = chroma.alignments(prints, spark.createDataFrame([(9, asked.astype("<u4").tobytes())], PRINTS)).collect()
+    assert found["offset"] == 70 and found["votes"] < 40
+
+
 def test_chroma_query(spark):
     got = [r for r in registry.op2_chroma(spark, "/root/testdata/sf0.01").collect() if r["rank"] == 1]
     assert len(got) == 10 and all(r["query_id"] == r["rec_id"] for r in got)
