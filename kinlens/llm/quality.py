@@ -82,7 +82,8 @@ def score(model: Model, text: str | None) -> float:
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(doc_id, label, rows, counts) of the sampled documents: the distinct table rows of each, with their counts."""
+    """(doc_id, label, rows, counts) of the sampled documents: the distinct table rows of each, with their counts, in 16 bits
+    where all of a document's fit and else in 32."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").alias("label")).distinct()
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "label").limit(sample)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
@@ -91,7 +92,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample: int) -> DataFr
         for b in batches:
             for s in in_pieces(b["text"]):
                 each = [np.unique(np.concatenate(f), return_counts=True) if (f := features(t)) else (np.empty(0, np.int32), np.empty(0, np.int64)) for t in b["text"][s]]
-                yield {"doc_id": b["doc_id"][s], "label": b["label"][s], "rows": [u.astype("<i4").tobytes() for u, _ in each], "counts": [np.minimum(c, 65_535).astype("<u2").tobytes() for _, c in each]}
+                yield {"doc_id": b["doc_id"][s], "label": b["label"][s], "rows": [u.astype("<i4").tobytes() for u, _ in each], "counts": [c.astype("<u2" if c.max(initial=0) < 1 << 16 else "<u4").tobytes() for _, c in each]}
 
     return map_batches(found, run, "doc_id long, label int, rows binary, counts binary")
 
@@ -104,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 0)
     if not len(y) or y.min() == y.max():
         share = 0.5 if not len(y) else float(np.clip(y[0], 1e-6, 1 - 1e-6))
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    bags = [(np.frombuffer(r.rows, "<i4"), np.frombuffer(r.counts, "<u2")) for r in rows]  # views of what came, no copies
+    bags = [(np.frombuffer(r.rows, "<i4"), np.frombuffer(r.counts, "<u2" if 2 * len(r.counts) == len(r.rows) else "<u4")) for r in rows]  # views of what came, no copies
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32)

@@ -183,6 +183,15 @@ def test_quality_edges(spark):
     assert quality.scored(spark.createDataFrame([], DOCS), both).count() == 0
 
 
+def test_quality_counts_are_exact(spark):
+    docs = [(1, "aaaa " * 70_000 + "end"), (2, "a few words")]
+    got = quality.labelled_features(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int"), 10).collect()
+    for r in got:
+        counts = np.frombuffer(r["counts"], "<u2" if 2 * len(r["counts"]) == len(r["rows"]) else "<u4")
+        assert counts.sum(dtype=np.int64) == sum(map(len, quality.features(dict(docs)[r["doc_id"]])))
+    assert {len(r["counts"]) * 4 // len(r["rows"]) for r in got} == {2, 4}
+
+
 def test_quality_blocks_do_not_change_features(monkeypatch):
     text = ("word ünd " * 400).strip()
     whole = np.sort(np.concatenate(quality.features(text)))
