@@ -1,11 +1,13 @@
 """Secret scans: base patterns, and assignment-aware lexing of source and configuration syntax.
 
-The lexer reads name-literal pairs (``name = "x"``, ``name: x``, ``"name": "x"``, ``<name>x</name>``, ``--name x``),
-propagates constants (``a = "x"; token = a``, and ``+`` of literals and names), and scores each literal by
-how sensitive its target's name is and how random the literal looks. Only texts that hold part of a sensitive name are lexed.
+The lexer reads name-literal pairs: ``name = "x"``, ``name: x``, ``"name": "x"``, ``name: type = "x"``, ``var name type = "x"``,
+``a["name"] = "x"``, ``#define name "x"``, ``ENV name x``, ``<name>x</name>``, ``--name x``; strings with prefixes, in triple quotes and
+back quotes, in parentheses, on the next line, and block scalars. It propagates constants (``a = "x"; token = a``, and ``+`` of literals and
+names), and scores a literal by the most sensitive of the targets that it reaches and by how random the target's value looks.
+Each literal comes once; time grows with the text, not with its chains. Only texts that hold a sensitive name are lexed.
 
 Defined results: a null or empty text has no spans; texts are read whole, whatever their length; repeated
-rows give repeated results. Offsets are code points, ends exclusive.
+rows give repeated results. Offsets are code points, ends exclusive. A name means its latest assignment above.
 """
 
 from __future__ import annotations
@@ -36,13 +38,32 @@ LEAST_SCORE, LEAST_LITERAL = 0.55, 8
 _STEM = re.compile("|".join(sorted(SENSITIVE, key=len, reverse=True)))
 #: Found in every lower-cased text that holds a name to which :func:`sensitivity` gives anything: words can be joined as in camelCase.
 _GATE = re.compile("|".join(sorted({w.replace("_", "[-_.]?") for w in SENSITIVE}, key=len, reverse=True)))
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
+#: Words of placeholders and of names, for how much of a literal they make up.
+_PLAIN = re.compile("|".join(sorted([*HARMLESS, *(w.replace("_", "[-_.]?") for w in SENSITIVE)], key=len, reverse=True)))
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+#: A string with its prefix; runs are possessive, so that no text is read again and again.
+_STRING = (
+    r"""(?:(?<![A-Za-z0-9_])[A-Za-z]{1,2})?(?:\"\"\"[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+\"\"\"|\'\'\'[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+\'\'\'"""
+    r"""|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|`[^`\n]*+`)"""
+)
+_TYPE = r"[&*]*+(?:'[a-z]++[ \t]++)?[A-Za-z_][\w.]*+(?:[\[<][\w., |\[<]*+[\]>]++)?(?:[ \t]*+\|[ \t]*+[\w.]++)*+[?*&!]*+"
+#: What can stand behind an operator: strings in parentheses, one or a bare word with what is added to it, a string on the next line, a block scalar.
+_VALUE = (
+    rf"""\([ \t]*+(?:\n\s*+)?{_STRING}(?:\s*+\+?\s*+{_STRING})*+"""
+    rf"""|(?:{_STRING}|[^\s"'`+,;#<>(){{}}\[\]|]++(?<!:))(?:[ \t]*+\+[ \t]*+(?:\\?\n[ \t]*+)?(?:{_STRING}|{_NAME})|[ \t]*+{_STRING})*+"""
+    rf"""|\\?\n[ \t]*+{_STRING}(?![ \t]*+[:=])|[|>][-+]?[ \t]*+\n[ \t]++[^\s"'`]++"""
+)
 _PAIR = re.compile(
-    rf"""(?P<q>["']?)(?<![A-Za-z0-9_.\-])(?P<name>{_NAME})(?P=q)[ \t]*(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*(?P<value>(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s"'+,;#<>(){{}}\[\]]+)(?:[ \t]*\+[ \t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|{_NAME}))*)"""
-    rf"""|<(?P<tag>{_NAME})>(?P<inner>[^<>\n]*)</(?P=tag)>"""
-    rf"""|(?<![\w-])--(?P<flag>[A-Za-z][A-Za-z0-9_\-]*)[ \t]+(?P<given>[^\s"'-][^\s"']*)"""
+    rf"""(?P<q>["']?)(?<![A-Za-z0-9_.\-])(?:(?:var|const)[ \t]++(?P<go>{_NAME})(?=[ \t]+[\w\[\]*.]++[ \t]*+=))?(?P<name>(?(go)[ \t]++[\w\[\]*.]++|{_NAME}))(?P=q)[ \t]*+(?:\[\w*+\][ \t]*+|\][ \t]*+)?"""
+    rf"""(?::[ \t]*+(?P<type>{_TYPE})[ \t]*+(?==(?![=>])))?(?P<op>:=|=>|=(?![=>])|:(?![:=]))[ \t]*+(?P<value>{_VALUE})"""
+    rf"""|<(?P<tag>{_NAME})>(?P<inner>[^<>\n]*+)</(?P=tag)>"""
+    rf"""|(?<![\w-])--(?P<flag>[A-Za-z][A-Za-z0-9_\-]*+)[ \t]++(?P<given>[^\s"'-][^\s"']*+)"""
+    rf"""|(?:\#[ \t]*+define|(?<![\w-])(?:ENV|setenv))[ \t]++(?P<macro>{_NAME})[ \t]++(?P<body>{_STRING}|[^\s"'`(]++)"""
+)
+_PART = re.compile(
+    r"""\"\"\"((?:[^"\\]|\\[\s\S]|"(?!""))*+)\"\"\"|\'\'\'((?:[^'\\]|\\[\s\S]|'(?!''))*+)\'\'\'|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`"""
+    r"""|([^\s"'`+]++)(?!["'`])|[A-Za-z]{1,2}(?=["'`])"""
 )
-_PART = re.compile(rf""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"'+]+)""")
 _IDENTIFIER = re.compile(_NAME + r"\Z")
 
 
@@ -59,56 +80,107 @@ class Literal(NamedTuple):
 def sensitivity(name: str) -> float:
     """The highest sensitivity of a name's words; ``camelCase`` and ``kebab-case`` count as ``snake_case``."""
     snake = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower().replace("-", "_").replace(".", "_")
-    if any(w in snake for w in HARMLESS):
-        return 0.0
-    return max((SENSITIVE[m] for m in _STEM.findall(snake)), default=0.0)
-
-
-def randomness(value: str) -> float:
-    """0 to 1: bits a character against four, and the number of character classes."""
-    if len(value) < LEAST_LITERAL or any(w in value.lower() for w in HARMLESS):
-        return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(1.0, bits / 4) * (0.4 + 0.2 * min(classes, 3))
-
-
-def _resolved(binding: list) -> list[tuple[str, int, int]]:
-    """The literals that a binding reaches through names, each once."""
-    out, seen, todo = [], set(), [binding]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, tuple):
-            out.append(x)
-        elif id(x) not in seen:
-            seen.add(id(x))
-            todo.extend(reversed(x))
+    found = _STEM.findall(snake)
+    return 0.0 if not found or not set(snake.split("_")).isdisjoint(HARMLESS) else max(SENSITIVE[m] for m in found)
+
+
+def placeholder(value: str) -> bool:
+    """A word of the literal (without digits at its end) says so, or half of it consists of such words and of target names."""
+    low = value.lower()
+    if any(w.rstrip("0123456789") in HARMLESS for w in re.split(r"[^a-z0-9]+", low)):
+        return True
+    plain = sum(len(m[0]) for m in _PLAIN.finditer(low))
+    return plain * 2 >= len(low) and any(w in low for w in HARMLESS)
+
+
+class _Sum:
+    """Characters of a value that is put together: their number, shares and classes. Those beyond ASCII are folded to 128 kinds, and numbers
+    are scaled down when a value doubles on and on, so that it is of bounded size."""
+
+    __slots__ = ("counts", "n", "classes")
+
+    def __init__(self, text: str = "") -> None:
+        folded = Counter(text)
+        self.counts: dict[int, float] = {}
+        for c, k in folded.items():
+            at = ord(c) if c < "\x80" else 128 + ord(c) % 128
+            self.counts[at] = self.counts.get(at, 0.0) + k
+        self.n = float(len(text))
+        self.classes = sum(1 << i for i, f in enumerate((str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum())) if any(map(f, folded)))
+
+    def add(self, other: _Sum) -> None:
+        for c, k in other.counts.items():
+            self.counts[c] = self.counts.get(c, 0.0) + k
+        self.n += other.n
+        self.classes |= other.classes
+        if self.n > 1e15:
+            self.counts = {c: k / 1e6 for c, k in self.counts.items()}
+            self.n /= 1e6
+
+    def randomness(self) -> float:
+        """0 to 1: bits a character against four, and the number of character classes."""
+        if self.n < LEAST_LITERAL:
+            return 0.0
+        bits = -sum(c / self.n * math.log2(c / self.n) for c in self.counts.values())
+        return min(1.0, bits / 4) * (0.4 + 0.2 * min(self.classes.bit_count(), 3))
+
+
+class _Binding:
+    """An assignment: its own literals, the bindings that it names, and the sum of its value."""
+
+    __slots__ = ("name", "own", "uses", "sum", "best")
+
+    def __init__(self, name: str, own: list[tuple[str, int, int]], uses: list[_Binding]) -> None:
+        self.name, self.own, self.uses = name, own, uses
+        self.sum = _Sum("".join(v for v, _, _ in own if not placeholder(v)))
+        for x in uses:
+            self.sum.add(x.sum)
+        self.best: tuple[float, str] = (sensitivity(name) * self.sum.randomness(), name)
+
+
+def _bindings(text: str) -> list[_Binding]:
+    """The assignments of a text, in order."""
+    known: dict[str, _Binding] = {}
+    out: list[_Binding] = []
+    for m in _PAIR.finditer(text):
+        own, uses = [], []
+        names = [m["tag"] or m["flag"] or m["macro"] or m["go"] or m["name"]]
+        if m["tag"] or m["flag"]:
+            k = "inner" if m["tag"] else "given"
+            own.append((m[k], m.start(k), m.end(k)))
+        else:
+            k = "body" if m["macro"] else "value"
+            if m["type"]:
+                names.append(m["type"])
+            at = m.start(k)
+            for p in _PART.finditer(m[k]):
+                if p.lastindex is None:  # a string's prefix
+                    continue
+                x = p[p.lastindex]
+                bare = known.get(x) if p.lastindex == 6 and _IDENTIFIER.match(x) else None
+                if bare is not None:
+                    uses.append(bare)
+                elif x and not (p.lastindex == 6 and x in "(|>\\|-|+>->+"):
+                    own.append((x, at + p.start(p.lastindex), at + p.end(p.lastindex)))
+        made = _Binding(max(names, key=sensitivity), own, uses)  # ``a: b = x`` can be a path as well as a type
+        known[names[0]] = made
+        if len(names) > 1 and sensitivity(names[1]):
+            known[names[1]] = made
+        out.append(made)
     return out
 
 
 def literals(text: str) -> list[Literal]:
-    """All literals with their target; those that reach a sensitive target through constants come once more under its name."""
-    constants: dict[str, list] = {}
-    out: list[Literal] = []
-    for m in _PAIR.finditer(text):
-        binding: list = []  # of (text, start, end), and of the bindings of names
-        if m["tag"]:
-            name, binding = m["tag"], [(m["inner"], m.start("inner"), m.end("inner"))]
-        elif m["flag"]:
-            name, binding = m["flag"], [(m["given"], m.start("given"), m.end("given"))]
-        else:
-            name, at = m["name"], m.start("value")
-            for p in _PART.finditer(m["value"]):
-                k = 1 if p[1] is not None else 2 if p[2] is not None else 3
-                known = constants.get(p[3]) if k == 3 and _IDENTIFIER.match(p[3]) else None
-                binding.append(known if known is not None else (p[k], at + p.start(k), at + p.end(k)))
-        constants[name] = binding
-        sensitive = sensitivity(name)
-        parts = _resolved(binding) if sensitive else [x for x in binding if isinstance(x, tuple)]
-        score = sensitive * randomness("".join(p[0] for p in parts)) if sensitive else 0.0
-        out += [Literal(name, v, s, e, score) for v, s, e in parts if v]
-    return out
+    """All literals, each once, with the target that scores most of those that it reaches (its own, or through constants), the
+    first of several. A placeholder scores nothing and counts for nothing in what it is part of."""
+    made = _bindings(text)
+    order = {id(x): i for i, x in enumerate(made)}
+    first = [(x.best[0], -i, x.name) for i, x in enumerate(made)]
+    for i in range(len(made) - 1, -1, -1):  # a binding is used by later ones alone, which are done
+        for x in made[i].uses:
+            k = order[id(x)]
+            first[k] = max(first[k], first[i])
+    return [Literal(best[2], v, s, e, 0.0 if placeholder(v) else best[0]) for x, best in zip(made, first) for v, s, e in x.own]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

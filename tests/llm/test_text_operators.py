@@ -150,6 +150,87 @@ def test_secrets_do_not_blow_up():
     assert secrets.all_spans("secret --a" + "--a" * 50_000)[1] == []
 
 
+@pytest.mark.parametrize(
+    "form",
+    [
+        'api_token: str = "{}"', 'const authToken: string = "{}"', 'os.environ["DB_SECRET_KEY"] = "{}"', 'password = """{}"""', 'token = f"{}"', '#define PASSPHRASE "{}"', 'token =\n    "{}"',
+        'token = (\n  "{}"\n)', 'var token string = "{}"', "let token: &'static str = \"{}\";", "ENV API_KEY {}", "export TOKEN={}", "password: |\n  {}\n", '$env:DB_PASSWORD = "{}"', 'char token[] = "{}";',
+        "token := `{}`", 'secret: Optional[str] = "{}"', '{{"token":\n "{}"}}', "f(token='{}')", "password => '{}'", "auth: token: {}", 'a = "{}"\nb = a\ntoken: str = b', "secretKey: {}", "run --api-key {}",
+    ],
+)
+@pytest.mark.parametrize("value", ["q8Zr2LmX0vTb", "aB3dNullE5gH7jK9"])
+def test_secrets_syntax(form, value):
+    text = "x = 1\n" + form.format(value) + "\ny = 2"
+    assert [text[s:e] for s, k, e in secrets.all_spans(text)[1] if k == 3] == [value]
+
+
+@pytest.mark.parametrize("text", ['token = "your-api-key-here"', 'password = "changeme123"', "token: str = None", 'secret = "exampleToken123"', 'name = "q8Zr2LmX0vTb" # token', 'sample_token = "q8Zr2LmX0vTb"', "a secret: the tokens of a language are words", "token = example\npassword = a-dummy-q8Zr2L"])
+def test_secrets_placeholders(text):
+    assert not [x for x in secrets.all_spans(text)[1] if x[1] == 3]
+
+
+def test_secrets_next_line_keys_are_no_values():
+    text = 'secret:\n  "api_token": "q8Zr2LmX0vTb"\n  "other": "aaaa"\n'
+    assert [text[s:e] for s, k, e in secrets.all_spans(text)[1] if k == 3] == ["q8Zr2LmX0vTb"]
+
+
+def brute_named(program):
+    """Places of literals of a straight-line program [(target, [literal or name])] whose best target scores enough: every value is
+    put together anew, with all literals that it holds."""
+    values, reach = {}, {}
+    for i, (target, parts) in enumerate(program):
+        text, held = "", set()
+        for j, (kind, x) in enumerate(parts):
+            if kind == "literal":
+                text, held = text + x, held | {(i, j)}
+            elif x in values:
+                text, held = text + values[x][0], held | values[x][1]
+            else:  # an unknown name is a literal itself
+                text, held = text + x, held | {(i, j)}
+        values[target] = text, held
+        n = max(len(text), 1)
+        bits = -sum(text.count(c) / n * np.log2(text.count(c) / n) for c in set(text))
+        classes = min(3, sum([any(map(str.islower, text)), any(map(str.isupper, text)), any(map(str.isdigit, text)), any(not c.isalnum() for c in text)]))
+        score = secrets.sensitivity(target) * (min(1, bits / 4) * (0.4 + 0.2 * classes) if len(text) >= 8 else 0)
+        for at in held:
+            reach[at] = max(reach.get(at, 0), score)
+    return {at for at, score in reach.items() if score >= secrets.LEAST_SCORE}
+
+
+def test_secrets_propagation_is_brute_force():
+    rng = np.random.default_rng(3)
+    names = ["a", "b", "c", "token", "db_pwd", "clientKey", "x.secret"]
+    letters = list("abcXYZ0123456789+/kLmQ")
+    some = 0
+    for _ in range(300):
+        program, text, places = [], "", {}
+        for i in range(rng.integers(1, 14)):
+            target, parts = str(rng.choice(names)), []
+            text += f"{target} = "
+            for j in range(rng.integers(1, 4)):
+                text += " + " if j else ""
+                if rng.random() < 0.5:
+                    parts.append(("name", str(rng.choice(names))))
+                    places[i, j] = len(text), len(text) + len(parts[-1][1])
+                    text += parts[-1][1]
+                else:
+                    parts.append(("literal", "".join(rng.choice(letters, rng.integers(1, 10)))))
+                    places[i, j] = len(text) + 1, len(text) + 1 + len(parts[-1][1])
+                    text += f'"{parts[-1][1]}"'
+            text += "\n"
+            program.append((target, parts))
+        named = {(x.start, x.end) for x in secrets.literals(text) if x.score >= secrets.LEAST_SCORE}
+        assert named == {places[at] for at in brute_named(program)}, text
+        some += bool(named)
+    assert some > 50
+
+
+def test_secrets_long_chains_are_linear():
+    text = 'token = token + "aB3dE5g7"\n' * 40_000
+    found = secrets.literals(text)
+    assert len(found) == 40_001 and len({(x.start, x.end) for x in found}) == len(found)  # the first ``token`` is a word
+
+
 def test_secrets_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "token = 'Zq81mPlw0Xk2'"), (3, "token = 'Zq81mPlw0Xk2'"), (None, "x")], DOCS)
     got = secrets.scan(df).collect()
