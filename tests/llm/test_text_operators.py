@@ -281,6 +281,62 @@ def test_quality_blocks_do_not_change_features(monkeypatch):
     assert np.isin(np.concatenate(quality.features(text)), whole).all()
 
 
+def test_quality_features_are_the_same_for_any_block(monkeypatch):
+    texts = ["word ünd " * 400, "é" * 5000, "\n" * 700 + "x", "日本 語テ😀 " * 300 + "a" * 1003, "a b", "", " "]
+    whole = [np.sort(np.concatenate([*quality.features(t), np.empty(0, int)])).tolist() for t in texts]
+    assert [len(x) for x in whole] == [max(len(re.findall("[^\x20\x09-\x0d]+", t)) + sum(max(len(t) - n + 1, 0) for n in quality.GRAMS), 0) for t in texts]
+    for block in (1, 2, 7, 500, 501, 1003):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        assert [np.sort(np.concatenate([*quality.features(t), np.empty(0, int)])).tolist() for t in texts] == whole
+
+
+def brute_rows(text):
+    """Table rows in plain integers: of words, and of n-grams of code points."""
+    m64, m32 = (1 << 64) - 1, (1 << 32) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m64
+        return x ^ (x >> 31)
+
+    out = []
+    for w in re.findall("[^\x20\x09-\x0d]+", text):
+        out.append(mix((sum((ord(c) + 1) * (mix((i + 1) * 0x9E3779B97F4A7C15 & m64) | 1) for i, c in enumerate(w)) + len(w)) & m64) % quality.BUCKETS)
+    for n in quality.GRAMS:
+        for i in range(len(text) - n + 1):
+            h = ord(text[i])
+            for c in text[i + 1 : i + n]:
+                h = (h * 0x01000193 + ord(c)) & m32
+            h = (h ^ (n * 0x9E3779B1 & m32)) * 0x85EBCA6B & m32
+            out.append((h ^ (h >> 15)) % quality.BUCKETS)
+    return out
+
+
+def test_quality_score_is_average_and_softmax():
+    texts = [("a plain sentence of words", 1), ("### $$$ ###", 0), ("noch ein süßer Satz", 1), ("zzzz zzzz zzzz", 0), ("", 1)] * 4
+    learned = quality.trained([(y, *quality._counted(t)) for t, y in texts])
+    model = learned.collapsed()
+    for text in ["a plain süß word", "###", "", "日本語 😀 x", " ", "ab", "w" * 5000 + " tail"]:
+        rows = brute_rows(text)
+        vectors = [learned.table[r].astype(float) for r in rows]
+        mean = sum(vectors) / len(vectors) if vectors else np.zeros(quality.WIDTH)
+        z = [float(learned.bias[k]) + sum(float(a) * b for a, b in zip(learned.out[k], mean)) for k in (0, 1)]
+        p = np.exp(z[1]) / (np.exp(z[0]) + np.exp(z[1]))
+        assert abs(quality.score(model, text) - p) < 1e-9
+        assert abs(learned.probabilities(np.array(rows, int))[1] - p) < 1e-9
+
+
+def test_quality_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} " + "w" * i) for i in range(40)] + [(7, "text of a repeated id")] * 3, DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    every = quality.sampled(docs, labels)
+    assert len(every) == 40  # one row an id
+    some = quality.sampled(docs, labels, sample_bytes=2000)
+    size = lambda bags: sum(4 * len(r) + c.nbytes for _, r, c in bags)
+    assert 0 < len(some) < 40 and size(some) <= 2000 < size(every)
+    assert quality.sampled(docs, labels, sample_bytes=10) == []
+
+
 # --- BPE
 
 HARD = ["", "aaaa aaaaa" * 50, "<|endoftext|>hi<|endoftext|> x  y\n\n z", "ab՘c 12²3 \x1c\x85 　x", "é" * 1000, "日本語テスト😀😀", " " * 500 + "x", "a" * 20001, "'s don't we'll I'LL", "\x00\x00 \x00a"]
