@@ -3,10 +3,11 @@
 ``packed_matrices`` packs token ids where they are read and returns id matrices, cumulative segment lengths
 and positions; bins are found with a segment tree over residual capacities. ``certified_packing`` plans
 places only: each partition's best-fit-decreasing result is held against dual-feasible-function lower
-bounds, and partitions with a gap exchange their unfilled sequences' pieces and pack again.
+bounds, and partitions with a gap exchange their unfilled sequences' pieces and pack again, until a round saves nothing.
 
 Defined results: null and empty texts are the end id alone (one piece of length 1); a document longer than a
-sequence is cut without loss; repeated rows are packed once each; an empty table gives no rows.
+sequence is cut without loss; repeated rows are packed once each; an empty table gives no rows. Sequence ids are unique
+numbers without meaning: they come from partition and group numbers, so they change with the layout of the files read.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ MEMO, SHORT = 200_000, 6
 #: Pieces packed together by ``packed_matrices``, and about as many in a partition of ``certified_packing``.
 MATRIX_PIECES = 4096
 PARTITION_PIECES = 16_384
-#: Exchanges between partitions with a gap.
-ROUNDS = 4
+#: Share of its sequences, the emptiest, that a partition at its bound offers in the first phase, and their least number.
+OFFERED, LEAST_OFFERED = 1 / 50, 8
 
 
 class WordIds(dict):
@@ -114,14 +115,17 @@ def cut_batches(batches, source: str, capacity: int) -> Iterator[dict[str, list]
 
 
 def encoded_pieces(docs: DataFrame, tokenizer: str | None, capacity: int) -> DataFrame:
-    """Pieces of every document: doc_id, piece, start, length, ids_crc32."""
+    """Pieces of every document: doc_id, piece, start, length, ids_crc32, and the piece's number ``row`` (partition and place in it)."""
     source = docs.sparkSession.sparkContext.broadcast(tokenizer_source(tokenizer))
 
     def run(batches):
+        at = TaskContext.get().partitionId() << 40
         for b in cut_batches(batches, source.value, capacity):
-            yield b | {"ids_crc32": list(map(zlib.crc32, b["ids"]))}
+            n = len(b["doc_id"])
+            yield b | {"ids_crc32": list(map(zlib.crc32, b["ids"])), "row": list(range(at, at + n))}
+            at += n
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
 
 
 class CapacityTree:
@@ -257,62 +261,81 @@ def write_packed(docs: DataFrame, path: str, **options) -> None:
     packed_matrices(docs, **options).write.parquet(path)
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, grp long, bin long, offset long, n_bins long, least_bins long, gives boolean"
+_PIECE = ("doc_id", "piece", "start", "length", "ids_crc32", "row")
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, grp long, bin long, offset long, n_bins long, least_bins long, phase int"
 
 
 def _pack_partition(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Best-fit decreasing of a partition; ``gives`` marks the pieces that it offers for exchange."""
-    pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
+    """Best-fit decreasing of a partition; ``phase`` says when a piece's sequence is offered for exchange: from phase 0, from 1, or never (2)."""
+    pdf = pdf.sort_values(["length", "row"], ascending=[False, True], kind="stable", ignore_index=True)
     lengths = pdf["length"].to_numpy(np.int64)
     bins, offsets, n = best_fit_decreasing(lengths, CAPACITY)
     fill = np.bincount(bins, lengths, n).astype(np.int64)
     least = fractional_bound(np.bincount(lengths, minlength=CAPACITY + 1), CAPACITY)
-    if n > math.ceil(least - 1e-9):
-        gives = fill < CAPACITY
-    else:  # optimal by itself, but for the rounding: what is emptiest may fit in with others'
-        gives = np.zeros(n, bool)
-        if n - least > 1e-9:
-            gives[np.argsort(fill, kind="stable")[: max(8, n // 50)]] = True
-        gives &= fill < CAPACITY
-    return pdf.assign(bin=bins, offset=offsets, n_bins=n, least_bins=math.ceil(least - 1e-9), gives=gives[bins])
+    phase = np.full(n, 2, np.int32)
+    if n - least > 1e-9:  # else its share of sequences is the least that it can be
+        phase[:] = 1
+        over = n > math.ceil(least - 1e-9)
+        phase[np.argsort(fill, kind="stable")[: n if over else max(LEAST_OFFERED, int(n * OFFERED))]] = 0
+        phase[fill == CAPACITY] = 2
+    return pdf.assign(bin=bins, offset=offsets, n_bins=n, least_bins=math.ceil(least - 1e-9), phase=phase[bins])
 
 
-def _dealt(pieces: DataFrame, rows: int, salt: int) -> DataFrame:
-    """Pieces dealt into partitions of about PARTITION_PIECES by a hash."""
-    groups = max(1, round(rows / PARTITION_PIECES))
-    return pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(salt)), F.lit(groups)))
+def _packed(pieces: DataFrame, rows: int, salt: int, bins: int | None = None) -> DataFrame:
+    """Pieces dealt by their number into partitions of about PARTITION_PIECES, and packed; rows that are alike are dealt apart, too.
 
+    Pieces of ``bins`` sequences go to partitions of LEAST_OFFERED sequences' pieces at least, however small those are."""
+    groups = max(1, round(rows / PARTITION_PIECES) if bins is None else min(round(rows / PARTITION_PIECES), bins // LEAST_OFFERED))
+    dealt = pieces.select(*_PIECE, F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(groups)).alias("grp"))
+    return written(dealt.groupBy("grp").applyInPandas(_pack_partition, _PACKED), f"packed-{salt}").withColumn("round", F.lit(salt))
 
-def certified_packing(docs: DataFrame, tokenizer: str | None = None, rounds: int = ROUNDS) -> DataFrame:
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def certified_packing(docs: DataFrame, tokenizer: str | None = None, rounds: int | None = None) -> DataFrame:
     """Places of all pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and per piece the
     number of sequences ``n_bins`` of the partition that placed it with its lower bound ``least_bins``.
 
     A partition whose sequences are over its bound offers all that are not full; one that meets it is proven optimal and
-    offers only its emptiest, for the fraction that its bound was rounded up by. Offered pieces of all partitions are dealt anew among
-    fewer partitions and packed again, as long as that saves sequences. Only lengths move, never ids.
+    offers its emptiest, for the fraction that its bound was rounded up by. Offered pieces of all partitions are dealt anew among
+    fewer partitions and packed again, as long as that saves sequences; then all unfilled sequences are offered, but for those of partitions
+    without any slack, again as long as that saves some (or for ``rounds`` rounds, where a caller bounds the time). It ends early at the
+    lower bound over all pieces. Only lengths move, never ids.
     """
     pieces = written(encoded_pieces(docs, tokenizer, CAPACITY), "pieces")
-    current = written(_dealt(pieces, pieces.count(), 0).groupBy("grp").applyInPandas(_pack_partition, _PACKED), "packed-0")
-    kept = []
-    for k in range(1, rounds + 1):
-        gap = F.col("gives")
-        stats = current.agg(F.count_if(gap & (F.col("offset") == 0)).alias("bins"), F.count_if(gap).alias("rows"), F.count_distinct(F.when(gap, F.col("grp"))).alias("groups")).first()
-        if stats.groups < 2:  # nothing to exchange with
-            break
-        again = _dealt(current.where(gap).select("doc_id", "piece", "start", "length", "ids_crc32"), stats.rows, k)
-        again = written(again.groupBy("grp").applyInPandas(_pack_partition, _PACKED), f"packed-{k}")
-        if again.where("offset = 0").count() >= stats.bins:
-            discard(again)
-            break
-        kept.append(current.where(~gap).withColumn("round", F.lit(len(kept))))
-        current = again
-    done = [*kept, current.withColumn("round", F.lit(len(kept)))]
+    counts = np.zeros(CAPACITY + 1, np.int64)
+    for r in pieces.groupBy("length").count().collect():  # CAPACITY rows at most
+        counts[r["length"]] = r["count"]
+    least = lower_bound(counts, CAPACITY)
+    held = [_packed(pieces, int(counts.sum()), 0)]
     discard(pieces)
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    identity = F.shiftleft(F.col("round").cast("long"), 58) + F.shiftleft("grp", 28) + F.col("bin")
-    return out.withColumn("sequence_id", identity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "n_bins", "least_bins")
+    made = held[0].where("offset = 0").count()
+    phase, k = 0, 0
+    while made > least and (rounds is None or k < rounds):
+        k += 1
+        gives = F.col("phase") <= phase
+        now = _union(held)
+        stats = now.agg(F.count_if(gives & (F.col("offset") == 0)).alias("bins"), F.count_if(gives).alias("rows"), F.count_distinct(F.when(gives, F.struct("round", "grp"))).alias("groups")).first()
+        saved = 0
+        if stats.groups > 1:  # else there is nothing to exchange with
+            again = _packed(now.where(gives), stats.rows, k, stats.bins)
+            saved = stats.bins - again.where("offset = 0").count()
+            if saved > 0:
+                held = [*(x.where(~gives) for x in held), again]
+                made -= saved
+            else:
+                discard(again)
+        if saved <= 0:
+            if phase:
+                break
+            phase = 1
+    identity = F.shiftleft(F.col("round").cast("long"), 48) + F.shiftleft("grp", 20) + F.col("bin")
+    return _union(held).withColumn("sequence_id", identity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "n_bins", "least_bins")
 
 
 def packing_report(packed: DataFrame) -> DataFrame:

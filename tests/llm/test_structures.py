@@ -104,6 +104,27 @@ def test_packing_edges(spark):
     assert packing.packed_matrices(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_repeated_rows_are_dealt_apart(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PARTITION_PIECES", 50)
+    same = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    pieces = packing.written(packing.encoded_pieces(same, None, 1024), "pieces")
+    groups = [r["count"] for r in packing._packed(pieces, 1000, 0).groupBy("grp").count().collect()]
+    assert len(groups) == 20 and max(groups) < 100
+    rows = packing.certified_packing(same).collect()
+    assert len({r["sequence_id"] for r in rows}) == 1 and sorted(r["offset"] for r in rows) == list(range(1000))
+
+
+def test_exchange_goes_on_until_nothing_is_saved(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PARTITION_PIECES", 40)
+    rng = np.random.default_rng(5)
+    docs = [(i, "a" + " a" * int(n)) for i, n in enumerate(rng.integers(100, 900, 600))]
+    df = spark.createDataFrame(docs, DOCS)
+    made = {k: check_packed(packing.certified_packing(df, rounds=k).collect(), docs) for k in (0, 1, None)}
+    rows = packing.certified_packing(df).collect()
+    least = packing.lower_bound(np.bincount([r["length"] for r in rows], minlength=1025), 1024)
+    assert least <= made[None] <= made[1] <= made[0] and made[None] < made[0]
+
+
 def test_matrices_hold_every_id(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
