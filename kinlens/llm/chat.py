@@ -2,13 +2,15 @@
 
 For every participant of a conversation the dialogue is rendered with that speaker as the assistant, the
 others as named users and system turns as they are; the mask names the character spans (start, end exclusive)
-that the assistant is to learn. Conversations are rendered in parts of ``part_turns`` turn numbers, so that
-a conversation of any length never meets in one task; a part is a row.
+that the assistant is to learn. Conversations are rendered in parts of ``part_turns`` turn numbers, and a part of more turns
+than that (turn numbers can be null or repeated) in sections of so many, so that a conversation of any length never meets in one
+task; a section is a row.
 
 Defined results: a null text is empty; a null role is the participant "unknown"; a null turn orders first, in
-part 0; rows with a null conversation id are each a conversation of their own; repeated rows are rendered as often
-as they occur; ties of a turn order by role, then text; a conversation of system turns alone has no participant and so
-no row; an empty table gives none. Control marks within a text lose their bar, so a text can't forge a turn.
+part 0; rows with a null conversation id are each a conversation of their own; repeated rows are rendered as often as they occur; ties of a turn order by
+role, then by the text's MD5; a conversation of system turns alone has no participant and so no row; an empty table gives none. Control
+marks within a text lose their bar, and a shown role has an underscore for each of ``<|>`` and of control characters, so that neither can
+forge a turn; ``perspective`` is the role as it is.
 """
 
 from __future__ import annotations
@@ -16,26 +18,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered
+
 PART_TURNS = 512
 SYSTEM = "system"
 
 
 def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """Rows (conv_id, perspective, part, n_turns, text, mask): ``mask`` is an array of (start, end)."""
-    alone = F.when(F.col("conv_id").isNull(), F.struct(F.coalesce("turn", F.lit(-1)).alias("t"), F.xxhash64("role", "text").alias("h"), F.monotonically_increasing_id().alias("n")))
+    """Rows (conv_id, perspective, part, section, n_turns, text, mask): ``mask`` is an array of (start, end)."""
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
     rows = turns.select(
-        "conv_id",
-        alone.alias("alone"),
+        F.struct("conv_id", alone.alias("alone")).alias("which"),
         F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)).cast("long").alias("part"),
         "turn",
         F.coalesce("role", F.lit("unknown")).alias("role"),
         F.regexp_replace(F.coalesce("text", F.lit("")), r"<\|", "< ").alias("text"),
-    ).withColumn("which", F.struct("conv_id", "alone"))
-    parts = rows.groupBy("which", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("tie"),
+        F.monotonically_increasing_id().alias("row"),  # so that equal rows can lie in several range partitions
+    )
+    rows = numbered(rows, [F.col(c) for c in ("which", "part", "turn", "role", "tie", "row")], 0, "at").drop("tie", "row")
+    firsts = rows.groupBy("which", "part").agg(F.min("at").alias("first"))
+    # a part can hold a third of all rows; the join deals it out in pieces
+    rows = rows.hint("merge").join(firsts, ["which", "part"]).withColumn("section", F.expr(f"(at - first) div {int(part_turns)}"))
+    parts = rows.groupBy("which", "part", "section").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text"))).alias("turns"))
     speakers = rows.where(F.col("role") != SYSTEM).select("which", F.col("role").alias("perspective")).distinct()
     views = parts.join(speakers, "which")
+    shown = lambda role: F.regexp_replace(role, r"[<|>\x00-\x1f\x7f]", "_")
     mine = lambda t: t["role"] == F.col("perspective")
-    head = lambda t: F.when(mine(t), F.lit("<|assistant|>\n")).when(t["role"] == SYSTEM, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), t["role"], F.lit("|>\n")))
+    head = lambda t: F.when(mine(t), F.lit("<|assistant|>\n")).when(t["role"] == SYSTEM, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), shown(t["role"]), F.lit("|>\n")))
     made = views.withColumn("said", F.transform("turns", lambda t: F.struct(head(t).alias("head"), F.concat(t["text"], F.lit("<|end|>\n")).alias("body"), mine(t).alias("mine"))))
     size = lambda s: F.char_length(s["head"]) + F.char_length(s["body"])
     step = lambda acc, s: F.struct((acc["at"] + size(s)).alias("at"), F.when(s["mine"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.char_length(s["head"])).alias("start"), (acc["at"] + size(s)).alias("end"))))).otherwise(acc["spans"]).alias("spans"))
@@ -44,6 +54,7 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
         F.col("which.conv_id").alias("conv_id"),
         "perspective",
         "part",
+        "section",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("said", lambda s: F.concat(s["head"], s["body"])), "").alias("text"),
         F.aggregate("said", zero, step, lambda acc: acc["spans"]).alias("mask"),
@@ -57,13 +68,14 @@ def mask_text(mask):
 
 #: DuckDB SQL of op9's rows.
 SQL = r"""
-WITH r AS (SELECT conv_id, coalesce(floor(turn / 512), 0)::BIGINT AS part, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< ') AS text FROM conversations),
+WITH t AS (SELECT conv_id, coalesce(floor(turn / 512), 0)::BIGINT AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+r AS (SELECT conv_id, part, role, replace(text, '<|', '< ') AS text, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, md5(text)) - 1 AS n FROM t),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM r WHERE role <> 'system'),
-v AS (SELECT r.conv_id, p.perspective, r.part, r.turn, r.role, r.text, r.role = p.perspective AS mine,
-  CASE WHEN r.role = p.perspective THEN '<|assistant|>' WHEN r.role = 'system' THEN '<|system|>' ELSE '<|user name=' || r.role || '|>' END || chr(10) AS head,
+v AS (SELECT r.conv_id, p.perspective, r.part, r.n // 512 AS section, r.n, r.role = p.perspective AS mine,
+  CASE WHEN r.role = p.perspective THEN '<|assistant|>' WHEN r.role = 'system' THEN '<|system|>' ELSE '<|user name=' || regexp_replace(r.role, '[<|>\x00-\x1f\x7f]', '_', 'g') || '|>' END || chr(10) AS head,
   r.text || '<|end|>' || chr(10) AS body FROM r JOIN p ON r.conv_id = p.conv_id),
-s AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM v)
-SELECT conv_id, perspective, part, count(*)::BIGINT AS n_turns, string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS text,
+s AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part, section ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM v)
+SELECT conv_id, perspective, part, section, count(*)::BIGINT AS n_turns, string_agg(head || body, '' ORDER BY n) AS text,
   coalesce(string_agg((pos + length(head))::BIGINT || ':' || (pos + length(head) + length(body))::BIGINT, ',' ORDER BY pos) FILTER (WHERE mine), '') AS mask
-FROM s GROUP BY conv_id, perspective, part
+FROM s GROUP BY conv_id, perspective, part, section
 """
