@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,12 +72,39 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def written_sorted(df: DataFrame, what: str, key: str, buckets: int) -> DataFrame:
+    """Like :func:`written`, as a table bucketed by ``key`` with one sorted file a bucket: merge joins and aggregates on ``key`` read it without an
+    exchange, and within :func:`sorted_scans` without a sort. :func:`discard` drops it."""
+    spark = df.sparkSession
+    name = f"kinlens_{what}_{uuid.uuid4().hex}"
+    path = f"{_own_tables(spark)}/{name}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._kinlens_path, out._kinlens_table = path, name
+    return out
+
+
+@contextmanager
+def sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Plans made and run here take a bucket of one sorted file as sorted."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _own_tables(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/kinlens/{spark.sparkContext.applicationId}"
 
 
 def sweep(spark: SparkSession) -> None:
     """Delete all tables that this application has written to the shared folder; results that read them end here."""
+    for t in spark.catalog.listTables(pattern="kinlens_*"):
+        if t.tableType == "EXTERNAL":
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
     _delete(spark, _own_tables(spark))
 
 
@@ -88,5 +117,7 @@ def discard(*frames: DataFrame | None) -> None:
     """Delete tables made by :func:`written` that no later plan reads."""
     for df in frames:
         path = getattr(df, "_kinlens_path", None)
+        if hasattr(df, "_kinlens_table"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._kinlens_table}")
         if path:
             _delete(df.sparkSession, path)
