@@ -1,15 +1,15 @@
 """Line dedup over batches with levelled sorted runs of line hashes, in DataFrame operations only.
 
-A run is a table of (key, n_docs, keeper), sorted by the line's hash in hash-partitioned files. Batches come
-in descending order of document id. The keys of a new batch are merge-anti-joined against the runs: those
-that no run holds get their keeper, the largest document of the batch; the others only add their document
+A run is a table of (key, n_docs, keeper), bucketed and sorted by the line's hash, so that merge joins read it as it lies. Batches come
+in descending order of document id, cut at quantiles. The keys of a new batch are merge-anti-joined against the runs, one after the other:
+those that no run holds get their keeper, the largest document of the batch; the others only add their document
 counts. Both go into one new run of level 0. When a level holds ``fanout`` runs they are compacted into one
 run of the next level, so a batch meets a logarithmic number of runs.
 
 Defined results: a null or empty text is one empty line; a null document id orders below all others and its
 lines count as one document's; rows that repeat a document id are one document for counting and are each cleaned;
 line keys under ``least_chars`` code points are never dropped; an empty table gives no rows; extra columns
-of the input, whatever their names, pass through ``dedup``, but for those with its own names.
+of the input, whatever their names, pass through ``dedup``, but for those with its own names in any case of letters.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import sorted_scans, written_sorted
 from .common import BLANKS, discard, lower_ascii, written
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
-BATCHES = 4
-FANOUT = 4
+BATCHES = 5
+FANOUT = 3
 #: Stands in for a null document id, below every other.
 NO_ID = -(1 << 63)
 
@@ -49,44 +50,47 @@ class SortedRuns:
         self.levels: list[list[DataFrame]] = [[]]
 
     def _run(self, rows: DataFrame) -> DataFrame:
-        return written(rows.repartition(self.partitions, "key").sortWithinPartitions("key"), "run")
+        with sorted_scans(rows.sparkSession):
+            return written_sorted(rows, "run", "key", self.partitions)
 
-    def held(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        if not runs:
-            return None
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out
+    def held(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
 
     def add(self, batch: DataFrame) -> None:
         """``batch``: (key, n_docs, keeper), one row a key; its documents order below those of all batches before."""
-        held = self.held()
-        if held is not None:
-            known = held.where(F.col("keeper").isNotNull()).select("key")  # a key has its keeper in exactly one run
-            new = batch.hint("merge").join(known, "key", "left_anti")
-            old = batch.hint("merge").join(known, "key", "left_semi").withColumn("keeper", F.lit(None).cast("long"))
-            batch = new.unionByName(old)
-        self.levels[0].append(self._run(batch))
+        if runs := self.held():
+            with sorted_scans(batch.sparkSession):
+                new = batch.select("key", "keeper")
+                for run in runs:
+                    new = new.hint("merge").join(run.select("key"), "key", "left_anti")
+                batch = batch.drop("keeper").hint("merge").join(new, "key", "left")
+                self.levels[0].append(self._run(batch))
+        else:
+            self.levels[0].append(self._run(batch))
         for k, level in enumerate(self.levels):
             if len(level) < self.fanout:
                 break
-            merged = level[0]
-            for r in level[1:]:
-                merged = merged.unionByName(r)
             if k + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[k + 1].append(self._run(summed(merged)))
+            self.levels[k + 1].append(self._run(summed(level)))
             discard(*level)
             level.clear()
 
     def totals(self) -> DataFrame | None:
-        held = self.held()
-        return None if held is None else summed(held)
+        runs = self.held()
+        return summed(runs) if runs else None
 
 
-def summed(rows: DataFrame) -> DataFrame:
+def summed(runs: list[DataFrame]) -> DataFrame:
+    """(key, n_docs, keeper) over all runs.
+
+    They are read as plain files: Spark 4.1 plans a union of equally bucketed tables without an exchange, but its columnar scans put
+    the buckets one after the other, so that a key's rows would not meet.
+    """
+    rows = None
+    for r in runs:
+        plain = r.sparkSession.read.schema(r.schema).parquet(r._kinlens_path)
+        rows = plain if rows is None else rows.unionByName(plain)
     return rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
 
 
@@ -97,20 +101,18 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
     row = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("version"), F.posexplode(split_lines(F.col("text"))).alias("at", "line"))
     keyed = row.withColumn("line", line_key(F.col("line"))).where(F.char_length("line") >= least_chars)
     lines = written(keyed.select("id", "version", "at", line_hash(F.col("line")).alias("key")), "lines")
-    ends = lines.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    # a batch holds about as many lines as another, wherever their ids lie
+    cuts = lines.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)] or [0.5], 1000)).first()[0] or []
+    tops = [None, *sorted(set(cuts if batches > 1 else []), reverse=True), None]
     runs = SortedRuns(parts)
-    low, high = (ends.low, ends.high) if ends.low is not None else (0, 0)
-    step = -(-(high - low + 1) // batches)
-    for k in range(batches):
-        top = high - k * step
-        if top < low:
-            break
-        batch = lines.where((F.col("id") <= top) & (F.col("id") > max(top - step, NO_ID - 1) if top - step >= NO_ID else F.col("id") <= top))
+    for top, low in zip(tops, tops[1:]):
+        batch = lines if top is None else lines.where(F.col("id") <= top)
+        batch = batch if low is None else batch.where(F.col("id") > low)
         # the partial sum holds a document once: (key, id) first, then ids are counted
         runs.add(batch.select("key", "id").distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")))
     # written, so that the join with the lines has a plain exchange on either side, whose skewed partitions can be split
     repeated = written(runs.totals().where(F.col("n_docs") >= least_docs).select("key", "keeper"), "repeated")
-    discard(*[r for level in runs.levels for r in level])
+    discard(*runs.held())
     return lines, repeated
 
 
@@ -120,7 +122,7 @@ def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEA
     # a repeated key can be on a third of all lines; the join deals such a key out in pieces
     dropped = lines.join(repeated, "key").where(F.col("id") < F.col("keeper")).groupBy("id", "version").agg(F.collect_set("at").alias("drop"))
     dropped = dropped.select(F.struct("id", "version").alias("which"), "drop")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("kept_text", "line_counts")]).alias("doc"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("kept_text", "line_counts")]).alias("doc"))
     whole = whole.withColumn("which", F.struct(F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("doc.text").alias("version")))
     found = whole.join(dropped, "which", "left").withColumn("lines", split_lines(F.col("doc.text")))
     n = F.size("lines")

@@ -57,6 +57,42 @@ def test_lines_extra_columns_pass_through(spark):
     assert lines.dedup(df).select("doc_id", "lines", "drop", "key").collect() == [(1, 7, 8, 9)]
 
 
+def test_lines_own_names_in_any_case_are_replaced(spark):
+    df = spark.createDataFrame([(1, LINE, 7, 8, 9)], "doc_id long, text string, Kept_Text int, LINE_COUNTS int, Other int")
+    got = lines.dedup(df)
+    assert got.columns == ["doc_id", "text", "Other", "kept_text", "line_counts"] and got.first()["kept_text"] == LINE
+
+
+def test_runs_are_read_as_they_lie(spark):
+    """Runs reach the merge anti joins without an exchange and without a sort; compaction sums what lies in several."""
+    from kinlens.tables import sorted_scans
+
+    runs = lines.SortedRuns(4, fanout=9)
+    rows = spark.range(1000).select(F.unhex(F.md5(F.col("id").cast("string").cast("binary"))).alias("key"), F.lit(1).cast("long").alias("n_docs"), F.col("id").alias("keeper"))
+    runs.add(rows.where("id % 3 = 0"))
+    runs.add(rows.where("id % 3 = 1"))
+    with sorted_scans(spark):
+        batch = rows.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("keeper").alias("keeper"))
+        new = batch
+        for run in runs.held():
+            new = new.hint("merge").join(run.select("key"), "key", "left_anti")
+        text = new._jdf.queryExecution().executedPlan().toString()
+        assert text.count("SortMergeJoin") == 2 and text.count("Exchange ") == 1 and text.count("Sort [") == 1
+        assert new.count() == 333
+    runs.add(rows.where("id < 500").withColumn("n_docs", F.lit(5).cast("long")))
+    got = runs.totals().agg(F.count("*"), F.sum("n_docs"), F.count("keeper")).first()
+    assert tuple(got) == (833, 667 + 2500, 833)
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+
+
+def test_one_far_id_does_not_fill_a_batch(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lines.SortedRuns, "add", lambda self, batch, add=lines.SortedRuns.add: (seen.append(batch.count()), add(self, batch)))
+    rows = [(None, f"{LINE} far")] + [(10**15 + i, f"{LINE} {i}") for i in range(200)]
+    assert dedup(spark, rows, batches=4)
+    assert len(seen) == 4 and max(seen) < 80
+
+
 @pytest.mark.parametrize("batches", [1, 3, 9])
 def test_runs_do_not_depend_on_batches(spark, batches):
     rows = [(i, f"{LINE} {i % 3}\n{LINE} {i % 5}\nown {i}") for i in range(30)]
