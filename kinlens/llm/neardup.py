@@ -9,13 +9,15 @@ lies six standard deviations under the threshold are dropped; the rest are confi
 
 Equal sets are one class from the start, so copies never meet each other. Of a band key's classes each is
 first held against the smallest one; what is linked then counts as one component, and only classes of different
-components that share a key are compared further, on their registers and where they lie, in blocks; those with a rival that the
-estimate leaves come again with their full sets.
+components that share a key are compared further. In large keys those outside the largest component are first held against other
+members of it, for a few rounds, which settles most; what is left is compared on registers and where it lies, in blocks: those outside a
+key's largest component with all others, so a key of S classes with M outside costs about M * S / BLOCK rows, S at least. Those with a
+rival that the estimate leaves come again with their full sets.
 
 Defined results: a null, empty or blank text has the empty set and is linked with nothing; a text of fewer than five
 words is one shingle; repeated rows of a document are one document in the components and each keep their row (an id stands for
-one text; of several, the smallest is what others are held against); null ids are kept, linked with nothing; an empty table gives
-no rows.
+one text; of several, the smallest is what others are held against); null ids are kept, linked with nothing, and their component is
+null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ MANTISSA = 10
 MOST_MISSED = 4e-9
 #: Classes of one key that are held against each other in one place.
 BLOCK = 512
+#: Rounds in which large keys of several components are held against another member of their largest one.
+STAR_ROUNDS = 3
 #: Bits of the filter that keeps texts out of a shuffle: 4 MB.
 FILTER_BITS = 1 << 25
 #: Standard deviations of slack of the estimate.
@@ -225,10 +229,22 @@ def linked_classes(classes: DataFrame, docs: DataFrame, percent: int) -> DataFra
     links = confirmed(estimated(tried, classes, percent), docs, percent)
     found = components(links)
 
-    # what shares a key across components
-    where = shared.hint("merge").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("head")
-    mixed = where.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "size")
-    left = written(where.hint("merge").join(mixed, "key"), "mixed")
+    for k in range(STAR_ROUNDS + 1):
+        left = mixed_keys(shared, found)
+        large = left.where(F.col("n_top") + F.col("n_rest") > BLOCK)
+        if k == STAR_ROUNDS or large.isEmpty():
+            break
+        head = large.where("is_top").groupBy("key").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(k))).alias("head"))
+        rest = large.where("NOT is_top").hint("merge").join(head, "key").where(_near_in_size(F.col("n"), F.col("head.n"), percent))
+        again = written(rest.select(F.least("head.id", "id").alias("a"), F.greatest("head.id", "id").alias("b")).distinct(), "tried")
+        new = confirmed(estimated(again, classes, percent), docs, percent)
+        discard(again)
+        if new.isEmpty():
+            break
+        discard(left)
+        links = written(links.union(new), "links")
+        found = components(links)
+    # what still shares a key across components
     regs = written(among(classes.select("id", "regs"), "id", left.select("id").distinct()), "registers")
     close = written(in_groups(in_blocks(left.hint("merge").join(regs, "id")), partial(close_members, percent=percent), PLACE), "close")
     sets = sets_of(docs, close.select(F.col("id").alias("doc_id")).distinct())
@@ -239,19 +255,43 @@ def linked_classes(classes: DataFrame, docs: DataFrame, percent: int) -> DataFra
     return found
 
 
+def mixed_keys(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, band, id, n, component, is_top, n_top, n_rest) of the keys that hold several components: whether a class is of its key's largest
+    component, and how many classes are and aren't."""
+    where = shared.hint("merge").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("head")
+    each = where.groupBy("key", "component").agg(F.count("*").alias("c"))
+    tops = each.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("top")).where(F.col("size") > F.col("top.c"))
+    tops = tops.select("key", F.col("top.component").alias("top"), F.col("top.c").alias("n_top"), (F.col("size") - F.col("top.c")).alias("n_rest"))
+    return written(where.hint("merge").join(tops, "key").withColumn("is_top", F.col("component") == F.col("top")).drop("top"), "mixed")
+
+
 #: A class in a group: a key's pair of blocks, and which of the two it is from.
 PLACE = "key long, i int, j int, side int, band int, id long, n long, component long"
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """Classes (key, band, id, n, component, size of the key, regs) in their groups: a key of more than BLOCK classes is dealt into
-    blocks, each pair of which is a group of its own, so a group is two blocks at most."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    """Classes (key, band, id, n, component, is_top, n_top, n_rest, regs) in their groups.
+
+    The classes of a key's largest component, and the rest of it, are each dealt into blocks of about BLOCK. Blocks of the rest meet all
+    blocks of the largest component (groups i, -1 - j) and each other (i, j); those of the largest component don't meet. A group is two blocks
+    at most.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    rows = rows.withColumns({"tops": blocks("n_top"), "rests": blocks("n_rest")})
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("id"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("rests"))).cast("int"))
     names = ["key", "i", "j", "side", "band", "id", "n", "component", "regs"]
-    low = rows.withColumn("other", F.explode(F.sequence("at", F.col("blocks") - 1))).withColumns({"i": F.col("at"), "j": F.col("other"), "side": F.lit(0)}).select(*names)
-    high = rows.where("at > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("at") - 1))).withColumns({"i": F.col("other"), "j": F.col("at"), "side": F.lit(1)}).select(*names)
-    return low.unionByName(high)
+    rest = rows.where("NOT is_top")
+    dealt = [
+        (rows.where("is_top"), F.sequence(F.lit(0), F.col("rests") - 1), F.col("at"), -1 - F.col("other"), 0),
+        (rest, F.sequence(F.lit(0), F.col("tops") - 1), F.col("other"), -1 - F.col("at"), 1),
+        (rest, F.sequence("at", F.col("rests") - 1), F.col("at"), F.col("other"), 0),
+        (rest.where("at > 0"), F.sequence(F.lit(0), F.col("at") - 1), F.col("other"), F.col("at"), 1),
+    ]
+    out = None
+    for part, others, i, j, side in dealt:
+        part = part.withColumn("other", F.explode(others)).withColumns({"i": i, "j": j, "side": F.lit(side)}).select(*names)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def in_groups(rows: DataFrame, fn, schema: str) -> DataFrame:
@@ -340,5 +380,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = classes.select("twin", "n", "id").join(found, "id", "left").select("twin", "n", F.coalesce("component", "id").alias("component"))
     # copies can be a third of all rows and share one class; the join deals such a class out in pieces
     out = sketch.drop("regs").hint("merge").join(named, ["twin", "n"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+#: DuckDB SQL of the rows at PERCENT: every pair of documents that shares a shingle, and what they reach.
+SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+r AS (SELECT doc_id AS id, doc_id AS reached FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, t.doc_id = c.component_id AS kept FROM t LEFT JOIN n USING (doc_id) JOIN c ON c.id = t.doc_id
+"""

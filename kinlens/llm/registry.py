@@ -74,4 +74,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": lines.SQL, "op9_perspectives": chat.SQL}
+    return {"op6_line_dedup": lines.SQL, "op8_near_duplicates": neardup.SQL, "op9_perspectives": chat.SQL}

@@ -240,6 +240,38 @@ def test_near_duplicate_edges(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_null_ids_are_linked_with_nothing(spark):
+    df = spark.createDataFrame([(5, "a b c"), (None, "a b c"), (7, "a b c"), (None, "d e")], DOCS)
+    got = sorted(((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()), key=str)
+    assert got == [(0, None, True), (0, None, True), (5, 5, True), (7, 5, False)]
+
+
+def test_blocks_grow_with_what_lies_outside_the_largest_component(spark, monkeypatch):
+    """Every pair of classes of different components meets once, and a key of many classes with few outside is dealt in about its size."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+
+    def meet(n_top, rest):
+        comps = [0] * n_top + rest
+        rows = [(1, 0, i, 10, c, c == 0, n_top, len(rest), b"") for i, c in enumerate(comps)]
+        dealt = neardup.in_blocks(spark.createDataFrame(rows, "key long, band int, id long, n long, component long, is_top boolean, n_top long, n_rest long, regs binary")).collect()
+        groups = defaultdict(list)
+        for r in dealt:
+            groups[r["i"], r["j"]].append(r)
+        met = defaultdict(int)
+        for (i, j), g in groups.items():
+            for x in g:
+                for y in g:
+                    if x["id"] < y["id"] and x["component"] != y["component"] and (i == j or x["side"] != y["side"]):
+                        met[x["id"], y["id"]] += 1
+        wanted = {(x, y) for x in range(len(comps)) for y in range(x + 1, len(comps)) if comps[x] != comps[y]}
+        assert set(met) == wanted and set(met.values()) <= {1}
+        return len(dealt)
+
+    assert meet(400, [1, 2, 2]) <= 400 + 3 * 50 + 3
+    meet(20, [1] * 15 + [2] * 12 + list(range(3, 20)))
+    meet(3, list(range(1, 30)))
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 6000).astype(np.uint64)
