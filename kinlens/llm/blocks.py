@@ -5,27 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ship
 
-#: Rows of a block at most (about: blocks are dealt by a hash of the id), and the least number of blocks, for small inputs to use more than one core.
-BLOCK_ROWS = 65_536
+#: Rows and bytes of a block at most (about: blocks are dealt by a hash of the id), and the least number of blocks, for small inputs to use more than
+#: one core.
+BLOCK_ROWS, BLOCK_BYTES = 65_536, 64 << 20
 LEAST_BLOCKS = 8
 
 
-def search_blocks(rows: DataFrame, queries: DataFrame, build: Callable[[pa.RecordBatch], object], ask: Callable[[object, pa.RecordBatch], Iterator[dict[str, list]]], schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search_blocks(rows: DataFrame, queries: DataFrame, build: Callable[[pa.RecordBatch], object], ask: Callable[[object, pa.RecordBatch], Iterator[dict[str, list]]], schema: str, weight: Column, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``rows`` and ``queries`` have the same columns, the first of them the id.
 
-    Rows are dealt into blocks by a hash of their id; queries go to every block. A task sorts a block's rows
+    Rows are dealt into blocks by a hash of their id, into as many as ``weight``, a row's bytes, asks for; queries go to every block, so
+    their copies grow as queries times blocks, as comparisons do. A task sorts a block's rows
     before its queries, gives the rows to ``build`` and each batch of queries to ``ask``. What a task holds is one
     block, its index and a batch of queries, however many queries there are.
     """
     ship(rows.sparkSession)
     names = rows.columns
-    blocks = max(LEAST_BLOCKS, -(-rows.count() // block_rows))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(weight), F.lit(0)).alias("bytes")).first()
+    blocks = max(LEAST_BLOCKS, -(-size.n // block_rows), -(-size.bytes // block_bytes))
     held = rows.select(F.pmod(F.xxhash64(names[0]), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), *names)
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), *names)
     dealt = held.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "side", names[0])

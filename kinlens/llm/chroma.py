@@ -4,7 +4,12 @@ Audio is cut into overlapping frames; each frame's power spectrum is folded to t
 rectangle filters over the running (time, class) image, evaluated with an integral image, each give two bits: one packed
 32-bit integer a frame. Recordings can align at every offset with enough votes in a histogram over equal high halves of the
 integers; the bit error over the overlap decides, and the best offset of a recording is its alignment (one for each recording,
-however often it holds the query).
+however often it holds the query). Runs of equal high halves vote as ranges: four steps of the histogram's second difference each.
+
+False matches are held down by evidence: for each query the best bit errors of all recordings that have an offset with enough
+votes, but for those under ``most_error``, give a mean and a deviation of unrelated recordings; if theirs is a normal distribution,
+fewer than ``false_matches`` of n of them are expected ``sqrt(2 ln(n / false_matches))`` deviations under the mean, and an alignment above that
+isn't told from chance and goes. Under LEAST_BACKGROUND such recordings there is no evidence, and ``most_error`` alone decides.
 
 Defined results: null, empty or too short audio has an empty fingerprint and aligns with nothing; silence has a
 fingerprint of equal integers and aligns with silence; an odd last byte is no sample; repeated rows are each a
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import search_blocks
-from .common import map_batches
+from .common import map_batches, written
 
 RATE = 5512
 FRAME, HOP = 1024, 256
@@ -38,6 +43,10 @@ STEP, LEAST_LEVEL = 0.6, 0.02
 #: An alignment needs these shares of equal high halves and of overlap of the query's integers, and a bit error at most (a default, for copies
 #: that are noisy, resampled or encoded anew, too; among thousands of pairs unrelated recordings come under it now and then).
 LEAST_VOTES, LEAST_OVERLAP, MOST_ERROR = 0.05, 0.5, 0.2
+#: Chance alignments a query that are put up with, and the unrelated recordings from which their distribution is known.
+FALSE_MATCHES, LEAST_BACKGROUND = 0.01, 30
+#: Bytes of fingerprints of a block, and pairs of runs or offsets that are held at once.
+BLOCK_BYTES, HELD = 16 << 20, 1 << 20
 
 
 def samples(media: bytes | None, rate: int | None) -> tuple[np.ndarray, int]:
@@ -136,50 +145,100 @@ def fingerprints(media: DataFrame, key: str = "rec_id", audio: str = "audio", ra
     return map_batches(rows, run, "rec_id long, prints binary")
 
 
+def runs(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(high half, start, length) of the runs of equal high halves."""
+    high = prints >> np.uint32(16)
+    starts = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]])) if len(high) else np.empty(0, np.int64)
+    return high[starts], starts, np.diff(np.append(starts, len(high)))
+
+
 class PrintIndex:
-    """Postings of the integers' high halves, sorted."""
+    """Runs of equal high halves, sorted by the half, then the recording."""
 
     def __init__(self, batch: pa.RecordBatch) -> None:
         self.ids = batch.column(0).to_pylist()
         self.prints = [np.frombuffer(p, "<u4") for p in batch.column(1).to_pylist()]
-        lengths = np.array([len(p) for p in self.prints], np.int64)
-        flat = np.concatenate([*self.prints, np.empty(0, np.uint32)]) >> np.uint32(16)
-        order = np.argsort(flat, kind="stable")
-        self.keys = flat[order]
-        self.rec = np.repeat(np.arange(len(self.prints)), lengths)[order]
-        self.pos = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths))[order]
-        self.longest = int(lengths.max(initial=0))
-
-    def align(self, query: np.ndarray, most_error: float) -> list[tuple[int, int, int, float]]:
-        """(class, offset of the query in the recording, votes, bit error) of every class of recordings that aligns: of its offsets with enough
-        votes that pass, the one of the least bit error, then of most votes, then the smallest."""
-        keys, places = query >> np.uint32(16), np.arange(len(query))
-        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        each = [runs(p) for p in self.prints]
+        rec = np.repeat(np.arange(len(each), dtype=np.uint64), [len(r[0]) for r in each])
+        code = np.concatenate([*(r[0] for r in each), np.empty(0, np.uint32)]).astype(np.uint64) << np.uint64(32) | rec
+        order = np.argsort(code, kind="stable")
+        self.code = code[order]
+        self.start, self.length = (np.concatenate([*(r[k] for r in each), np.empty(0, np.int64)]).astype(np.int32)[order] for k in (1, 2))
+        self.longest = max(map(len, self.prints), default=0)
+
+    def candidates(self, query: np.ndarray, first: int = 0, last: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(recording, offset of the query in it, votes) wherever there are enough votes, in order; whole recordings at a time."""
+        last = len(self.ids) if last is None else last
+        half, at, size = runs(query)
+        key = half.astype(np.uint64) << np.uint64(32)
+        low, high = np.searchsorted(self.code, key | np.uint64(first)), np.searchsorted(self.code, key | np.uint64(last))
         each = high - low
+        if each.sum() > HELD and last - first > 1:
+            middle = (first + last) // 2
+            yield from self.candidates(query, first, middle)
+            yield from self.candidates(query, middle, last)
+            return
         if not each.sum():
-            return []
-        at = np.repeat(low, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        span = self.longest + len(query)
-        code, votes = np.unique(self.rec[at] * (2 * span) + self.pos[at] - np.repeat(places, each) + span, return_counts=True)
-        enough = votes >= max(2, LEAST_VOTES * len(query))
-        code, votes = code[enough], votes[enough]
-        rec = code // (2 * span)
+            return
+        found = np.repeat(low, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        own, length = np.repeat(size, each), self.length[found].astype(np.int64)
+        span = self.longest + len(query) + 2
+        zero = (self.code[found] & np.uint64(0xFFFFFFFF)).astype(np.int64) * (2 * span) + self.start[found] - np.repeat(at, each) - own + 1 + span
+        # two runs vote for a trapezium of offsets: its second difference is four steps
+        places, back = np.unique(np.concatenate([zero, zero + own, zero + length, zero + own + length]), return_inverse=True)
+        ones = np.ones(len(zero))
+        slope = np.cumsum(np.bincount(back, np.concatenate([ones, -ones, -ones, ones]))).round().astype(np.int64)
+        gaps = np.diff(places, append=places[-1])
+        before = np.concatenate([[0], np.cumsum(slope * gaps)[:-1]])  # votes just before each place
+        need = max(2, LEAST_VOTES * len(query))
+        use = np.flatnonzero((gaps > 0) & (np.maximum(before + slope, before + slope * gaps) >= need))
+        ends = np.cumsum(gaps[use])
+        for part in np.split(np.arange(len(use)), np.flatnonzero(np.diff(ends // HELD)) + 1) if len(use) else []:
+            k, n = use[part], gaps[use[part]]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            votes = np.repeat(before[k] + slope[k], n) + np.repeat(slope[k], n) * step
+            code = (np.repeat(places[k], n) + step)[votes >= need]
+            yield code // (2 * span), code % (2 * span) - span, votes[votes >= need]
+
+    def errors(self, query: np.ndarray, rec: int, offsets: np.ndarray) -> np.ndarray:
+        """Bit errors of the query over its overlap with a recording at each offset; 2 where the overlap is too short."""
+        p, n = self.prints[rec], len(query)
+        out = np.full(len(offsets), 2.0)
+        inside = np.flatnonzero((offsets >= 0) & (offsets + n <= len(p)))
+        for part in np.array_split(inside, max(1, len(inside) * n // HELD)) if len(inside) else []:
+            windows = np.lib.stride_tricks.sliding_window_view(p, n)[offsets[part]]
+            out[part] = np.bitwise_count(windows ^ query).sum(1, dtype=np.int64) / (32 * n)
+        for k in np.flatnonzero((offsets < 0) | (offsets + n > len(p))).tolist():
+            offset = int(offsets[k])
+            s, e = max(0, -offset), min(n, len(p) - offset)
+            if e - s >= max(1, LEAST_OVERLAP * n):
+                out[k] = np.bitwise_count(query[s:e] ^ p[s + offset : e + offset]).sum(dtype=np.int64) / (32 * (e - s))
+        return out
+
+    def align(self, query: np.ndarray, most_error: float) -> tuple[list[tuple[object, int, int, float]], tuple[int, float, float]]:
+        """(class, offset of the query in the recording, votes, bit error) of every class of recordings that aligns: of its offsets with enough
+        votes, the one of the least bit error, then of most votes, then the smallest. And of the other classes with such an offset the number, sum and sum
+        of squares of their least bit errors."""
         best: dict[int, tuple[float, int, int]] = {}
-        for r, offset, v in zip(rec.tolist(), (code % (2 * span) - span).tolist(), votes.tolist()):
-            p = self.prints[r]
-            s, e = max(0, -offset), min(len(query), len(p) - offset)
-            if e - s >= max(1, LEAST_OVERLAP * len(query)):
-                error = float(np.bitwise_count(query[s:e] ^ p[s + offset : e + offset]).mean() / 32)
-                if error <= most_error:
-                    best[r] = min(best.get(r, (2.0, 0, 0)), (error, -v, offset))
-        return [(self.ids[r], offset, -v, error) for r, (error, v, offset) in best.items()]
+        for rec, offset, votes in self.candidates(query):
+            edges = np.flatnonzero(np.diff(rec, prepend=-1)).tolist()
+            for s, e in zip(edges, [*edges[1:], len(rec)]):
+                error = self.errors(query, int(rec[s]), offset[s:e])
+                k = np.lexsort((offset[s:e], -votes[s:e], error))[0]
+                r = int(rec[s])
+                best[r] = min(best.get(r, (3.0, 0, 0)), (float(error[k]), -int(votes[s + k]), int(offset[s + k])))
+        near = [(self.ids[r], offset, -v, error) for r, (error, v, offset) in best.items() if error <= most_error]
+        rest = np.array([error for error, _, _ in best.values() if most_error < error <= 1])
+        return near, (len(rest), float(rest.sum()), float((rest**2).sum()))
 
 
 def _ask(most_error: float, index: PrintIndex, batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
+    """The alignments of each query in a block, and a row without a twin for the block's background."""
     for q, prints in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        found = index.align(np.frombuffer(prints, "<u4"), most_error)
-        if found:
-            yield {"asked": [q] * len(found)} | dict(zip(("twin", "offset", "votes", "bit_error"), map(list, zip(*found))))
+        found, (n, total, squares) = index.align(np.frombuffer(prints, "<u4"), most_error)
+        rows = [(*x, 0, 0.0, 0.0) for x in found] + ([(None, 0, 0, 0.0, n, total, squares)] if n else [])
+        if rows:
+            yield {"asked": [q] * len(rows)} | dict(zip(("twin", "offset", "votes", "bit_error", "n", "total", "squares"), map(list, zip(*rows))))
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -187,14 +246,23 @@ def _classes(rows: DataFrame) -> DataFrame:
     return rows.where(F.octet_length("prints") > 0).groupBy("twin").agg(F.first("prints").alias("prints"))
 
 
-def alignments(recordings: DataFrame, queries: DataFrame, k: int | None = None, most_error: float = MOST_ERROR) -> DataFrame:
+def alignments(recordings: DataFrame, queries: DataFrame, k: int | None = None, most_error: float = MOST_ERROR, false_matches: float | None = FALSE_MATCHES) -> DataFrame:
     """(query_id, rank, rec_id, offset, votes, bit_error): each query's alignments, or the ``k`` best; both inputs as :func:`fingerprints` gives them.
 
-    Equal fingerprints are one class in the search; the result has a row for every recording of a class.
+    Equal fingerprints are one class in the search; the result has a row for every recording of a class. Without ``false_matches`` all
+    alignments up to ``most_error`` are returned.
     """
     rows, asked = (x.where("rec_id IS NOT NULL").withColumn("twin", F.unhex(F.sha2("prints", 256))) for x in (recordings, queries))
-    found = search_blocks(_classes(rows), _classes(asked), PrintIndex, partial(_ask, most_error), "asked binary, twin binary, offset int, votes int, bit_error double")
-    named = found.hint("merge").join(asked.select(F.col("rec_id").alias("query_id"), F.col("twin").alias("asked")), "asked")
+    schema = "asked binary, twin binary, offset int, votes int, bit_error double, n long, total double, squares double"
+    found = written(search_blocks(_classes(rows), _classes(asked), PrintIndex, partial(_ask, most_error), schema, F.octet_length("prints"), block_bytes=BLOCK_BYTES), "found")
+    near = found.where("twin IS NOT NULL").drop("n", "total", "squares")
+    if false_matches is not None:
+        others = found.where("twin IS NULL").groupBy("asked").agg(*(F.sum(c).alias(c) for c in ("n", "total", "squares"))).where(F.col("n") >= LEAST_BACKGROUND)
+        mean = F.col("total") / F.col("n")
+        spread = F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)))
+        limits = others.select("asked", (mean - F.sqrt(2 * F.log(F.col("n") / false_matches)) * spread).alias("limit"))
+        near = near.hint("merge").join(limits, "asked", "left").where("limit IS NULL OR bit_error <= limit").drop("limit")
+    named = near.hint("merge").join(asked.select(F.col("rec_id").alias("query_id"), F.col("twin").alias("asked")), "asked")
     named = named.hint("merge").join(rows.select("rec_id", "twin"), "twin")
     order = Window.partitionBy("query_id").orderBy("bit_error", "rec_id", "offset")
     out = named.withColumn("rank", F.row_number().over(order))

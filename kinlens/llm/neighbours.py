@@ -8,7 +8,8 @@ exactly that distance falls in a window with probability 0.68, so that it stays
 and nearer ones hardly ever; with windows that cover everything, all vectors are verified.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do null ids; rows of one
-id are one vector (the smallest); vectors of other lengths than the query's are no candidates; ties go to the smaller id.
+id are one vector (the smallest); vectors of other lengths than the query's are no candidates; ties go to the smaller id. Differences are
+scaled by a power of two before they are squared where that would overflow or vanish; a distance beyond the largest double is infinite.
 """
 
 from __future__ import annotations
@@ -30,13 +31,27 @@ FIRST, GROW, CREEP = 1 / 32, 2.0, 1.25
 QUERY_BATCH = 64
 
 
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows from a query."""
+    half = vectors / 2 - query / 2  # half of the difference doesn't overflow
+    top = np.abs(half).max(1)
+    if len(top) and (top.max() > 1e150 or ((top > 0) & (top < 1e-150)).any()):
+        scale = np.exp2(np.frexp(np.where(top > 0, top, 1))[1].astype(float) - 1)  # a power of two changes no digit
+        with np.errstate(over="ignore"):
+            return np.sqrt(((half / scale[:, None]) ** 2).sum(1)) * 2 * scale
+    return np.sqrt(((vectors - query) ** 2).sum(1))
+
+
 class CollisionIndex:
     """Sorted projections of vectors of one length."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS, threshold: int = THRESHOLD, seed: int = 0) -> None:
         self.ids, self.vectors, self.threshold = ids, vectors, threshold
         self.lines = np.random.default_rng(seed).normal(size=(projections, vectors.shape[1]))
-        keys = self.lines @ vectors.T
+        # projections of vectors scaled to at most one, so that none overflows; windows are of projections alone
+        top = np.abs(vectors).max(initial=0)
+        self.unit = np.exp2(-float(np.frexp(top)[1])) if top > 1e100 or 0 < top < 1e-100 else 1.0
+        keys = self.lines @ (vectors * self.unit).T
         self.order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
         self.keys = np.take_along_axis(keys, self.order, 1)
         self.spread = float(np.median(self.keys[:, -1] - self.keys[:, 0])) or 1.0
@@ -46,7 +61,7 @@ class CollisionIndex:
         n, found = len(self.ids), []
         for start in range(0, len(queries), QUERY_BATCH):
             q, mine = queries[start : start + QUERY_BATCH], own[start : start + QUERY_BATCH]
-            home = q @ self.lines.T
+            home = np.clip(q * self.unit, -1e200, 1e200) @ self.lines.T
             low = np.stack([np.searchsorted(keys, h) for keys, h in zip(self.keys, home.T)], 1)
             high = low.copy()
             counts = np.zeros((len(q), n), np.uint16)
@@ -67,15 +82,16 @@ class CollisionIndex:
                         fresh = np.flatnonzero((counts[a] < self.threshold) & (counts[a] + more >= self.threshold) & (self.ids != mine[a]))
                         counts[a] += more
                         if len(fresh):
-                            d = np.sqrt(((self.vectors[fresh] - q[a]) ** 2).sum(1))
+                            d = distances(self.vectors[fresh], q[a])
                             d, ids = np.concatenate([best[a][0], d]), np.concatenate([best[a][1], self.ids[fresh]])
                             keep = np.lexsort((ids, d))[:k]
                             best[a] = d[keep], ids[keep]
                     d = best[a][0]
                     whole = (high[a] - low[a] == n).all()
-                    if whole or (len(d) >= k and d[k - 1] <= radius[a]):
+                    far = d[k - 1] * self.unit if len(d) >= k else np.inf
+                    if whole or far <= radius[a]:
                         continue
-                    radius[a] = min(radius[a] * CREEP, d[k - 1]) if len(d) >= k else radius[a] * (GROW if radius[a] < self.spread / 8 else CREEP)
+                    radius[a] = min(radius[a] * CREEP, far) if len(d) >= k else radius[a] * (GROW if radius[a] < self.spread / 8 else CREEP)
                     going.append(a)
                 active = np.array(going, np.int64)
             found += [list(zip(d.tolist(), i.tolist())) for d, i in best]
@@ -120,6 +136,6 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, projections: int = PROJECTIONS, threshold: int = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest found; both inputs as :func:`usable` gives them."""
-    found = search_blocks(vectors, queries, partial(_build, projections, threshold), partial(_ask, k), "query_id long, vec_id long, score double", block_rows)
+    found = search_blocks(vectors, queries, partial(_build, projections, threshold), partial(_ask, k), "query_id long, vec_id long, score double", 8 * F.size("vector"), block_rows)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")  # k rows a block for each query
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

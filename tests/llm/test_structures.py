@@ -315,6 +315,25 @@ def test_neighbours_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_neighbours_of_any_scale(spark):
+    rng = np.random.default_rng(1)
+    small = rng.normal(size=(200, 8))
+    for scale in (1.0, 1e300, 1e-300, 2.0**1020):
+        df = spark.createDataFrame([(i, (v * scale / 8).tolist()) for i, v in enumerate(small)], "vec_id long, embedding array<double>")
+        rows = neighbours.usable(df)
+        got = defaultdict(list)
+        for r in neighbours.nearest(rows, rows.where("vec_id % 100 = 0"), k=5).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        for q, near in got.items():
+            d = np.sqrt((((small - small[q]) / 8) ** 2).sum(1))
+            d[q] = np.inf
+            assert [i for i, _ in near] == np.argsort(d)[:5].tolist()
+            assert np.allclose([x / scale for _, x in near], np.sort(d)[:5], rtol=1e-9)
+    far = neighbours.usable(spark.createDataFrame([(0, [1.7e308]), (1, [-1.7e308]), (2, [1.0])], "vec_id long, embedding array<double>"))
+    got = neighbours.nearest(far, far.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(2, 1.7e308), (1, float("inf"))]
+
+
 def test_neighbours_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (9, [3.0, 4.0]), (9, [3.0, 4.0]), (None, [1.0, 1.0]), (10, [])]
@@ -418,6 +437,77 @@ def test_a_lower_peak_aligns(spark):
     assert found["offset"] == 70 and found["votes"] < 40
 
 
+def brute_align(query, prints, need_votes=True):
+    """{recording: (bit error, -votes, offset)} of the best offset of each, over all offsets."""
+    out = {}
+    for r, p in prints.items():
+        for d in range(-len(query), len(p)):
+            s, e = max(0, -d), min(len(query), len(p) - d)
+            if e - s < max(1, chroma.LEAST_OVERLAP * len(query)):
+                continue
+            x = query[s:e] ^ p[s + d : e + d]
+            votes = int((x >> np.uint32(16) == 0).sum())
+            if not need_votes or votes >= max(2, chroma.LEAST_VOTES * len(query)):
+                out[r] = min(out.get(r, (2.0, 0, 0)), (int(np.bitwise_count(x).sum()) / (32 * len(x)), -votes, d))
+    return out
+
+
+@pytest.mark.parametrize("held", [7, 1 << 20])
+def test_alignments_are_brute_force(monkeypatch, held):
+    """Random, repetitive and silent fingerprints: runs vote for as many offsets as their integers do, however they are cut."""
+    monkeypatch.setattr(chroma, "HELD", held)
+    rng = np.random.default_rng(9)
+    prints = {}
+    for r in range(24):
+        n = int(rng.integers(0, 70))
+        kinds = [rng.integers(0, 1 << 32, n, dtype=np.uint32), np.repeat(rng.integers(0, 3, n // 6 + 1) << 17, 6)[:n].astype(np.uint32), np.zeros(n, np.uint32), (rng.integers(0, 2, n) << 16).astype(np.uint32)]
+        prints[r] = kinds[r % 4]
+    whole = rng.integers(0, 1 << 32, 60, dtype=np.uint32)
+    prints[24], prints[25] = whole, np.concatenate([np.zeros(30, np.uint32), whole[10:50]])
+    batch = chroma.pa.RecordBatch.from_pydict({"id": list(prints), "prints": [p.astype("<u4").tobytes() for p in prints.values()]})
+    index = chroma.PrintIndex(batch)
+    for query in [*(p[3:40] for p in prints.values() if len(p) > 10), np.zeros(20, np.uint32), np.empty(0, np.uint32)]:
+        near, (n, total, squares) = index.align(query, 0.2)
+        brute = brute_align(query, prints) if len(query) else {}
+        assert {r: (e, -v, d) for r, d, v, e in near} == {r: x for r, x in brute.items() if x[0] <= 0.2}
+        rest = [x[0] for x in brute.values() if x[0] > 0.2]
+        assert n == len(rest) and abs(total - sum(rest)) < 1e-9 and abs(squares - sum(x * x for x in rest)) < 1e-9
+
+
+def test_alignment_recall(spark):
+    """Quieter, noisy excerpts of held chords among many recordings: at least 0.9 of what a search of every offset by bit error alone finds, and
+    hardly anything by chance."""
+    rng = np.random.default_rng(2)
+    whole = {k: tone(6, k) for k in range(120)}
+    rows = spark.createDataFrame([(k, x.tobytes(), chroma.RATE) for k, x in whole.items()], "rec_id long, audio binary, rate int")
+    noisy = lambda x: (x * 0.4 + rng.normal(0, 500, len(x))).astype("<i2")
+    cut = spark.createDataFrame([(k, noisy(whole[k][2 * chroma.RATE + 50 : 5 * chroma.RATE]).tobytes(), chroma.RATE) for k in range(0, 120, 4)], "rec_id long, audio binary, rate int")
+    prints, asked = chroma.fingerprints(rows), chroma.fingerprints(cut)
+    got = {(r["query_id"], r["rec_id"]) for r in chroma.alignments(prints, asked).collect()}
+    held = {r["rec_id"]: np.frombuffer(r["prints"], "<u4") for r in prints.collect()}
+    true = set()
+    for r in asked.collect():
+        best = brute_align(np.frombuffer(r["prints"], "<u4"), held, need_votes=False)
+        if best[r["rec_id"]][0] <= chroma.MOST_ERROR:
+            true.add((r["rec_id"], r["rec_id"]))
+    assert len(true) > 20 and len(got & true) >= 0.9 * len(true)
+    assert len({q for q, r in got if q != r}) <= 1
+
+
+def test_silence_is_counted_by_ranges():
+    """Thousands of silent recordings of different lengths cost one query little memory."""
+    import tracemalloc
+
+    batch = chroma.pa.RecordBatch.from_pydict({"id": list(range(4000)), "prints": [np.zeros(80 + k % 40, "<u4").tobytes() for k in range(4000)]})
+    index = chroma.PrintIndex(batch)
+    tracemalloc.start()
+    near, _ = index.align(np.zeros(43, np.uint32), 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(near) == 4000 and peak < 80e6
+    assert {(d, v, e) for _, d, v, e in near} == {(0, 43, 0.0)}
+
+
 def test_chroma_query(spark):
     got = [r for r in registry.op2_chroma(spark, "/root/testdata/sf0.01").collect() if r["rank"] == 1]
     assert len(got) == 10 and all(r["query_id"] == r["rec_id"] for r in got)
