@@ -87,17 +87,22 @@ def estimate(r: np.ndarray, q: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return np.clip((same - c) / (1 - c), 0, 1), filled
 
 
+def text_version(text):
+    """What tells the texts of one id apart."""
+    return F.xxhash64(text)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, twin, regs): set size, a 128-bit sum of the set (equal sets, equal sums), and registers (binary)."""
+    """(doc_id, version, n, twin, regs): a hash of the text, set size, a 128-bit sum of the set (equal sets, equal sums), and registers (binary)."""
 
     def run(batches):
         for b in batches:
             for s in in_pieces(b["text"]):
                 sets = [shingle_hashes((t or "").encode()) for t in b["text"][s]]
                 twin = [mix64(x).sum(dtype=np.uint64).tobytes() + mix64(x ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64).tobytes() for x in sets]
-                yield {"doc_id": b["doc_id"][s], "n": [len(x) for x in sets], "twin": twin, "regs": [registers(x).astype("<u2").tobytes() for x in sets]}
+                yield {"doc_id": b["doc_id"][s], "version": b["version"][s], "n": [len(x) for x in sets], "twin": twin, "regs": [registers(x).astype("<u2").tobytes() for x in sets]}
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, twin binary, regs binary")
+    return map_batches(docs.select("doc_id", "text", text_version(F.col("text")).alias("version")), run, "doc_id long, version long, n long, twin binary, regs binary")
 
 
 _ORDERS = mix64(np.arange(REGISTERS * REGISTERS, dtype=np.uint64)).reshape(REGISTERS, REGISTERS)
@@ -371,7 +376,8 @@ def links_of(group: dict[str, list], percent: int) -> dict[str, list]:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``; similar by ``percent`` or more are linked."""
+    """Rows (doc_id, n_shingles, component_id, kept, version), one for each row of ``docs``; similar by ``percent`` or more are linked. ``version``
+    is :func:`text_version` of the row's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = written(sketches(docs), "sketches")
     classes = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("twin", "n").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs"))
@@ -381,7 +387,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # copies can be a third of all rows and share one class; the join deals such a class out in pieces
     out = sketch.drop("regs").hint("merge").join(named, ["twin", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "version")
 
 
 #: DuckDB SQL of the rows at PERCENT: every pair of documents that shares a shingle, and what they reach.

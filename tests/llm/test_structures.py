@@ -542,6 +542,16 @@ def test_pipeline_stages(spark):
     check_packed(rows, list(kept["secrets"].items()))
 
 
+def test_near_duplicate_stage_removes_rows_not_ids(spark):
+    t, u = "one two three four five six", "quite other words that nothing else here has at all"
+    rows = [(3, t), (5, t), (5, u), (9, "alike rows of one id stay once"), (9, "alike rows of one id stay once"), (None, t), (None, t)]
+    docs = spark.createDataFrame([(d, x, "en", "s", len(x)) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()))
+    assert got == [(0, t), (0, t), (3, t), (5, u), (9, "alike rows of one id stay once")]
+    few = docs.where("doc_id < 9")
+    assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, few, "").collect()) == [(3, t), (5, u)]
+
+
 def test_pipeline_runs_on_an_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     empty.withColumn("extra", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
