@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 Parquet and read again as the next one's ``docs``. All but the last return the columns of documents.
 
 Defined results: null and empty texts get the classifier's prior like any text; null ids pass every stage but are linked with
-nothing; columns beyond those of documents are left behind; an empty table gives no rows.
+nothing; of the rows of one id, near duplicates remove those whose text is a copy of another document's, no others, and of rows alike in id and
+text one stays; columns beyond those of documents are left behind; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinlens.llm import lines, neardup, packing, quality, secrets
-from kinlens.llm.common import table, written
+from kinlens.llm.common import discard, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents under this score go.
@@ -39,8 +40,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    row = ["doc_id", "version"]
+    found = neardup.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy(*row).agg(F.min("kept").alias("kept"), F.count("*").alias("copies"))
+    found = written(found.where("NOT kept OR copies > 1"), "found")
+    docs = docs.withColumn("version", neardup.text_version(F.col("text"))).join(found.where("NOT kept").select(*row), row, "left_anti")
+    if not found.where("kept").isEmpty():  # rows that are alike: one of each, summed up where they lie before they are shuffled
+        alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+        docs = docs.groupBy(*row, alone).agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("doc")).select("doc_id", "doc.*")
+    return docs.select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``: the places of the packed pieces."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)  # of tables, those that the stage before wrote
     return STAGES[-1][1](spark, docs, sf_dir)
