@@ -101,16 +101,26 @@ def online(photos: DataFrame, offline_roots: DataFrame) -> DataFrame:
 
 
 def affected_roots(roots: DataFrame, changes: DataFrame) -> DataFrame:
-    """Roots that hold a changed path; all roots where none does."""
-    hit = roots.join(F.broadcast(changes.select("path").distinct()), F.col("path").startswith(F.col("display_path")), "left_semi") if changes.limit(10_001).count() <= 10_000 else _roots_by_prefix(roots, changes)
+    """Roots that hold a changed path; all roots where none does. A root holds what begins with its path, as plain text."""
+    hit = _roots_by_prefix(roots, changes)
     return roots if hit.isEmpty() else hit
 
 
 def _roots_by_prefix(roots: DataFrame, changes: DataFrame) -> DataFrame:
-    """The same for many changes: every prefix length that a root has is cut from the paths, and those are equal or not."""
-    lengths = roots.select(F.length("display_path").alias("n")).distinct()
-    heads = changes.select("path").distinct().join(F.broadcast(lengths.limit(1000)), F.length("path") >= F.col("n")).select(F.expr("substring(path, 1, n)").alias("display_path")).distinct()
-    return roots.join(heads, "display_path", "left_semi")
+    held = under_roots(changes.select("path").distinct(), roots).select("display_path").distinct()
+    return roots.join(held, "display_path", "left_semi")
+
+
+def under_roots(changes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``changes`` (path, ...) with ``display_path``, once for each root whose path theirs begins with.
+
+    Every length that a root's path has is cut from the paths, and those are equal or not: a join by keys, however many there are
+    of either. There are as many lengths as the longest root's path has characters, at most.
+    """
+    lengths = sorted(r[0] for r in roots.where("display_path IS NOT NULL").select(F.length("display_path")).distinct().collect())
+    fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("path"))
+    heads = changes.withColumn("_n", F.explode(fitting)).withColumn("display_path", F.substring("path", F.lit(1), F.col("_n"))).drop("_n")
+    return heads.join(roots.select("display_path").distinct(), "display_path", "left_semi").select(*changes.columns, "display_path")
 
 
 def full_paths(photos: DataFrame, roots: DataFrame) -> DataFrame:

@@ -195,7 +195,7 @@ def cluster(faces: DataFrame, constraints: DataFrame | None, config: Config) ->
     ship(faces.sparkSession)
     base = written(faces.select("id", *KEYS, "dim", "vec"), "faces")
     most = max(config.threshold, config.pet_threshold)
-    close = cosine_pairs(base, most, keys=KEYS)
+    close = cosine_pairs(base, most, keys=KEYS, spanning={"human": config.threshold, "": config.pet_threshold})
     edges = close.where(F.col("distance") < threshold_of(F.col("kind"), config)).select("a", "b")
     where = base.select("id", F.struct(*KEYS, "dim").alias("space"))
     if constraints is not None:

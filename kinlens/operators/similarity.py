@@ -1,4 +1,4 @@
-"""Similarity joins: Hamming distance by bands, cosine distance by blocks of matrix products, nearest centroids.
+"""Similarity joins: Hamming distance by equal blocks, cosine distance by blocks of matrix products, nearest centroids.
 
 Vector pairs never meet as a cross join of rows: rows are dealt into blocks, and a task multiplies one block by another and
 gives back only the pairs under the limit. The number of blocks grows with the rows, so a task's memory does not.
@@ -6,6 +6,9 @@ gives back only the pairs under the limit. The number of blocks grows with the r
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,24 +25,48 @@ BITS = 64
 BLOCK = 2048
 #: Centroids up to this many bytes are sent to every task; more are joined in blocks.
 BROADCAST_BYTES = 64 << 20
+#: Faces of a task that meet a block of centroids.
+FACES = 16_384
+
+
+def hamming_keys(n: int, most: int) -> tuple[int, int]:
+    """(blocks, equal ones): into how many blocks to cut the bits for ``n`` hashes, and how many of them make a key.
+
+    Hashes within ``most`` bits agree on r of most + r blocks at least, so every choice of r blocks as a key finds all pairs. More blocks
+    mean more keys a hash and fewer hashes a key; the choice costs least where hashes are spread evenly.
+    """
+    def cost(r: int) -> float:
+        blocks = most + r
+        return comb(blocks, r) * (1 + n / 2 ** (r * (BITS // blocks)) / 2)
+
+    r = min((r for r in range(1, 7) if most + r <= BITS), key=cost)
+    return most + r, r
 
 
 def hamming_pairs(hashes: DataFrame, most: int = MAX_HAMMING) -> DataFrame:
     """(a, b, distance) of distinct hashes (phash) within ``most`` bits, a < b.
 
-    The bits are cut into most + 1 bands: two hashes within ``most`` bits agree on at least one. Candidates share a band and
-    its number; equal hashes are one row here, so a hot hash costs nothing.
+    Candidates agree on the blocks of a key (:func:`hamming_keys`), whose size grows with the number of hashes; each pair is kept at the
+    first key that it shares. Equal hashes are one row here, so a hot hash costs nothing.
     """
-    ship(hashes.sparkSession)
-    bands = most + 1
-    edges = [BITS * k // bands for k in range(bands + 1)]
-    distinct = hashes.select(F.col("phash").alias("h")).where("h IS NOT NULL").distinct()
-    pieces = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("h", s).bitwiseAND(F.lit((1 << (e - s)) - 1 if e - s < 64 else -1)).alias("bits")) for k, (s, e) in enumerate(zip(edges, edges[1:]))])
-    cut = distinct.select("h", F.explode(pieces).alias("p")).select("h", "p.band", "p.bits")
-    left, right = cut.toDF("a", "band", "bits"), cut.toDF("b", "band", "bits")
-    pairs = left.join(right, ["band", "bits"]).where(F.col("a") < F.col("b"))
+    distinct = written(hashes.select(F.col("phash").alias("h")).where("h IS NOT NULL").distinct(), "hashes")
+    blocks, equal = hamming_keys(distinct.count(), most)
+    edges = [BITS * k // blocks for k in range(blocks + 1)]
+    # the bits of a block, in place: all of a key's blocks fit one mask
+    mask = lambda s, e: sum(1 << k for k in range(s, e))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    masks = [mask(s, e) for s, e in zip(edges, edges[1:])]
+    keys = list(combinations(range(blocks), equal))
+    pieces = F.array(*[F.struct(F.lit(k).alias("key"), F.col("h").bitwiseAND(F.lit(signed(sum(masks[i] for i in c)))).alias("bits")) for k, c in enumerate(keys)])
+    cut = distinct.select("h", F.explode(pieces).alias("p")).select("h", "p.key", "p.bits")
+    left, right = cut.toDF("a", "key", "bits"), cut.toDF("b", "key", "bits")
+    pairs = left.join(right, ["key", "bits"]).where(F.col("a") < F.col("b"))
     found = pairs.withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= most)
-    return found.select("a", "b", "distance").distinct()
+    # the first key of a pair: the first ``equal`` of the blocks on which it agrees
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    agreed = F.slice(F.filter(F.array(*[F.when(x.bitwiseAND(F.lit(signed(m))) == 0, F.lit(i)) for i, m in enumerate(masks)]), lambda i: i.isNotNull()), 1, equal)
+    first = F.array(*[F.array(*[F.lit(i) for i in c]) for c in keys])
+    return found.where(F.get(first, F.col("key")) == agreed).select("a", "b", "distance")
 
 
 def duplicate_sets(photos: DataFrame, most: int = MAX_HAMMING) -> DataFrame:
@@ -85,10 +112,39 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.where(n > 1e-12, m / np.maximum(n, 1e-300), m)
 
 
-def cosine_pairs(rows: DataFrame, limit: float, inclusive: bool = False, keys: tuple[str, ...] = ("kind",), block: int = BLOCK) -> DataFrame:
+def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, column) of a boolean matrix of links that connect what all of them connect: fewer than it has rows and columns."""
+    n, m = near.shape
+    rows, columns = np.arange(n), n + np.arange(m)
+    while True:  # the smallest label that a row or column reaches
+        new_rows = np.minimum(rows, np.where(near, columns, n + m).min(1))
+        new_columns = np.minimum(columns, np.where(near, new_rows[:, None], n + m).min(0))
+        if (new_rows == rows).all() and (new_columns == columns).all():
+            break
+        rows, columns = new_rows, new_columns
+    # a breadth-first tree of each component: every node but the root links to one of the level before
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    level_rows, seen_rows, seen_columns = rows == np.arange(n), rows == np.arange(n), np.zeros(m, bool)
+    while level_rows.any():
+        at = np.flatnonzero(level_rows)
+        fresh = ~seen_columns & near[at].any(0)
+        c = np.flatnonzero(fresh)
+        links.append((at[near[np.ix_(at, c)].argmax(0)], c))
+        seen_columns |= fresh
+        level_rows = ~seen_rows & near[:, c].any(1)
+        r = np.flatnonzero(level_rows)
+        if len(r):
+            links.append((r, c[near[np.ix_(r, c)].argmax(1)]))
+        seen_rows |= level_rows
+    return np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links])
+
+
+def cosine_pairs(rows: DataFrame, limit: float, inclusive: bool = False, keys: tuple[str, ...] = ("kind",), block: int = BLOCK, spanning: dict[str, float] | None = None) -> DataFrame:
     """(keys, a, b, distance) of pairs a < b of one key and length with cosine distance under (or at) the limit.
 
-    ``rows``: keys, id, vec. Every pair of blocks of a key is one task: its rows are one block against another.
+    ``rows``: keys, id, vec. Every pair of blocks of a key is one task: its rows are one block against another. With ``spanning``, limits
+    by the first key's value ("" for others), a task gives back only as many of its pairs under that as connect what they all connect, fewer than it has rows:
+    all that components need, however dense the pairs are.
     """
     ship(rows.sparkSession)
     full = [*keys, "dim"]
@@ -109,9 +165,17 @@ def cosine_pairs(rows: DataFrame, limit: float, inclusive: bool = False, keys: t
         d = 1 - _matrix(p["vec"]) @ _matrix(q["vec"]).T
         a, b = p["id"].to_numpy(), q["id"].to_numpy()
         keep = (d <= limit) if inclusive else (d < limit)
-        if same:
-            keep &= a[:, None] < b[None]
-        x, y = np.nonzero(keep)
+        if spanning is not None:
+            keep &= d < spanning.get(pdf[keys[0]].iat[0], spanning[""])
+            if same:
+                np.fill_diagonal(keep, False)
+            x, y = _spanning(keep)
+            away = a[x] != b[y]
+            x, y = x[away], y[away]
+        else:
+            if same:
+                keep &= a[:, None] < b[None]
+            x, y = np.nonzero(keep)
         found = pd.DataFrame({"a": np.minimum(a[x], b[y]), "b": np.maximum(a[x], b[y]), "distance": d[x, y]})
         for k in keys:
             found[k] = pdf[k].iat[0]
@@ -154,8 +218,9 @@ def nearest_two(faces: DataFrame, persons: DataFrame, by_model: bool = False) ->
 
         return f.mapInPandas(stream, schema)
     placed = p.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    spread = f.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int"))
-    salted = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    salts = max(1, -(-f.count() // FACES))  # as many as keep a task at FACES faces, whatever their kinds
+    spread = f.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    salted = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def pair(key, fv: pd.DataFrame, pv: pd.DataFrame) -> pd.DataFrame:
         if fv.empty or pv.empty:

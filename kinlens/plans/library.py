@@ -129,7 +129,7 @@ class Library:
         from ..streaming.watch import watch, with_roots
 
         paths = {r["id"]: r["display_path"] for r in self.roots.select("id", "display_path").collect()}
-        return watch(with_roots(changed, self.roots), lambda root, _: self.index(paths[root]), checkpoint, **options)
+        return watch(with_roots(changed, self.roots), lambda root, _: self.index(paths[root]), checkpoint, with_paths=False, **options)
 
     def reclassify(self) -> int:
         """Categories of photos that have none and whose files are there; how many got one."""

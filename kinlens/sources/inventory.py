@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,15 @@ PACKAGES = ("app", "bundle", "photoslibrary", "framework", "plugin", "pkg", "rtf
 LISTING = "relative_path string, volume_uuid string, file_id long, mtime double, size long, is_video boolean"
 
 
+#: A scheme and an authority (name node, bucket) with the slashes behind them.
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/*"
+
+
+def plain_path(path: Column) -> Column:
+    """A path within its file system, without scheme and authority."""
+    return F.regexp_replace(path, SCHEME, "/")
+
+
 def media_kind(name: Column) -> Column:
     """image, video, or null for other files, by extension."""
     e = F.lower(X.extension(name))
@@ -35,9 +45,7 @@ def visible(relative: Column) -> Column:
 def listed(spark: SparkSession, root: str) -> DataFrame:
     """A listing of the media under a folder of any file system that Spark reads; inodes are not known there."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
-    plain = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    base = root.split("://", 1)[-1] if "://" in root else root.removeprefix("file:")
-    rows = files.withColumn("relative_path", X.relative_path(plain, base))
+    rows = files.withColumn("relative_path", X.relative_path(plain_path(F.col("path")), re.sub(SCHEME, "/", root)))
     return _media(rows.select("relative_path", F.lit(None).cast("string").alias("volume_uuid"), F.lit(None).cast("long").alias("file_id"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size")))
 
 
@@ -151,12 +159,12 @@ def export_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
 
     named = wanted.where("name IS NOT NULL")
     rows = named.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("id")))
-    # the numbers in use: of ``stem (n).ext`` among what is there, n for the wanted name, 1 for the name itself
+    # the numbers in use (one beyond all integers is none that a row could get): of ``stem (n).ext`` among what is there, n for the wanted name, 1 for the name itself
     numbered_ = F.regexp_extract("name", r"^(.*) \((\d+)\)(\.[^.]+)?$", 2)
     base = F.regexp_replace("name", r"^(.*) \((\d+)\)(\.[^.]+)?$", "$1$3")
     # wanted names can themselves be numbered forms of others: they are taken, too
     all_taken = taken.select("name").unionByName(wanted.select("name")).distinct()
-    used = all_taken.where(numbered_ != "").select(base.alias("name"), numbered_.cast("int").alias("n")).unionByName(taken.select("name", F.lit(1).alias("n"))).distinct()
+    used = all_taken.where(numbered_ != "").select(base.alias("name"), numbered_.try_cast("long").alias("n")).unionByName(taken.select("name", F.lit(1).alias("n"))).distinct()
     # a used number shifts those rows that have no more free numbers before theirs than lie under it
     under = F.col("n") - F.row_number().over(Window.partitionBy("name").orderBy("n"))
     marks = used.where("n >= 1").select(F.lit(None).cast(wanted.schema["id"].dataType).alias("id"), "name", under.alias("at"), F.lit(0).alias("side"))

@@ -64,7 +64,7 @@ class Store:
         self.files = Files(spark, path)
         try:
             self.manifest = self._latest()
-        except (ValueError, KeyError):  # a manifest that can't be read: put the store aside and begin anew
+        except (ValueError, KeyError, TypeError):  # a manifest that can't be read: put the store aside and begin anew
             aside = f"{self.base}.corrupt-{uuid.uuid4().hex[:8]}"
             self.files.rename(self.base, aside)
             self.manifest = self._fresh()

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.browse import under_roots
+
 QUIET = "2 seconds"
 CHANGES = "path string, ts timestamp"
 
@@ -18,9 +20,9 @@ def changes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def with_roots(changed: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, ts, path): changes under the root (id, display_path) that holds them. Roots are a short registry."""
-    hit = changed.join(F.broadcast(roots.select(F.col("id").alias("key"), "display_path")), F.col("path").startswith(F.concat("display_path", F.lit("/"))))
-    return hit.select("key", "ts", "path")
+    """(key, ts, path): changes under the roots (id, display_path) that hold them, by the same rule as :func:`~kinlens.operators.browse.affected_roots`."""
+    own = roots.select(F.col("id").alias("key"), "display_path")
+    return under_roots(changed, roots).join(own, "display_path").select("key", "ts", "path")
 
 
 def quiet_sessions(events: DataFrame, quiet: str = QUIET) -> DataFrame:
@@ -32,12 +34,21 @@ def quiet_sessions(events: DataFrame, quiet: str = QUIET) -> DataFrame:
     return runs.select("key", "started", "ended", "n", "paths")
 
 
-def watch(events: DataFrame, rescan: Callable[[int, list[str]], None], checkpoint: str, quiet: str = QUIET, late: str = "1 seconds", **trigger) -> StreamingQuery:
-    """Call ``rescan(root id, paths)`` for every run of changes once it is quiet; a batch holds a handful of roots."""
-    runs = quiet_sessions(events.withWatermark("ts", late), quiet)
+def watch(events: DataFrame, rescan: Callable[[int, list[str]], None], checkpoint: str, quiet: str = QUIET, late: str = "1 seconds", with_paths: bool = True, **trigger) -> StreamingQuery:
+    """Call ``rescan(root id, paths)`` for every run of changes once it is quiet; with ``with_paths`` off, ``paths`` is empty and only the ids of
+    changed roots, no more than there are roots, leave the executors."""
+    events = events.withWatermark("ts", late)
+    if with_paths:
+        runs = quiet_sessions(events, quiet)
+    else:
+        runs = events.groupBy("key", F.session_window("ts", quiet)).agg(F.max("ts").alias("ended")).select("key", "ended")
 
     def each(batch: DataFrame, _: int) -> None:
-        for r in batch.groupBy("key").agg(F.flatten(F.collect_list("paths")).alias("paths")).collect():
+        if with_paths:
+            found = batch.groupBy("key").agg(F.flatten(F.collect_list("paths")).alias("paths")).collect()
+        else:
+            found = batch.select("key", F.array().cast("array<string>").alias("paths")).distinct().collect()
+        for r in found:
             rescan(r["key"], sorted(set(r["paths"])))
 
     return runs.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()

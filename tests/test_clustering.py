@@ -235,3 +235,51 @@ def test_constraints_are_unordered(spark):
     once = R.with_constraints(c, new, 1, 5.0)
     twice = R.with_constraints(once, new, 9, 6.0)
     assert sorted((r["face_a"], r["face_b"], r["kind"], r["created_at"]) for r in twice.collect()) == [(1, 2, "cannotLink", 5.0), (1, 2, "mustLink", 5.0)]
+
+
+@pytest.mark.parametrize("equal", [1, 2, 3, 4])
+def test_hamming_keys_are_exact(spark, monkeypatch, equal):
+    """Any number of equal blocks in a key finds all pairs, once."""
+    from kinlens.operators import similarity as S
+
+    monkeypatch.setattr(S, "hamming_keys", lambda n, most: (most + equal, equal))
+    rng = np.random.default_rng(8)
+    hashes = {int(x) for x in rng.integers(-(1 << 63), 1 << 63, 40)} | {0, -1, 1, -(1 << 63)}
+    for h in list(hashes):
+        for k in (1, 3, 6, 7):
+            for _ in range(2):
+                x = h & (1 << 64) - 1
+                for bit in rng.choice(64, k, replace=False):
+                    x ^= 1 << int(bit)
+                hashes.add(x - (1 << 64) if x >> 63 else x)
+    every = sorted(hashes)
+    far = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    brute = {(a, b, far(a, b)) for i, a in enumerate(every) for b in every[i + 1 :] if far(a, b) <= 6}
+    got = [tuple(r) for r in S.hamming_pairs(spark.createDataFrame([(h,) for h in every], "phash long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute and len(brute) > 200
+
+
+def test_spanning_links_connect_what_all_links_connect(spark):
+    from kinlens.operators.graph import components
+    from kinlens.operators.similarity import cosine_pairs
+
+    rng = np.random.default_rng(4)
+    rows = [(k, "human" if k % 3 else "pet", [float(x) for x in rng.normal(size=3)]) for k in range(150)]
+    df = spark.createDataFrame(rows, "id long, kind string, vec array<double>")
+    limits = {"human": 0.05, "": 0.1}
+    every = cosine_pairs(df, 0.1, block=40).where("distance < CASE WHEN kind = 'human' THEN 0.05 ELSE 0.1 END")
+    some = cosine_pairs(df, 0.1, block=40, spanning=limits)
+    found = lambda pairs: {tuple(r) for r in components(pairs.select("a", "b")).collect()}
+    assert found(every) == found(some) and some.join(every, ["a", "b"], "left_anti").isEmpty()
+
+
+def test_nearest_two_beyond_the_broadcast(spark, monkeypatch):
+    from kinlens.operators import similarity as S
+
+    rng = np.random.default_rng(5)
+    faces = spark.createDataFrame([(k, "human", [float(x) for x in rng.normal(size=4)]) for k in range(90)], "id long, kind string, vec array<double>")
+    persons = spark.createDataFrame([(k, "human", [float(x) for x in rng.normal(size=4)]) for k in range(20)], "id long, kind string, centroid array<double>")
+    whole = sorted((r["id"], r["person_id"], round(r["best"], 9), round(r["runner_up"], 9)) for r in S.nearest_two(faces, persons).collect())
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 400)
+    monkeypatch.setattr(S, "FACES", 10)
+    assert sorted((r["id"], r["person_id"], round(r["best"], 9), round(r["runner_up"], 9)) for r in S.nearest_two(faces, persons).collect()) == whole

@@ -360,3 +360,51 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     assert shared_folder(session("yarn", "/shared")) == "/shared" and os.path.isdir(shared_folder(session("local[4]", None)))
     with pytest.raises(RuntimeError):
         shared_folder(session("spark://host:7077", None))
+
+
+def test_every_root_with_a_change_is_affected(spark):
+    """1500 roots of different lengths, each with a change; a root holds what begins with its path."""
+    roots = spark.range(1500).select("id", F.concat(F.lit("/r"), F.repeat(F.lit("x"), F.col("id").cast("int")), F.lit("_")).alias("display_path"))
+    changes_ = roots.select(F.concat("display_path", F.lit("/photo.jpg")).alias("path"))
+    assert B.affected_roots(roots, changes_).count() == 1500
+    assert B.affected_roots(roots, changes_.where(F.length("path") < 20)).count() == len([i for i in range(1500) if i + 3 + 10 < 20])
+    some = spark.createDataFrame([(1, "/lib/A"), (2, "/lib/AB"), (3, "/lib/C")], "id long, display_path string")
+    hit = some.sparkSession.createDataFrame([("/lib/AB/x",), (None,)], "path string")
+    assert sorted(r["id"] for r in B.affected_roots(some, hit).collect()) == [1, 2]
+    ts = hit.select("path", F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    assert sorted((r["key"], r["path"]) for r in with_roots(ts, some).collect()) == [(1, "/lib/AB/x"), (2, "/lib/AB/x")]
+
+
+def test_watch_gives_roots_alone(spark, tmp_path):
+    roots = spark.createDataFrame([(1, "/a"), (2, "/b")], "id long, display_path string")
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "1.json").write_text("\n".join(f'{{"path": "/a/{k}", "ts": "2024-01-01T00:00:00Z"}}' for k in range(20)))
+    (folder / "2.json").write_text('{"path": "/b/late", "ts": "2024-01-01T01:00:00Z"}')
+    seen = []
+    q = watch(with_roots(changes(spark, str(folder)), roots), lambda k, paths: seen.append((k, paths)), str(tmp_path / "cp"), with_paths=False, availableNow=True)
+    q.awaitTermination(120)
+    assert q.exception() is None and set(map(str, seen)) == {"(1, [])"}
+
+
+@pytest.mark.parametrize("root", ["hdfs://nn:8020/lib", "s3a://bucket/lib", "file:/lib", "file:///lib", "/lib", "viewfs://store/lib/"])
+def test_remote_listings_keep_folders(spark, monkeypatch, root):
+    from pyspark.sql import DataFrameReader
+
+    stem = root.rstrip("/")
+    at = spark.createDataFrame([(f"{stem}/a/b.jpg", 1.0, 5), (f"{stem}/c.jpg", 1.0, 5), (f"{stem}/d e/f#1.png", 1.0, 5)], "path string, modificationTime double, length long")
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, path: at)
+    assert sorted(r["relative_path"] for r in N.listed(spark, root).collect()) == ["a/b.jpg", "c.jpg", "d e/f#1.png"]
+
+
+def test_export_with_numbers_beyond_integers(spark):
+    names = spark.createDataFrame([(1, "x.jpg"), (2, "x.jpg")], "id long, name string")
+    taken = spark.createDataFrame([("x (99999999999).jpg",), (f"x ({'9' * 30}).jpg",), ("x (2).jpg",)], "name string")
+    assert sorted(tuple(r) for r in N.export_names(names, taken).collect()) == [(1, "x.jpg"), (2, "x (3).jpg")]
+
+
+def test_a_manifest_that_is_no_object_is_put_aside(spark, tmp_path):
+    (tmp_path / "db" / "manifests").mkdir(parents=True)
+    (tmp_path / "db" / "manifests" / "00000001.json").write_text("[1, 2]")
+    assert Store(spark, str(tmp_path / "db")).manifest["snapshot"] == 0
+    assert [p for p in tmp_path.iterdir() if "corrupt" in p.name]
