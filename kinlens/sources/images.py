@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .jpeg import decode_jpeg
+
 #: The longest edge that features are computed at.
 LONGEST = 1600
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
@@ -169,7 +171,9 @@ def decode(content: bytes) -> np.ndarray | None:
             return _png(content)
         if content[:2] in (b"P5", b"P6"):
             return _pnm(content)
-    except (ValueError, struct.error, zlib.error, IndexError):
+        if content[:2] == b"\xff\xd8":
+            return decode_jpeg(content)
+    except (ValueError, struct.error, zlib.error, IndexError, KeyError, TypeError, StopIteration):  # whatever a broken file leads to
         return None
     return None
 

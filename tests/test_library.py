@@ -408,3 +408,67 @@ def test_a_manifest_that_is_no_object_is_put_aside(spark, tmp_path):
     (tmp_path / "db" / "manifests" / "00000001.json").write_text("[1, 2]")
     assert Store(spark, str(tmp_path / "db")).manifest["snapshot"] == 0
     assert [p for p in tmp_path.iterdir() if "corrupt" in p.name]
+
+
+def jpeg(spark, pixels, progressive=False):
+    """A JPEG file as the JVM writes it."""
+    j = spark._jvm
+    height, width = pixels.shape[:2]
+    picture = j.java.awt.image.BufferedImage(width, height, 10 if pixels.ndim == 2 else 1)
+    for y in range(height):
+        for x in range(width):
+            if pixels.ndim == 2:
+                picture.getRaster().setSample(x, y, 0, int(pixels[y, x]))
+            else:
+                picture.setRGB(x, y, int.from_bytes(bytes(pixels[y, x].tolist()), "big"))
+    out = j.java.io.ByteArrayOutputStream()
+    writer = j.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    settings = writer.getDefaultWriteParam()
+    settings.setCompressionMode(2)
+    settings.setCompressionQuality(0.95)
+    if progressive:
+        settings.setProgressiveMode(1)
+    writer.setOutput(j.javax.imageio.ImageIO.createImageOutputStream(out))
+    writer.write(None, j.javax.imageio.IIOImage(picture, None, None), settings)
+    writer.getOutput().flush()
+    return bytes(out.toByteArray())
+
+
+def scene(height=45, width=53):
+    y, x = np.mgrid[0:height, 0:width]
+    return np.stack([128 + 100 * np.sin(x / 9), 128 + 100 * np.cos(y / 7), (3 * x + 2 * y) % 256 * 0 + 90 + x], 2).clip(0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("progressive", [False, True])
+def test_jpeg_pixels(spark, progressive):
+    pixels = scene()
+    content = jpeg(spark, pixels, progressive)
+    got = D.decode(content)
+    assert got.shape == pixels.shape and np.abs(got.astype(int) - pixels).mean() < 4
+    picture = spark._jvm.javax.imageio.ImageIO.read(spark._jvm.java.io.ByteArrayInputStream(bytearray(content)))
+    theirs = np.array([[[picture.getRGB(x, y) >> s & 255 for s in (16, 8, 0)] for x in range(pixels.shape[1])] for y in range(pixels.shape[0])])
+    assert np.abs(got.astype(int) - theirs).mean() < 1.5  # they smooth what they spread
+    gray = D.decode(jpeg(spark, pixels[..., 0], progressive))
+    assert gray.ndim == 2 and np.abs(gray.astype(int) - pixels[..., 0]).max() < 12
+    assert abs(bin((I.dhash_bits(I.shrink_gray(got)) ^ I.dhash_bits(I.shrink_gray(pixels))) & (1 << 64) - 1).count("1")) <= 3
+    for broken in (content[:200], content[:-40], content[:2], b"\xff\xd8" + bytes(50), content[:30] + content[60:]):
+        assert D.decode(broken) is None or D.decode(broken).ndim >= 2
+    assert D.decode(content[: len(content) // 2]) is None
+
+
+def test_pending_files_alone_are_read(spark, tmp_path):
+    """One new photo in a folder of many: one file's content is read; where most are wanted, the folder is read."""
+    folder = tmp_path / "photos"
+    (folder / "sub [1]").mkdir(parents=True)
+    for k in range(30):
+        (folder / f"p{k}.pgm").write_bytes(D.to_pgm(np.full((9, 9), k)))
+    (folder / "sub [1]" / "new {x}*.jpg").write_bytes(jpeg(spark, scene(16, 24)))
+    library = Library(spark, str(tmp_path / "db"))
+    library.add_root(str(folder))
+    paths = spark.createDataFrame([(7, f"{folder}/sub [1]/new {{x}}*.jpg"), (8, f"{folder}/gone.jpg")], "id long, path string")
+    some = library.contents(paths, [str(folder), f"{folder}/sub [1]"])
+    assert sum("photos/" in f for f in some.inputFiles()) == 1 and [r["id"] for r in some.collect()] == [7]
+    every = spark.createDataFrame([(k, f"{folder}/p{k}.pgm") for k in range(30)], "id long, path string")
+    assert library.contents(every, [str(folder)]).count() == 30
+    library.index(str(folder))
+    assert {r["state"] for r in library.photos.collect()} == {"embedded"} and library.photos.where("phash IS NULL").isEmpty()
