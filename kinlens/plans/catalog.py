@@ -619,3 +619,6 @@ def _(spark, sf):
 
 
 SQL["debounce_sessions"] = SQL["debounce_sessions"].replace("WITH RECURSIVE \n", "")
+
+
+from . import corrections  # noqa: E402, F401  (registers its queries)
