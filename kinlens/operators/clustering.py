@@ -2,7 +2,7 @@
 
 Average linkage is exact though distributed: an average under the threshold needs one pair under it, so no merge leaves a
 connected component of the graph of such pairs and of must-links. Components come from block products and label propagation;
-each is clustered by itself, in the order of face ids.
+each is clustered by itself, in the order of face ids. Centroid merges go by components of close centroids, too.
 """
 
 from __future__ import annotations
@@ -242,30 +242,59 @@ def unit_sums(faces: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def centroid_merged(faces: DataFrame, groups: DataFrame, constraints: DataFrame | None, config: Config) -> DataFrame:
-    """(id, grp): groups whose centroids are close are one. Greedy over all groups of a space, so that space is one task over group rows."""
+    """(id, grp): groups whose centroids are close are one.
+
+    Greedy within each connected component of the graph of close centroids, so a group that is close to none never reaches a task, and
+    components run in parallel. A merged centroid can come close to a group outside its component; rounds go on until none does. The
+    result is that of one greedy pass over a whole space, unless such a newcomer would have come in before the component was done.
+    """
     groups = written(groups, "groups")
-    sums = unit_sums(faces, groups)
-    schema = "old long, grp long"
+    keys = [*KEYS, "dim"]
+    current = written(unit_sums(faces, groups), "sums")
+    if constraints is not None:
+        a = groups.select(F.col("id").alias("face_a"), F.col("grp").alias("grp_a"), *keys)
+        b = groups.select(F.col("id").alias("face_b"), F.col("grp").alias("grp_b"), *[F.col(k).alias(f"{k}_b") for k in keys])
+        links = constraints.where("kind = 'cannotLink'").select("face_a", "face_b").join(a, "face_a").join(b, "face_b")
+        links = written(links.where(" AND ".join(f"{k} = {k}_b" for k in keys)).select("grp_a", "grp_b").distinct(), "group-links")
+    limits = {"human": config.threshold * MERGE_RATIO, "": config.pet_threshold * MERGE_RATIO}
+    named = groups.select("id", "kind", "grp")
+    empty = pd.DataFrame({"old": [], "new": []})
 
     def merge(pdf: pd.DataFrame, links: pd.DataFrame | None) -> pd.DataFrame:
         pdf = pdf.sort_values("grp", ignore_index=True)
         at = {v: k for k, v in enumerate(pdf["grp"].tolist())}
         cannot = [] if links is None else [(at[a], at[b]) for a, b in zip(links["grp_a"], links["grp_b"]) if a in at and b in at]
-        limit = (config.threshold if pdf["kind"].iat[0] == "human" else config.pet_threshold) * MERGE_RATIO
+        limit = limits["human" if pdf["kind"].iat[0] == "human" else ""]
         labels = merge_by_centroid(np.stack(pdf["total"].tolist()), limit, cannot)
-        return pd.DataFrame({"old": pdf["grp"], "grp": pdf.groupby(labels)["grp"].transform("min")})
-
-    keys = [*KEYS, "dim"]
-    if constraints is None:
-        moved = sums.groupBy(*keys).applyInPandas(lambda pdf: merge(pdf, None), schema)
-    else:
-        a = groups.select(F.col("id").alias("face_a"), F.col("grp").alias("grp_a"), *keys)
-        b = groups.select(F.col("id").alias("face_b"), F.col("grp").alias("grp_b"))
-        links = constraints.where("kind = 'cannotLink'").select("face_a", "face_b").join(a, "face_a").join(b, "face_b").select(*keys, "grp_a", "grp_b").distinct()
-        links = written(links, "group-links")
-        none = pd.DataFrame({"old": [], "grp": []})
-        moved = sums.groupBy(*keys).cogroup(links.groupBy(*keys)).applyInPandas(lambda p, q: merge(p, q) if len(p) else none, schema)
-    return groups.select("id", "kind", F.col("grp").alias("old")).join(moved, "old").select("id", "kind", "grp")
+        return pd.DataFrame({"old": pdf["grp"], "new": pdf.groupby(labels)["grp"].transform("min")})
+
+    while True:
+        rows = current.select(*KEYS, F.col("grp").alias("id"), F.col("total").alias("vec"))
+        edges = written(cosine_pairs(rows, max(limits.values()), keys=KEYS, spanning=limits).select("a", "b"), "close")
+        if edges.isEmpty():
+            return named
+        found = components(edges)
+        members = current.join(found.withColumnRenamed("id", "grp"), "grp")
+        if constraints is None:
+            moved = members.groupBy("component").applyInPandas(lambda pdf: merge(pdf, None), "old long, new long")
+        else:
+            own = links.join(found.toDF("grp_a", "component"), "grp_a")
+            moved = members.groupBy("component").cogroup(own.groupBy("component")).applyInPandas(lambda p, q: merge(p, q) if len(p) else empty, "old long, new long")
+        moved = written(moved.where("old <> new"), "moved")
+        if moved.isEmpty():  # what is close is bound to differ
+            return named
+        to = moved.select(F.col("old").alias("grp"), "new")
+        named = written(named.join(to, "grp", "left").select("id", "kind", F.coalesce("new", "grp").alias("grp")), "merged")
+        # sums of what moved and of what it moved to, position by position
+        touched = current.join(to, "grp", "left").join(moved.select(F.col("new").alias("grp"), F.lit(True).alias("into")).distinct(), "grp", "left")
+        parts = touched.where("new IS NOT NULL OR into").select(F.coalesce("new", "grp").alias("grp"), *keys, "n", F.posexplode("total").alias("at", "x"))
+        summed = parts.groupBy("grp", *keys, "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).groupBy("grp", *keys)
+        summed = summed.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("total"), F.max("n").alias("n"))
+        current = written(touched.where("new IS NULL AND into IS NULL").select(*summed.columns).unionByName(summed), "sums")
+        if constraints is not None:
+            x, y = to.toDF("grp_a", "new_a"), to.toDF("grp_b", "new_b")
+            renamed = links.join(x, "grp_a", "left").join(y, "grp_b", "left")
+            links = written(renamed.select(F.coalesce("new_a", "grp_a").alias("grp_a"), F.coalesce("new_b", "grp_b").alias("grp_b")).distinct(), "group-links")
 
 
 def identities(faces: DataFrame, groups: DataFrame, persons: DataFrame, config: Config, next_id: int) -> DataFrame:

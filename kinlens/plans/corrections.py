@@ -16,18 +16,19 @@ from .domain import people, view
 
 # --- vectors
 
-#: Vectors of another length at every seventh face, of zeros at every eleventh.
-_OTHER = F.when(F.col("id") % 7 == 0, F.slice("vec", 1, 5)).when(F.col("id") % 11 == 0, F.transform("vec", lambda _: F.lit(0.0))).otherwise(F.reverse("vec"))
+def _other():
+    """Vectors of another length at every seventh face, of zeros at every eleventh."""
+    return F.when(F.col("id") % 7 == 0, F.slice("vec", 1, 5)).when(F.col("id") % 11 == 0, F.transform("vec", lambda _: F.lit(0.0))).otherwise(F.reverse("vec"))
 
 
 @query("vector_dots", "SELECT id, CASE WHEN id % 7 = 0 OR id % 11 = 0 THEN 0 ELSE round(list_dot_product(vec, list_reverse(vec)), 6) END AS dot FROM v_face_vec", "v_face_vec")
 def _(spark, sf):
-    return face_vectors(spark, sf).select("id", F.round(V.dot(F.col("vec"), _OTHER), 6).alias("dot"))
+    return face_vectors(spark, sf).select("id", F.round(V.dot(F.col("vec"), _other()), 6).alias("dot"))
 
 
 @query("vector_similarities", "SELECT id, s AS similarity, round(1 - s, 6) AS distance FROM (SELECT id, CASE WHEN id % 7 = 0 OR id % 11 = 0 THEN 0 ELSE round(list_cosine_similarity(vec, list_reverse(vec)), 6) END AS s FROM v_face_vec)", "v_face_vec")
 def _(spark, sf):
-    return face_vectors(spark, sf).select("id", F.round(V.cosine_similarity(F.col("vec"), _OTHER), 6).alias("similarity"), F.round(V.cosine_distance(F.col("vec"), _OTHER), 6).alias("distance"))
+    return face_vectors(spark, sf).select("id", F.round(V.cosine_similarity(F.col("vec"), _other()), 6).alias("similarity"), F.round(V.cosine_distance(F.col("vec"), _other()), 6).alias("distance"))
 
 
 @query("vector_blobs", "SELECT id, 4 * len(vec) AS n_bytes, round(CAST(CAST(vec[1] AS FLOAT) AS DOUBLE), 6) AS first, CASE WHEN id % 3 = 0 THEN 0 ELSE len(vec) END AS n_back FROM v_face_vec", "v_face_vec")

@@ -283,3 +283,40 @@ def test_nearest_two_beyond_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr(S, "BROADCAST_BYTES", 400)
     monkeypatch.setattr(S, "FACES", 10)
     assert sorted((r["id"], r["person_id"], round(r["best"], 9), round(r["runner_up"], 9)) for r in S.nearest_two(faces, persons).collect()) == whole
+
+
+@pytest.mark.parametrize("bound", [False, True])
+def test_distributed_centroid_merges_are_the_greedy_ones(spark, bound):
+    """Groups in clumps whose centroids close: the result of one greedy pass over each space, cannot-links included."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(12)
+    rows, groups = [], []
+    k = 0
+    for clump in range(8):
+        base = rng.normal(size=16)
+        for g in range(6):
+            first = k
+            for _ in range(int(rng.integers(1, 4))):
+                v = base + 0.35 * rng.normal(size=16)
+                rows.append((k, "pet" if clump % 4 == 3 else "human", "m", 16, [float(x) for x in v]))
+                groups.append((k, rows[-1][1], "m", 16, first))
+                k += 1
+    faces = spark.createDataFrame(rows, "id long, kind string, model string, dim int, vec array<double>")
+    grouped = spark.createDataFrame(groups, "id long, kind string, model string, dim int, grp long")
+    firsts = sorted({g[4] for g in groups})
+    pairs = [(a, b) for a, b in zip(firsts, firsts[1:]) if a % 2] if bound else []
+    links = spark.createDataFrame([(i, a, b, "cannotLink", 0.0) for i, (a, b) in enumerate(pairs)], "id long, face_a long, face_b long, kind string, created_at double") if bound else None
+    got = {r["id"]: r["grp"] for r in C.centroid_merged(faces, grouped, links, C.Config()).collect()}
+    expected = {}
+    for kind, limit in (("human", C.THRESHOLD), ("pet", C.PET_THRESHOLD)):
+        own = [g for g in firsts if next(x[1] for x in groups if x[4] == g) == kind]
+        at = {g: i for i, g in enumerate(own)}
+        unit = lambda v: np.array(v) / np.linalg.norm(v)
+        sums = np.array([sum(unit(r[4]) for r, x in zip(rows, groups) if x[4] == g) for g in own])
+        labels = C.merge_by_centroid(sums, limit * C.MERGE_RATIO, [(at[a], at[b]) for a, b in pairs if a in at and b in at])
+        lead = {}
+        for g, label in zip(own, labels.tolist()):
+            lead.setdefault(label, g)
+        expected |= {x[0]: lead[labels[at[x[4]]]] for x in groups if x[4] in at}
+    assert got == expected and len(set(got.values())) < len(firsts)
