@@ -8,6 +8,7 @@ from ..functions import images as I
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import browse as B
+from ..operators import clustering as C
 from ..operators import review as R
 from ..sources import inventory as N
 from ..sources.store import with_root, with_values, without_photos
@@ -211,3 +212,50 @@ def _(spark, sf):
     new = face_vectors(spark, sf).select((F.col("id") % 7).alias("face_a"), (F.col("id") % 5).alias("face_b"), F.when(F.col("id") % 2 == 0, "mustLink").otherwise("cannotLink").alias("kind"))
     first = R.with_constraints(no_constraints(spark), new.where("face_a < 3"), 1, 0.0)
     return R.with_constraints(first, new, 1000, 1.0).agg(F.count("*").alias("n"))  # a pair that is known keeps its row
+
+
+# --- grouping
+
+
+def _halves(spark, sf):
+    """(usable faces with the half of their identity that they are in, the half's first face, and the first face of the other half)."""
+    rows, _ = library(spark, sf)
+    half = F.expr("(id - 1) div 50 % 2")
+    halves = face_vectors(spark, sf).select("id", "ident", half.alias("half"))
+    firsts = halves.groupBy("ident").agg(F.min(F.when(F.col("half") == 0, F.col("id"))).alias("first"), F.min(F.when(F.col("half") == 1, F.col("id"))).alias("second"))
+    return C.usable(rows), halves.join(firsts, "ident")
+
+
+def _split(spark, sf):
+    own, halves = _halves(spark, sf)
+    grp = F.when(F.col("half") == 0, F.col("first")).otherwise(F.col("second"))
+    return own, halves, own.join(halves.select("id", grp.alias("grp")), "id").select("id", "kind", "model", "dim", "grp")
+
+
+def _link(spark, pairs, kind):
+    return pairs.select(F.lit(0).cast("long").alias("id"), "face_a", "face_b", F.lit(kind).alias("kind"), F.lit(0.0).alias("created_at"))
+
+
+@query("centroid_merges", "SELECT id, min(id) OVER (PARTITION BY ident) AS grp FROM v_face_vec", "v_face_vec")
+def _(spark, sf):
+    """Every identity's faces come as two groups; their centroids are close."""
+    own, _, groups = _split(spark, sf)
+    return C.centroid_merged(own, groups, None, C.Config()).select("id", "grp")
+
+
+@query("centroid_merges_bound", "SELECT id, CASE WHEN ident % 2 = 0 THEN min(id) OVER (PARTITION BY ident, (id - 1) // 50 % 2) ELSE min(id) OVER (PARTITION BY ident) END AS grp FROM v_face_vec", "v_face_vec")
+def _(spark, sf):
+    """The same, where the two groups of every other identity are bound to differ."""
+    own, halves, groups = _split(spark, sf)
+    pairs = halves.where("ident % 2 = 0 AND id = first AND second IS NOT NULL").select(F.col("first").alias("face_a"), F.col("second").alias("face_b"))
+    return C.centroid_merged(own, groups, _link(spark, pairs, "cannotLink"), C.Config()).select("id", "grp")
+
+
+@query("groups_bound_to_differ", "SELECT id, min(id) OVER (PARTITION BY ident, (id - 1) // 50 % 2) AS grp FROM v_face_vec", "v_face_vec")
+def _(spark, sf):
+    """One half of each identity is bound together, and each face of the other bound to differ from it: average linkage makes two groups."""
+    own, halves = _halves(spark, sf)
+    together = halves.where("half = 0 AND id <> first").select(F.col("first").alias("face_a"), F.col("id").alias("face_b"))
+    apart = halves.where("half = 1").select(F.col("first").alias("face_a"), F.col("id").alias("face_b"))
+    links = _link(spark, together, "mustLink").unionByName(_link(spark, apart, "cannotLink"))
+    return C.cluster(own, links, C.Config()).select("id", "grp")
