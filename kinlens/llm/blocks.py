@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, small_batches
 
 #: Rows and bytes of a block at most (about: blocks are dealt by a hash of the id), and the least number of blocks, for small inputs to use more than
 #: one core.
@@ -25,6 +25,7 @@ def search_blocks(rows: DataFrame, queries: DataFrame, build: Callable[[pa.Recor
     before its queries, gives the rows to ``build`` and each batch of queries to ``ask``. What a task holds is one
     block, its index and a batch of queries, however many queries there are.
     """
+    small_batches(rows.sparkSession)
     ship(rows.sparkSession)
     names = rows.columns
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(weight), F.lit(0)).alias("bytes")).first()

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..tables import discard, ship, written
 
-__all__ = ["BLANKS", "discard", "lower_ascii", "map_batches", "mix64", "shingle_hashes", "ship", "table", "word_hashes", "written"]
+__all__ = ["BLANKS", "discard", "lower_ascii", "map_batches", "mix64", "shingle_hashes", "ship", "small_batches", "table", "word_hashes", "written"]
 
 #: ``[\x20\x09-\x0D]``, the white space of every contract here.
 BLANKS = " \t\n\x0b\f\r"
@@ -20,14 +20,24 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of a batch that are Python objects at once.
 ROWS = 512
+#: Bytes of an Arrow batch, of which a task holds some outside the heap and in its worker; Spark's own default is eight times that.
+BATCH_BYTES, SPARK_BATCH_BYTES = "8m", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES from now on, where the session has Spark's default: rows here hold texts, sets and registers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, SPARK_BATCH_BYTES):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with plain lists: ``fn`` gets an iterator of {column: values} and yields the same."""
+    small_batches(df.sparkSession)
     ship(df.sparkSession)
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
