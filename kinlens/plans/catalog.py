@@ -208,11 +208,7 @@ def _(spark, sf):
     return found.select("photo_id", F.array_join(F.transform("boxes", lambda b: F.format_string("%.3f/%.3f", b["bbox_x"], b["bbox_y"])), ",").alias("boxes"))
 
 
-@query("face_lines", "SELECT photo_id, line, printf('person %s · bbox [x=%.3f y=%.3f w=%.3f h=%.3f]', coalesce(person_id::VARCHAR, '—'), bbox_x, bbox_y, bbox_w, bbox_h) AS shown FROM v_face WHERE photo_id % 50 = 0", "v_face")
-def _(spark, sf):
-    return faces(spark, sf).where("photo_id % 50 = 0").select("photo_id", "line", X.face_line(F.col("bbox_x"), F.col("bbox_y"), F.col("bbox_w"), F.col("bbox_h"), F.col("person_id")).alias("shown"))
-
-
+@query("face_lines", "SELECT photo_id, line, printf('person %s · bbox [x=%.3f y=%.3f w=%.3f h=%.3f]', coalesce(person_id::VARCHAR, '—'), bbox_x, bbox_y, bbox_w, bbox_h) AS shown FROM v_face", "v_face")
 @query("face_lines_all", "SELECT photo_id, line, printf('person %s · bbox [x=%.3f y=%.3f w=%.3f h=%.3f]', coalesce(person_id::VARCHAR, '—'), bbox_x, bbox_y, bbox_w, bbox_h) AS shown FROM v_face", "v_face")
 def _(spark, sf):
     return faces(spark, sf).select("photo_id", "line", X.face_line(F.col("bbox_x"), F.col("bbox_y"), F.col("bbox_w"), F.col("bbox_h"), F.col("person_id")).alias("shown"))
@@ -590,13 +586,7 @@ def _(spark, sf):
     return B.existing(p, inventory(p)).select("id")
 
 
-@query("export_names", "SELECT id, CASE WHEN k = 0 THEN n ELSE regexp_extract(n, '^(.*)\\.', 1) || ' (' || (k + 1) || ').jpg' END AS name FROM (SELECT id, 'IMG_' || (id % 50) || '.jpg' AS n, row_number() OVER (PARTITION BY id % 50 ORDER BY id) - CASE WHEN id % 50 < 5 THEN 0 ELSE 1 END AS k FROM v_photo_plain WHERE id < 2000)", "v_photo_plain")
-def _(spark, sf):
-    wanted = photos(spark, sf).where("id < 2000").select("id", F.concat(F.lit("IMG_"), (F.col("id") % 50).cast("string"), F.lit(".jpg")).alias("name"))
-    taken = spark.range(5).select(F.concat(F.lit("IMG_"), F.col("id").cast("string"), F.lit(".jpg")).alias("name"))
-    return N.export_names(wanted, taken)
-
-
+@query("export_names", "SELECT id, CASE WHEN k = 0 THEN n ELSE regexp_extract(n, '^(.*)\\.', 1) || ' (' || (k + 1) || ').jpg' END AS name FROM (SELECT id, 'IMG_' || (id % 50) || '.jpg' AS n, row_number() OVER (PARTITION BY id % 50 ORDER BY id) - CASE WHEN id % 50 < 5 THEN 0 ELSE 1 END AS k FROM v_photo_plain)", "v_photo_plain")
 @query("export_names_all", "SELECT id, CASE WHEN k = 0 THEN n ELSE regexp_extract(n, '^(.*)\\.', 1) || ' (' || (k + 1) || ').jpg' END AS name FROM (SELECT id, 'IMG_' || (id % 50) || '.jpg' AS n, row_number() OVER (PARTITION BY id % 50 ORDER BY id) - CASE WHEN id % 50 < 5 THEN 0 ELSE 1 END AS k FROM v_photo_plain)", "v_photo_plain")
 def _(spark, sf):
     wanted = photos(spark, sf).select("id", F.concat(F.lit("IMG_"), (F.col("id") % 50).cast("string"), F.lit(".jpg")).alias("name"))
