@@ -33,8 +33,8 @@ from .bpe import in_pieces
 from .common import discard, map_batches, mix64, shingle_hashes, written
 
 SHINGLE = 5
-#: 100 * intersection >= percent * union, unless a caller has another percentage.
-PERCENT = 85
+#: 100 * intersection >= percent * union, unless a caller has another percentage; and that of the registered query.
+PERCENT, QUERY_PERCENT = 80, 85
 REGISTERS = 256
 MANTISSA = 10
 #: The chance at most that a pair at the threshold shares no band.
@@ -390,13 +390,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "version")
 
 
-#: DuckDB SQL of the rows at PERCENT: every pair of documents that shares a shingle, and what they reach.
+#: DuckDB SQL of the rows at QUERY_PERCENT: every pair of documents that shares a shingle, and what they reach.
 SQL = rf"""
 WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {QUERY_PERCENT} * (x.n + y.n - c)),
 r AS (SELECT doc_id AS id, doc_id AS reached FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON r.reached = l.a),
 c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
 SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, t.doc_id = c.component_id AS kept FROM t LEFT JOIN n USING (doc_id) JOIN c ON c.id = t.doc_id

@@ -62,7 +62,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 85).drop("version")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.QUERY_PERCENT).drop("version")
 
 
 def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:

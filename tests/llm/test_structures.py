@@ -156,7 +156,7 @@ def test_word_ids_without_ranks():
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def brute_components(docs):
+def brute_components(docs, percent=85):
     sets = {}
     for i, t in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
@@ -175,7 +175,7 @@ def brute_components(docs):
                 shared[j, i] += 1
             holders[s].append(i)
     for (a, b), n in shared.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
             a, b = top(a), top(b)
             parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), top(i)) for i in sets}
@@ -211,7 +211,8 @@ def test_near_duplicate_families(spark, monkeypatch, block):
         docs.append((k, passage + " " + " ".join(rng.choice(words, int(rng.integers(5, 60))))))
         k += 1
     docs += [(k, "few words"), (k + 1, "few WORDS"), (k + 2, ""), (k + 3, None), (k + 4, " \t\n"), (k + 5, "one"), (k + 6, " ".join(words * 5))]
-    assert found_components(neardup.near_duplicates(spark.createDataFrame(docs, DOCS))) == brute_components(docs)
+    for percent in (80, 85):
+        assert found_components(neardup.near_duplicates(spark.createDataFrame(docs, DOCS), percent)) == brute_components(docs, percent)
 
 
 def test_near_duplicates_at_another_percentage(spark):
@@ -224,8 +225,8 @@ def test_near_duplicates_at_another_percentage(spark):
         base[30], base[90] = f"edited{k}", f"edited{k}"
         docs.append((2 * k + 1, " ".join(base)))
     df = spark.createDataFrame(docs, DOCS)
-    assert found_components(neardup.near_duplicates(df, 80)) == {d: (116, d - d % 2) for d, _ in docs}
-    assert found_components(neardup.near_duplicates(df)) == {d: (116, d) for d, _ in docs}
+    assert found_components(neardup.near_duplicates(df)) == {d: (116, d - d % 2) for d, _ in docs}
+    assert found_components(neardup.near_duplicates(df, 85)) == {d: (116, d) for d, _ in docs}
     for percent in (50, 80, 85, 95):
         width = neardup.band_width(percent)
         assert (1 - (percent / 100) ** width) ** (neardup.REGISTERS // width) <= neardup.MOST_MISSED
@@ -532,7 +533,7 @@ def test_pipeline_stages(spark):
     assert np.mean([d in kept["quality"] for d in good]) > 0.97
     assert np.mean([d in kept["quality"] for d, q in labels.items() if q == 0]) < 0.1
     assert set(kept["lines"]) == set(kept["quality"])
-    components = brute_components(kept["lines"].items())
+    components = brute_components(kept["lines"].items(), 80)
     assert set(kept["near_duplicates"]) == {c for _, c in components.values()}
     for d, text in kept["secrets"].items():
         before = kept["near_duplicates"][d]
