@@ -82,8 +82,27 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
+#: Bytes of a text that are hashed at once, about: the arrays take some forty times as much.
+BLOCK = 1 << 18
+
+
+def _cut(raw: bytes) -> Iterator[bytes]:
+    """``raw`` in blocks that end between words; a longer word is in one block."""
+    at = 0
+    while at < len(raw):
+        end = at + BLOCK
+        while end < len(raw) and not _BLANK[raw[end]]:
+            end += 1
+        yield raw[at:end]
+        at = end
+
+
 def word_hashes(raw: bytes) -> np.ndarray:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes, in order."""
+    return np.concatenate([np.empty(0, np.uint64), *map(_block_hashes, _cut(raw))])
+
+
+def _block_hashes(raw: bytes) -> np.ndarray:
     b = np.frombuffer(raw, np.uint8)
     inside = ~_BLANK[b]
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))

@@ -297,6 +297,16 @@ def test_word_hashes_are_words():
 # --- neighbours
 
 
+def test_long_texts_are_hashed_in_blocks(monkeypatch):
+    from kinlens.llm import common
+
+    raws = [b"some words and " * 50 + b"x" * 300 + b"  \n tail", b" " * 40, b"", b"w" * 99, "é ü\t".encode() * 60]
+    whole = [word_hashes(r).tolist() for r in raws]
+    for block in (1, 7, 64):
+        monkeypatch.setattr(common, "BLOCK", block)
+        assert [word_hashes(r).tolist() for r in raws] == whole
+
+
 def test_neighbours_recall(spark):
     folder = "/root/testdata/sf0.01"
     got = defaultdict(list)
