@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chroma, lines, neardup, neighbours, packing, quality, secrets
+from . import bpe, chat, chroma, embeddings, lines, middle, neardup, neighbours, packing, quality, repair, secrets
 from .common import table, written
 
 
@@ -69,9 +69,25 @@ def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations")).withColumn("mask", chat.mask_text(F.col("mask")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repaired(repair.damaged(turns), turns)
+
+
+def op12_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_chroma": op2_chroma, "op3_collision_counting": op3_collision_counting, "op4_token_matrices": op4_token_matrices, "op5_best_fit": op5_best_fit, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op8_near_duplicates": op8_near_duplicates, "op9_perspectives": op9_perspectives, "op10_bpe": op10_bpe}
+    return {"op1_quality": op1_quality, "op2_chroma": op2_chroma, "op3_collision_counting": op3_collision_counting, "op4_token_matrices": op4_token_matrices, "op5_best_fit": op5_best_fit, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op8_near_duplicates": op8_near_duplicates, "op9_perspectives": op9_perspectives, "op10_bpe": op10_bpe, "op11_conversation_repair": op11_conversation_repair, "op12_cross_polytope": op12_cross_polytope, "op13_fill_in_middle": op13_fill_in_middle}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": lines.SQL, "op8_near_duplicates": neardup.SQL, "op9_perspectives": chat.SQL}
+    return {"op6_line_dedup": lines.SQL, "op8_near_duplicates": neardup.SQL, "op9_perspectives": chat.SQL, "op12_cross_polytope": embeddings.SQL, "op13_fill_in_middle": middle.SQL}

@@ -7,10 +7,10 @@ import corpus_pipeline
 from kinlens.llm import registry
 
 CLASHES = {
-    "documents": "key id n component score quality_score label drop lines version grp bin offset regs ids rows base spans held_out kept_text line_counts twin band",
+    "documents": "key id n component score quality_score label drop lines version grp bin offset regs ids rows base spans held_out kept_text line_counts twin band digest form output",
     "labels": "text label source lang",
-    "embeddings": "block side rank vector rec_id query_id",
-    "conversations": "part which alone turns perspective said",
+    "embeddings": "block side rank vector rec_id query_id id w twin key keys of",
+    "conversations": "part which alone turns perspective said section at blank cut kind copy n _conv",
 }
 
 
@@ -35,7 +35,7 @@ def odd(spark, small, tmp_path_factory):
 def test_odd_rows(spark, odd, name):
     rows = registry.queries()[name](spark, odd).collect()
     n = spark.read.parquet(f"{odd}/documents.parquet").count()
-    if name in ("op1_quality", "op6_line_dedup", "op7_secrets", "op8_near_duplicates", "op10_bpe"):
+    if name in ("op1_quality", "op6_line_dedup", "op7_secrets", "op8_near_duplicates", "op10_bpe", "op13_fill_in_middle"):
         assert len(rows) == n  # a row for every row
     assert rows
 
