@@ -9,14 +9,15 @@ lies six standard deviations under the threshold are dropped; the rest are confi
 
 Equal sets are one class from the start, so copies never meet each other. Of a band key's classes each is
 first held against the smallest one; what is linked then counts as one component, and only classes of different
-components that share a key are compared further. In large keys those outside the largest component are first held against other
-members of it, for a few rounds, which settles most; what is left is compared on registers and where it lies, in blocks: those outside a
-key's largest component with all others, so a key of S classes with M outside costs about M * S / BLOCK rows, S at least. Those with a
-rival that the estimate leaves come again with their full sets.
+components that share a key are compared further. From then on a key is those of its classes that aren't linked with its first one, which stands for
+the others. In large keys those outside the largest component are held against further
+members, for a few rounds, which settles most, and what is settled doesn't enter the next; what is left is compared on registers and where it lies, in
+blocks: those outside a key's largest component with all others, so a key of S classes with M outside costs about M * S / BLOCK rows, S at least. Those
+with a rival that the estimate leaves come again with their full sets.
 
 Defined results: a null, empty or blank text has the empty set and is linked with nothing; a text of fewer than five
-words is one shingle; repeated rows of a document are one document in the components and each keep their row (an id stands for
-one text; of several, the smallest is what others are held against); null ids are kept, linked with nothing, and their component is
+words is one shingle; repeated rows of a document are one document in the components and each keep their row; of an id with several texts each is
+linked by its own set, and names what it reaches by the same id; null ids are kept, linked with nothing, and their component is
 null; an empty table gives no rows.
 """
 
@@ -182,22 +183,26 @@ def among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return near.select(*rows.columns).hint("merge").join(wanted, column, "left_semi")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, shingles): the full sets of the wanted ids (doc_id), sorted 64-bit hashes in a binary column."""
-    texts = among(docs.select("doc_id", "text"), "doc_id", wanted).groupBy("doc_id").agg(F.min("text").alias("text"))
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, shingles): the full sets of the wanted classes (id), sorted 64-bit hashes in a binary column, from the text that stands for each."""
+    places = written(among(classes.select("id", "doc_id", "version"), "id", wanted), "places")
+    texts = among(docs.select("doc_id", "text"), "doc_id", places.select("doc_id").distinct()).withColumn("version", text_version(F.col("text")))
+    texts = texts.hint("merge").join(places, ["doc_id", "version"]).groupBy("id").agg(F.min("text").alias("text"))
 
     def run(batches):
         for b in batches:
             for s in in_pieces(b["text"]):
-                yield {"id": b["doc_id"][s], "shingles": [shingle_hashes((t or "").encode()).astype("<u8").tobytes() for t in b["text"][s]]}
+                yield {"id": b["id"][s], "shingles": [shingle_hashes((t or "").encode()).astype("<u8").tobytes() for t in b["text"][s]]}
 
-    return written(map_batches(texts, run, "id long, shingles binary"), "sets")
+    out = written(map_batches(texts, run, "id long, shingles binary"), "sets")
+    discard(places)
+    return out
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold."""
     pairs = written(pairs, "pairs")
-    sets = sets_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    sets = sets_of(docs, classes, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     both = pairs.hint("merge").join(sets.toDF("a", "s_a"), "a").hint("merge").join(sets.toDF("b", "s_b"), "b")
 
     def run(batches):
@@ -223,48 +228,68 @@ def linked(own: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarra
 
 
 def linked_classes(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of the classes that are linked with another."""
+    """(id, component) of the classes (id, doc_id, version, n, regs) that are linked with another."""
     rows = band_keys(classes, percent)
-    counts = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1")
-    shared = written(rows.join(counts, "key").select("key", "band", "id", "n", "head"), "shared")
+    counts = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("first")).where("size > 1")
+    shared = written(rows.join(counts, "key").select("key", "band", "id", "n", "size", F.col("first.id").alias("head"), F.col("first.n").alias("n_head")), "shared")
 
-    heads = classes.select(F.col("id").alias("head"), F.col("n").alias("n_head"))
-    stars = shared.where("id <> head").select("id", "n", "head").distinct().join(heads, "head").where(_near_in_size(F.col("n"), F.col("n_head"), percent))
-    tried = written(stars.select(F.col("head").alias("a"), F.col("id").alias("b")), "tried")
-    links = confirmed(estimated(tried, classes, percent), docs, percent)
+    stars = shared.where("id <> head").where(_near_in_size(F.col("n"), F.col("n_head"), percent))
+    tried = written(stars.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "tried")
+    links = confirmed(estimated(tried, classes, percent), docs, classes, percent)
     found = components(links)
-
-    for k in range(STAR_ROUNDS + 1):
-        left = mixed_keys(shared, found)
+    left = mixed_keys(unsettled(shared, links), found)
+    for k in range(STAR_ROUNDS):
         large = left.where(F.col("n_top") + F.col("n_rest") > BLOCK)
-        if k == STAR_ROUNDS or large.isEmpty():
-            break
         head = large.where("is_top").groupBy("key").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(k))).alias("head"))
         rest = large.where("NOT is_top").hint("merge").join(head, "key").where(_near_in_size(F.col("n"), F.col("head.n"), percent))
         again = written(rest.select(F.least("head.id", "id").alias("a"), F.greatest("head.id", "id").alias("b")).distinct(), "tried")
-        new = confirmed(estimated(again, classes, percent), docs, percent)
+        if again.isEmpty():
+            discard(again)
+            break
+        new = confirmed(estimated(again, classes, percent), docs, classes, percent)
         discard(again)
         if new.isEmpty():
             break
-        discard(left)
-        links = written(links.union(new), "links")
-        found = components(links)
-    # what still shares a key across components
+        both = written(links.union(new), "links")
+        discard(links, new, found)
+        links, found = both, components(both)
+        before, left = left, mixed_keys(left.select("key", "band", "id", "n", "w"), found)
+        discard(before)
+    # what still shares a key across components: all classes of those keys
+    open_keys = written(left.select("key").distinct(), "keys")
+    discard(left)
+    left = mixed_keys(shared.hint("merge").join(open_keys, "key", "left_semi").select("key", "band", "id", "n", F.lit(1).cast("long").alias("w")), found)
     regs = written(among(classes.select("id", "regs"), "id", left.select("id").distinct()), "registers")
-    close = written(in_groups(in_blocks(left.hint("merge").join(regs, "id")), partial(close_members, percent=percent), PLACE), "close")
-    sets = sets_of(docs, close.select(F.col("id").alias("doc_id")).distinct())
+    close = written(in_groups(in_blocks(left.drop("w").hint("merge").join(regs, "id")), partial(close_members, percent=percent), PLACE), "close")
+    sets = sets_of(docs, classes, close.select("id").distinct())
     more = written(in_groups(close.hint("merge").join(regs.hint("merge").join(sets, "id"), "id"), partial(links_of, percent=percent), "a long, b long").distinct(), "links")
     if not more.isEmpty():
+        discard(found)
         found = components(links.union(more))
-    discard(shared, tried, links, left, regs, close, sets, more)
+    discard(shared, tried, links, open_keys, left, regs, close, sets, more)
     return found
 
 
-def mixed_keys(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, band, id, n, component, is_top, n_top, n_rest) of the keys that hold several components: whether a class is of its key's largest
-    component, and how many classes are and aren't."""
-    where = shared.hint("merge").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("head")
-    each = where.groupBy("key", "component").agg(F.count("*").alias("c"))
+def unsettled(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, band, id, n, w) of the keys that hold classes not linked with their first: those, each for itself, and the first for the rest (so many
+    are ``w``); of large keys some others, too, as further members to hold against."""
+    linked_ones = links.select(F.col("a").alias("head"), F.col("b").alias("id"))
+    rest = written(shared.where("id <> head").hint("merge").join(linked_ones, ["head", "id"], "left_anti"), "rest")
+    keys = rest.groupBy("key").agg(F.count("*").alias("apart"), *[F.min(c).alias(c) for c in ("band", "size", "head", "n_head")])
+    large = shared.where(F.col("size") > BLOCK)
+    others = large.groupBy("key", "band").agg(*[F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(STAR_ROUNDS)])
+    others = others.hint("merge").join(keys.select("key"), "key", "left_semi").select("key", "band", F.explode(F.array_distinct(F.array(*[f"m{k}" for k in range(STAR_ROUNDS)]))).alias("m"))
+    w = lambda c: c.cast("long").alias("w")
+    out = rest.select("key", "band", "id", "n", w(F.lit(1))).union(keys.select("key", "band", "head", "n_head", w(F.col("size") - F.col("apart"))))
+    return out.union(others.select("key", "band", "m.id", "m.n", w(F.lit(0))))
+
+
+def mixed_keys(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, band, id, n, w, component, is_top, n_top, n_rest) of the keys of ``rows`` (key, band, id, n, w) that hold several components: whether a
+    class is of its key's largest component, and how many classes, by weight, are and aren't. Components only merge, so no other key can
+    become mixed later."""
+    where = rows.hint("merge").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    each = where.groupBy("key", "component").agg(F.sum("w").alias("c"))
     tops = each.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("top")).where(F.col("size") > F.col("top.c"))
     tops = tops.select("key", F.col("top.component").alias("top"), F.col("top.c").alias("n_top"), (F.col("size") - F.col("top.c")).alias("n_rest"))
     return written(where.hint("merge").join(tops, "key").withColumn("is_top", F.col("component") == F.col("top")).drop("top"), "mixed")
@@ -380,10 +405,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     is :func:`text_version` of the row's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = written(sketches(docs), "sketches")
-    classes = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("twin", "n").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs"))
-    classes = written(classes, "classes")
+    classes = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("twin", "n").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.first("regs").alias("regs"))
+    classes = written(classes.select("twin", "n", "regs", "first.doc_id", "first.version", F.monotonically_increasing_id().alias("id")), "classes")
     found = linked_classes(classes, docs, percent)
-    named = classes.select("twin", "n", "id").join(found, "id", "left").select("twin", "n", F.coalesce("component", "id").alias("component"))
+    named = classes.select("twin", "n", "id", "doc_id").join(found, "id", "left")
+    # components are of classes; what they are called by is the smallest document of theirs
+    names = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("name"))
+    named = named.join(names, "component", "left").select("twin", "n", F.coalesce("name", "doc_id").alias("component"))
     # copies can be a third of all rows and share one class; the join deals such a class out in pieces
     out = sketch.drop("regs").hint("merge").join(named, ["twin", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))

@@ -241,6 +241,33 @@ def test_near_duplicate_edges(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_texts_of_one_id_keep_their_links(spark):
+    a, b = [f"a{k}" for k in range(100)], " ".join(f"b{k}" for k in range(100))
+    near = " ".join([*a[:-1], "other"])
+    df = spark.createDataFrame([(5, " ".join(a)), (7, near), (5, b), (9, b + " more")], DOCS)
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
+    assert got == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False)]
+
+
+def test_settled_keys_enter_no_round(spark, monkeypatch):
+    """Of a large group of near copies only what isn't linked with its keys' first class goes on, and each round gets part of the one before."""
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    entered, mixed = [], neardup.mixed_keys
+    monkeypatch.setattr(neardup, "mixed_keys", lambda rows, found: (entered.append(rows.count()), mixed(rows, found))[1])
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(4000)]
+    base, docs = list(rng.choice(words, 200)), []
+    for k in range(300):
+        text = list(base)
+        for _ in range(int(rng.integers(0, 3))):
+            text[int(rng.integers(0, 200))] = f"edit{k}"
+        docs.append((k, " ".join(text)))
+    df = spark.createDataFrame(docs, DOCS)
+    assert found_components(neardup.near_duplicates(df)) == brute_components(docs, 80)
+    classes = len({t for _, t in docs})
+    assert entered[0] < 0.2 * classes * (neardup.REGISTERS // neardup.band_width(80)) and entered[1:-1] == sorted(entered[1:-1], reverse=True)
+
+
 def test_null_ids_are_linked_with_nothing(spark):
     df = spark.createDataFrame([(5, "a b c"), (None, "a b c"), (7, "a b c"), (None, "d e")], DOCS)
     got = sorted(((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()), key=str)
