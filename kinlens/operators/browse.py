@@ -123,10 +123,10 @@ def under_roots(changes: DataFrame, roots: DataFrame) -> DataFrame:
     return heads.join(roots.select("display_path").distinct(), "display_path", "left_semi").select(*changes.columns, "display_path")
 
 
-def full_paths(photos: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id, path): roots are a registry of folders, joined as Catalyst sees fit."""
+def full_paths(photos: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
+    """(id, path, ...) with ``more`` columns of photos: roots are a registry of folders, joined as Catalyst sees fit."""
     r = roots.select(F.col("id").alias("root_id"), "display_path")
-    return photos.join(r, "root_id", "left").select("id", X.full_path(F.col("display_path"), F.col("relative_path")).alias("path"))
+    return photos.join(r, "root_id", "left").select("id", X.full_path(F.col("display_path"), F.col("relative_path")).alias("path"), *more)
 
 
 def existing(photos: DataFrame, listing: DataFrame) -> DataFrame:

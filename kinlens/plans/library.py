@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import shutil
 import time
 from collections.abc import Callable, Iterable
@@ -19,15 +18,12 @@ from ..operators import review as R
 from ..operators import similarity as S
 from ..operators.order import numbered
 from ..sources import inventory as N
+from ..sources.files import contents
 from ..sources.store import Store, with_metadata, with_root, with_values, without_photos
 from ..tables import written
 from .features import Models, face_rows, features, photo_columns
 
 
-#: Files of one read of a list of files.
-CHUNK = 100_000
-
-
 class Trash(Protocol):
     def trash(self, path: str) -> None: ...
 
@@ -84,44 +80,14 @@ class Library:
         self.store.commit(photo=photos, root=roots)
         return report
 
-    def contents(self, paths: DataFrame, roots: list[str]) -> DataFrame:
-        """(id, content) of those of ``paths`` (id, path) that lie under the folders ``roots``.
-
-        Names are listed first, without a look into the files. Where few files are wanted, they alone are opened, CHUNK of them in a read;
-        where a quarter of all are, the folders are read whole.
-        """
-        roots = [r for r in roots if not any(r != q and r.startswith(q.rstrip("/") + "/") for q in roots)]  # each file once
-        whole = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
-        names = written(whole.select("path").distinct(), "names")
-        wanted = paths.select("id", N.plain_path(F.col("path")).alias("plain"))
-        there = written(names.withColumn("plain", N.plain_path(F.col("path"))).join(wanted, "plain").select("id", "path"), "there")
-        if 4 * there.count() >= names.count():
-            files = whole.select("path", "content")
-        else:
-            files, chunk = None, []
-
-            def read(chunk: list[str]) -> DataFrame:
-                found = self.spark.read.format("binaryFile").load([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in chunk]).select("path", "content")
-                return found if files is None else files.unionByName(found)
-
-            for r in there.select("path").distinct().toLocalIterator():
-                chunk.append(r["path"])
-                if len(chunk) == CHUNK:
-                    files, chunk = read(chunk), []
-            if chunk or files is None:
-                files = read(chunk) if chunk else whole.select("path", "content").limit(0)
-        return there.join(files, "path").select("id", "content")
-
     def process(self, now: float | None = None) -> dict[str, int]:
         """Features of all photos that need them, each from its own root's file: faces, category, metadata, hash and state."""
         now = float(now or time.time())
         todo = B.needing_processing(self.photos)
-        paths = written(B.full_paths(todo, self.roots), "paths")
-        n = paths.count()
-        if not n:
+        paths = written(B.full_paths(todo, self.roots, "size"), "paths")
+        if paths.isEmpty():
             return {"processed": 0, "faces": 0, "failures": 0}
-        roots = [r["display_path"] for r in self.roots.join(todo.select(F.col("root_id").alias("id")), "id", "left_semi").select("display_path").collect()]
-        raw = written(features(paths.select("id").join(self.contents(paths, roots), "id", "left"), self.models), "features")
+        raw = written(features(contents(paths), self.models), "features")
         columns = written(photo_columns(raw, paths.select("id", X.last_component(F.col("path")).alias("name"))), "columns")
         state = columns.select("id", F.when(F.col("failed"), "failed").otherwise("embedded").alias("state"), F.when(~F.col("failed"), F.lit(now)).alias("indexed_at"))
         photos = with_metadata(self.photos, columns)
@@ -160,16 +126,19 @@ class Library:
         """Index a root anew whenever a stream of changes (path, ts) under it is quiet; start it again when roots come or go."""
         from ..streaming.watch import watch, with_roots
 
-        paths = {r["id"]: r["display_path"] for r in self.roots.select("id", "display_path").collect()}
-        return watch(with_roots(changed, self.roots), lambda root, _: self.index(paths[root]), checkpoint, with_paths=False, **options)
+        def rescan(root: int, _: list[str]) -> None:
+            known = self.roots.where(F.col("id") == root).first()
+            if known is not None:  # else removed meanwhile: it stays so
+                self.index(known["display_path"])
+
+        return watch(with_roots(changed, self.roots), rescan, checkpoint, with_paths=False, **options)
 
     def reclassify(self) -> int:
         """Categories of photos that have none and whose files are there; how many got one."""
-        paths = written(B.full_paths(B.uncategorized(self.photos), self.roots), "paths")
-        roots = [r["display_path"] for r in self.roots.select("display_path").collect()]
-        if not roots or paths.isEmpty():
+        paths = written(B.full_paths(B.uncategorized(self.photos), self.roots, "size"), "paths")
+        if paths.isEmpty():
             return 0
-        raw = features(self.contents(paths, roots), self.models)
+        raw = features(contents(paths), self.models)
         found = written(photo_columns(raw, paths.select("id", X.last_component(F.col("path")).alias("name"))).where("category IS NOT NULL").select("id", "category"), "categories")
         self.store.commit(photo=with_values(self.photos, found))
         return found.count()

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import re
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import text as X
 from ..tables import written
+from .files import PACKAGES, files_under
 
 IMAGES = ("jpg", "jpeg", "png", "gif", "heic", "heif", "tif", "tiff", "bmp", "webp", "ppm", "pgm", "dng", "cr2", "nef", "arw")
 MOVIES = ("mov", "mp4", "m4v", "avi", "mkv", "mpg", "mpeg", "webm", "3gp")
-PACKAGES = ("app", "bundle", "photoslibrary", "framework", "plugin", "pkg", "rtfd", "xcodeproj")
 LISTING = "relative_path string, volume_uuid string, file_id long, mtime double, size long, is_video boolean"
 
 
@@ -43,7 +40,8 @@ def visible(relative: Column) -> Column:
 
 
 def listed(spark: SparkSession, root: str) -> DataFrame:
-    """A listing of the media under a folder of any file system that Spark reads; inodes are not known there."""
+    """A listing by Spark's own file source, for file systems that only Spark reads; inodes are not known there, and names that begin with ``_`` are
+    hidden from it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
     rows = files.withColumn("relative_path", X.relative_path(plain_path(F.col("path")), re.sub(SCHEME, "/", root)))
     return _media(rows.select("relative_path", F.lit(None).cast("string").alias("volume_uuid"), F.lit(None).cast("long").alias("file_id"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size")))
@@ -54,51 +52,9 @@ def _media(rows: DataFrame) -> DataFrame:
     return rows.withColumn("kind", kind).where(F.col("kind").isNotNull() & visible(F.col("relative_path"))).select("relative_path", "volume_uuid", "file_id", "mtime", "size", (F.col("kind") == "video").alias("is_video"))
 
 
-class InodeSource(DataSource):
-    """``spark.read.format("inodes").load(folder)``: relative_path, volume_uuid, file_id (inode), mtime, size of regular files on a file system that executors mount."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "inodes"
-
-    def schema(self) -> str:
-        return "relative_path string, volume_uuid string, file_id long, mtime double, size long"
-
-    def reader(self, schema) -> DataSourceReader:
-        return InodeReader(self.options["path"])
-
-
-class _Folder(InputPartition):
-    def __init__(self, folder: str, deep: bool) -> None:
-        self.folder, self.deep = folder, deep
-
-
-class InodeReader(DataSourceReader):
-    """One partition for each folder at the top, and one for the files there."""
-
-    def __init__(self, root: str) -> None:
-        self.root = root.rstrip("/")
-
-    def partitions(self) -> list[InputPartition]:
-        if not os.path.isdir(self.root):
-            raise NotADirectoryError(self.root)
-        with os.scandir(self.root) as entries:
-            folders = sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and not e.name.startswith("."))
-        return [_Folder(self.root, False), *(_Folder(f, True) for f in folders)]
-
-    def read(self, partition: _Folder) -> Iterator[tuple]:
-        for folder, folders, names in os.walk(partition.folder):
-            folders[:] = sorted(f for f in folders if not f.startswith(".")) if partition.deep else []
-            for name in sorted(names):
-                path = os.path.join(folder, name)
-                s = os.lstat(path)
-                if not name.startswith(".") and os.path.isfile(path) and not os.path.islink(path):
-                    yield path[len(self.root) + 1 :], str(s.st_dev), s.st_ino, s.st_mtime, s.st_size
-
-
 def listed_with_inodes(spark: SparkSession, root: str) -> DataFrame:
-    spark.dataSource.register(InodeSource)
-    return _media(spark.read.format("inodes").load(root))
+    """A listing of the media under a folder that executors mount, with inodes, or under one of another file system by its scheme."""
+    return _media(files_under(spark, root))
 
 
 def scan_diff(photos: DataFrame, listing: DataFrame, root_id: int, generation: int) -> DataFrame:

@@ -4,10 +4,12 @@ import hashlib
 import io
 import os
 import struct
+import subprocess
 import sys
 import time
 import zlib
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -23,6 +25,7 @@ from kinlens.plans.features import Found, Models, NoDetector, PixelEmbedder, cho
 from kinlens.plans.library import FolderTrash, Library
 from kinlens.sources import images as D
 from kinlens.sources import inventory as N
+from kinlens.sources.files import contents, files_under
 from kinlens.sources.store import Store, with_metadata, with_root
 from kinlens.streaming.watch import CHANGES, changes, quiet_sessions, watch, with_roots
 from kinlens.tables import empty, schema
@@ -456,19 +459,82 @@ def test_jpeg_pixels(spark, progressive):
     assert D.decode(content[: len(content) // 2]) is None
 
 
-def test_pending_files_alone_are_read(spark, tmp_path):
-    """One new photo in a folder of many: one file's content is read; where most are wanted, the folder is read."""
+ODD_NAMES = ("_DSC0001.pgm", "_raw/z.pgm", "Screenshot 12:30:01.pgm", "sub [1]/new {x}*.pgm", "in/_IMG.pgm", "é \U0001f600.pgm", "a#b%20c?.pgm")
+
+
+def test_pending_files_are_read_by_their_names(spark, tmp_path):
+    """Names that Spark's file sources hide or can't spell; a file that can't be read has no content, and the others theirs."""
     folder = tmp_path / "photos"
-    (folder / "sub [1]").mkdir(parents=True)
-    for k in range(30):
-        (folder / f"p{k}.pgm").write_bytes(D.to_pgm(np.full((9, 9), k)))
-    (folder / "sub [1]" / "new {x}*.jpg").write_bytes(jpeg(spark, scene(16, 24)))
+    tree(folder, {n: D.to_pgm(np.full((9, 9), k)) for k, n in enumerate(ODD_NAMES)} | {"wrong.pgm": b"P5 no", "big.pgm": b"P5 2 2 255\n" + b"x" * 5000})
+    for root in (str(folder), f"file://{folder}", f"file:{folder}"):
+        found = {r["relative_path"]: r["size"] for r in N.listed_with_inodes(spark, root).collect()}
+        assert set(found) == {*ODD_NAMES, "wrong.pgm", "big.pgm"} and found["big.pgm"] == 5011
+        paths = [(k, f"{root}/{n}", 94) for k, n in enumerate([*ODD_NAMES, "gone.pgm"])] + [(99, None, None), (100, f"{root}/big.pgm", 5011), (101, root, 0)]
+        got = {r["id"]: r["content"] for r in contents(spark.createDataFrame(paths, "id long, path string, size long"), longest=5000).collect()}
+        assert got == {k: D.to_pgm(np.full((9, 9), k)) for k in range(len(ODD_NAMES))} | {len(ODD_NAMES): None, 99: None, 100: None, 101: None}
+    assert contents(spark.createDataFrame([], "id long, path string, size long")).collect() == []
     library = Library(spark, str(tmp_path / "db"))
-    library.add_root(str(folder))
-    paths = spark.createDataFrame([(7, f"{folder}/sub [1]/new {{x}}*.jpg"), (8, f"{folder}/gone.jpg")], "id long, path string")
-    some = library.contents(paths, [str(folder), f"{folder}/sub [1]"])
-    assert sum("photos/" in f for f in some.inputFiles()) == 1 and [r["id"] for r in some.collect()] == [7]
-    every = spark.createDataFrame([(k, f"{folder}/p{k}.pgm") for k in range(30)], "id long, path string")
-    assert library.contents(every, [str(folder)]).count() == 30
     library.index(str(folder))
-    assert {r["state"] for r in library.photos.collect()} == {"embedded"} and library.photos.where("phash IS NULL").isEmpty()
+    states = {r["relative_path"]: r["state"] for r in library.photos.collect()}
+    assert states == {n: "embedded" for n in (*ODD_NAMES, "big.pgm")} | {"wrong.pgm": "failed"}
+    assert library.index(str(folder))["scan"]["unchanged"] == len(states)
+
+
+def test_folders_are_listed_in_rounds(spark, tmp_path):
+    """A folder of many names is looked up in many tasks, deep folders come in rounds, and links, packages and hidden files stay out."""
+    folder = tmp_path / "photos"
+    tree(folder, {f"flat/{k}.jpg": b"x" * (k % 7) for k in range(300)} | {"a/b/c/d/e.jpg": b"1", "x.app/e.jpg": b"", ".h/e.jpg": b"", "a/.h.jpg": b"", "app/e.jpg": b""})
+    (folder / "a" / "loop").symlink_to(folder)
+    (folder / "link.jpg").symlink_to(folder / "flat" / "1.jpg")
+    (folder / "empty").mkdir()
+    found = files_under(spark, str(folder) + "/")
+    rows = {r["relative_path"]: r for r in found.collect()}
+    assert set(rows) == {*(f"flat/{k}.jpg" for k in range(300)), "a/b/c/d/e.jpg", "app/e.jpg"}
+    s = os.stat(folder / "flat" / "5.jpg")
+    r = rows["flat/5.jpg"]
+    assert (r["size"], r["file_id"], r["volume_uuid"], r["mtime"]) == (5, s.st_ino, str(s.st_dev), s.st_mtime)
+    assert len(found.inputFiles()) > 1
+    assert files_under(spark, str(folder / "empty")).collect() == []
+    with pytest.raises(Exception, match="NotADirectoryError"):
+        files_under(spark, str(tmp_path / "none"))
+
+
+def test_a_removed_root_is_not_watched_back(spark, tmp_path):
+    folder, drop = tmp_path / "photos", tmp_path / "changes"
+    tree(folder, {"a.pgm": D.to_pgm(np.full((9, 9), 1))})
+    drop.mkdir()
+    library = Library(spark, str(tmp_path / "db"))
+    library.index(str(folder))
+    (drop / "1.json").write_text("\n".join(f'{{"path": "{folder}/{n}", "ts": "2024-01-01T0{h}:00:00Z"}}' for h, n in ((0, "a.pgm"), (1, "late"))))
+    (drop / "2.json").write_text(f'{{"path": "{folder}/later", "ts": "2024-01-01T03:00:00Z"}}')
+    changed = changes(spark, str(drop))
+    roots = library.roots
+    library.remove_root(roots.first()["id"])
+    library_roots, Library.roots = Library.roots, property(lambda self: roots)
+    try:
+        started = library.watch(changed, str(tmp_path / "cp"), availableNow=True)
+    finally:
+        Library.roots = library_roots
+    started.awaitTermination(120)
+    assert started.exception() is None and library.roots.isEmpty() and library.photos.isEmpty()
+
+
+def test_a_program_without_the_repository_on_its_path(tmp_path):
+    """Workers get the package from the driver: nothing on PYTHONPATH, another working folder."""
+    folder = tmp_path / "photos"
+    tree(folder, {"_DSC1.pgm": D.to_pgm(np.full((9, 9), 7))})
+    root = str(Path(__file__).resolve().parents[1])
+    program = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from kinlens.plans.library import Library
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.executor.memory", "1g").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+library = Library(spark, {str(tmp_path / "db")!r})
+library.index({str(folder)!r})
+print("STATES", [r["state"] for r in library.photos.collect()])
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "STATES ['embedded']" in done.stdout, done.stderr[-3000:]
