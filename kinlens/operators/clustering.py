@@ -2,7 +2,7 @@
 
 Average linkage is exact though distributed: an average under the threshold needs one pair under it, so no merge leaves a
 connected component of the graph of such pairs and of must-links. Components come from block products and label propagation;
-each is clustered by itself, in the order of face ids. Centroid merges go by components of close centroids, too.
+each is clustered by itself, in the order of face ids: in one task, or in rounds over blocks where it is large. Centroid merges go by components of close centroids, too.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import centroids
 from ..tables import ship, written
 from .browse import majority
 from .graph import components
+from .linkage import average_linkage_by_rounds
 from .order import numbered
 from .similarity import cosine_pairs, nearest_two
 
@@ -25,6 +26,8 @@ from .similarity import cosine_pairs, nearest_two
 THRESHOLD, PET_THRESHOLD = 0.4, 0.5
 MERGE_RATIO, MARGIN_RATIO = 0.7, 0.25
 FULL_LIMIT = 2000
+#: Faces of a component that one task clusters, with a matrix of their distances; larger ones go by rounds.
+LARGE = 2048
 KEYS = ("kind", "model")
 
 
@@ -190,8 +193,9 @@ def threshold_of(kind: Column, config: Config, ratio: float = 1.0) -> Column:
     return F.when(kind == "human", config.threshold * ratio).otherwise(config.pet_threshold * ratio)
 
 
-def cluster(faces: DataFrame, constraints: DataFrame | None, config: Config) -> DataFrame:
-    """(id, kind, model, dim, grp) of usable faces: ``grp`` is the smallest face id of its average-linkage group."""
+def cluster(faces: DataFrame, constraints: DataFrame | None, config: Config, large: int = LARGE) -> DataFrame:
+    """(id, kind, model, dim, grp) of usable faces: ``grp`` is the smallest face id of its average-linkage group. Components of more than
+    ``large`` faces are never in one task."""
     ship(faces.sparkSession)
     base = written(faces.select("id", *KEYS, "dim", "vec"), "faces")
     most = max(config.threshold, config.pet_threshold)
@@ -205,8 +209,13 @@ def cluster(faces: DataFrame, constraints: DataFrame | None, config: Config) ->
         edges = edges.union(own.where("link = 'mustLink'").select("face_a", "face_b"))
     found = components(edges)
     alone = base.join(found, "id", "left_anti").select("id", *KEYS, "dim", F.col("id").alias("grp"))
-    members = base.join(found, "id")
-    rows = members.select("component", "id", *KEYS, "dim", "vec")
+    rows = base.join(found, "id").select("component", "id", *KEYS, "dim", "vec")
+    giants = written(found.groupBy("component").count().where(F.col("count") > large).select("component"), "giants")
+    if not giants.isEmpty():
+        many = written(rows.join(giants, "component", "left_semi"), "giant-faces")
+        rows, found = rows.join(giants, "component", "left_anti"), found.join(giants, "component", "left_anti")
+        grouped = average_linkage_by_rounds(many, None if constraints is None else own, threshold_of(F.col("kind"), config))
+        alone = alone.unionByName(many.join(grouped, "id").select("id", *KEYS, "dim", "grp"))
     schema = "id long, kind string, model string, dim int, grp long"
 
     def label(pdf: pd.DataFrame, links: pd.DataFrame | None) -> pd.DataFrame:
@@ -310,18 +319,18 @@ def identities(faces: DataFrame, groups: DataFrame, persons: DataFrame, config:
     votes = groups.join(faces.select("id", "person_id"), "id")
     top = majority(votes, "grp", "person_id").join(persons.select(F.col("id").alias("person_id")), "person_id", "left_semi")
     claim = kept.join(top.select("grp", F.col("person_id").alias("wanted")), "grp", "left")
-    first = Window.partitionBy("wanted").orderBy(F.col("n").desc(), "grp")
-    claim = claim.withColumn("reused", F.col("wanted").isNotNull() & (F.row_number().over(first) == 1))
-    claim = written(claim, "claims")
+    first = claim.where("wanted IS NOT NULL").groupBy("wanted").agg(F.min(F.struct((-F.col("n")).alias("fewer"), "grp")).alias("first"))
+    claim = claim.join(first.select(F.col("first.grp").alias("grp"), F.lit(True).alias("reused")), "grp", "left")
+    claim = written(claim.withColumn("reused", F.coalesce("reused", F.lit(False))), "claims")
     new = numbered(claim.where(~F.col("reused")), [F.col("n").desc(), F.col("grp")], next_id, "person_id")
     named = claim.where("reused").select("grp", F.col("wanted").alias("person_id"), "reused").unionByName(new.select("grp", "person_id", "reused"))
     return groups.join(named, "grp", "left").select("id", "person_id", "grp", F.coalesce("reused", F.lit(False)).alias("reused"), "kind")
 
 
-def recluster(faces: DataFrame, constraints: DataFrame, persons: DataFrame, config: Config = Config(), next_id: int = 1) -> DataFrame:
+def recluster(faces: DataFrame, constraints: DataFrame, persons: DataFrame, config: Config = Config(), next_id: int = 1, large: int = LARGE) -> DataFrame:
     """The full pass: (id, person_id, grp, reused, kind) of all usable faces; a null person for dropped groups."""
     base = written(usable(faces), "usable")
-    groups = centroid_merged(base, cluster(base, constraints, config), constraints, config)
+    groups = centroid_merged(base, cluster(base, constraints, config, large), constraints, config)
     return identities(base, groups, persons, config, next_id)
 
 

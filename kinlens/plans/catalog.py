@@ -508,6 +508,14 @@ def _(spark, sf):
     return found.select("id", "grp", F.when(F.col("reused"), F.col("person_id")).alias("kept"))
 
 
+@query("linkage_by_rounds", "SELECT id, CASE WHEN id IN (1, 2) THEN 1 ELSE min(id) FILTER (WHERE id NOT IN (1, 2)) OVER (PARTITION BY ident) END AS grp FROM v_face_vec", "v_face_vec")
+def _(spark, sf):
+    """As recluster_constrained, with every component of more than two faces taken for a large one."""
+    rows, persons = library(spark, sf)
+    link = spark.createDataFrame([(1, 1, 2, "mustLink", 0.0)], "id long, face_a long, face_b long, kind string, created_at double")
+    return C.cluster(C.usable(rows), link, C.Config(), large=2).select("id", "grp")
+
+
 @query("recluster_constrained", "SELECT id, CASE WHEN id IN (1, 2) THEN 1 ELSE min(id) FILTER (WHERE id NOT IN (1, 2)) OVER (PARTITION BY ident) END AS grp FROM v_face_vec", "v_face_vec")
 def _(spark, sf):
     """A must-link of the first faces of two identities: the pair is too far from either on average, so it is a group of its own."""

@@ -5,7 +5,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from kinlens.operators import clustering as C
+from kinlens.operators import linkage as L
 from kinlens.operators import review as R
 from kinlens.operators import similarity as S
 from kinlens.operators.graph import components
@@ -133,6 +136,58 @@ def test_distributed_clustering_is_local(spark):
     assert got == expected
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_linkage_by_rounds_is_linkage(spark, seed):
+    """Components that go by rounds, with must-links, cannot-links and conflicts of both, are grouped as one matrix groups them."""
+    rng = np.random.default_rng(seed)
+    rows, links = [], []
+    for space, kind in enumerate(("human", "pet")):
+        centres = rng.normal(size=(4, 6))
+        v = centres[rng.integers(0, 4, 40)] + rng.normal(size=(40, 6)) * 0.75
+        rows += [(100 * space + k, 1, kind, "m", 6, [float(x) for x in v[k]], None) for k in range(40)]
+        for kind_, n in (("mustLink", 5), ("cannotLink", 8)):
+            links += [(100 * space + int(a), 100 * space + int(b), kind_) for a, b in rng.integers(0, 40, (n, 2)) if a != b]
+        links += [(100 * space + a, 100 * space + b, k) for a, b, k in ((30, 31, "mustLink"), (31, 32, "mustLink"), (30, 32, "cannotLink"), (32, 33, "mustLink"))]
+    faces = spark.createDataFrame(rows, "id long, photo_id long, kind string, model string, dim int, vec array<double>, person_id long")
+    constraints = spark.createDataFrame([(k, a, b, kind, 0.0) for k, (a, b, kind) in enumerate(links)], schema("face_constraint"))
+    for given_ in (None, constraints):
+        whole = {r["id"]: r["grp"] for r in C.cluster(faces, given_, C.Config()).collect()}
+        rounds = {r["id"]: r["grp"] for r in C.cluster(faces, given_, C.Config(), large=3).collect()}
+        assert rounds == whole and 2 < len(set(whole.values())) < 60
+
+
+@given(st.lists(st.tuples(st.integers(0, 7), st.integers(0, 7)), max_size=8), st.lists(st.tuples(st.integers(0, 7), st.integers(0, 7)), max_size=5))
+@settings(deadline=None, max_examples=200)
+def test_must_links_hold_as_in_one_matrix(must, cannot):
+    must, cannot = ([p for p in x if p[0] != p[1]] for x in (must, cannot))
+    far = np.eye(8)
+    whole = C.average_linkage(far, 0.1, must, cannot)
+    place = list(range(8))
+    for a, b in L.held_together(must, cannot):
+        place = [place[a] if x == place[b] else x for x in place]
+    assert [[place[i] == place[j] for j in range(8)] for i in range(8)] == [[bool(whole[i] == whole[j]) for j in range(8)] for i in range(8)]
+
+
+def test_a_chain_by_rounds_holds_blocks(spark, monkeypatch):
+    """A chained component: tasks hold a block of it, whatever its size, and the groups are those of one matrix."""
+    n = 240
+    angle = np.cumsum(np.random.default_rng(4).uniform(0.01, 0.09, n))
+    v = np.stack([np.cos(angle), np.sin(angle)], 1)
+    members = spark.createDataFrame([(0, k, "human", [float(x) for x in v[k]]) for k in range(n)], "component long, id long, kind string, vec array<double>")
+    whole = C.average_linkage(v, 0.4)
+    firsts = {label: int(np.flatnonzero(whole == label)[0]) for label in set(whole.tolist())}
+    got = {r["id"]: r["grp"] for r in L.average_linkage_by_rounds(members, None, F.lit(0.4), block_rows=32).collect()}
+    assert got == {k: firsts[int(whole[k])] for k in range(n)} and len(firsts) > 1
+
+
+def test_the_largest_group_claims_a_person(spark):
+    groups = spark.createDataFrame([(k, "human", 10 if k < 13 else 20 if k < 15 else 30) for k in range(10, 18)], "id long, kind string, grp long")
+    faces = spark.createDataFrame([(k, 7 if k < 17 else None) for k in range(10, 18)], "id long, person_id long")
+    persons = spark.createDataFrame([(7,)], "id long")
+    got = {r["grp"]: (r["person_id"], r["reused"]) for r in C.identities(faces, groups, persons, C.Config(), 100).collect()}
+    assert got == {10: (7, True), 20: (101, False), 30: (100, False)}
+
+
 def test_incremental(spark):
     rows = [(1, unit(0), None, "m", 5), (2, unit(0, 0.01), None, "m", None), (3, unit(1), None, "m", None), (4, unit(1, 0.01), None, "m", None), (5, unit(3), None, "m", None)]
     got = grouped(C.assign_new(faces(spark, rows), people(spark, [(5, None, unit(0), 1, None)]), next_id=20))
