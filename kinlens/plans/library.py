@@ -19,7 +19,7 @@ from ..operators import similarity as S
 from ..operators.order import numbered
 from ..sources import inventory as N
 from ..sources.files import contents
-from ..sources.store import Store, with_metadata, with_root, with_values, without_photos
+from ..sources.store import Store, dead_constraints, with_metadata, with_root, with_values, without_photos
 from ..tables import written
 from .features import Models, face_rows, features, photo_columns
 
@@ -90,17 +90,15 @@ class Library:
         raw = written(features(contents(paths), self.models), "features")
         columns = written(photo_columns(raw, paths.select("id", X.last_component(F.col("path")).alias("name"))), "columns")
         state = columns.select("id", F.when(F.col("failed"), "failed").otherwise("embedded").alias("state"), F.when(~F.col("failed"), F.lit(now)).alias("indexed_at"))
-        photos = with_metadata(self.photos, columns)
+        photos = self.photos.join(columns.select("id"), "id", "left_semi").select(*self.photos.columns)
+        photos = with_metadata(photos, columns)
         photos = with_values(photos, columns.where(~F.col("failed")).select("id", "category", "pet_kind", "phash"))
         photos = with_values(photos, state)
         made = numbered(face_rows(raw, now), [F.col("photo_id"), F.col("nth")], self.store.next_id("face"), "id").drop("nth")
         gone = self.faces.join(paths.select(F.col("id").alias("photo_id")), "photo_id", "left_semi").select("id")
-        kept = self.faces.join(gone, "id", "left_anti")
-        dead = lambda c: gone.select(F.col("id").alias(c))
-        constraints = self.constraints.join(dead("face_a"), "face_a", "left_anti").join(dead("face_b"), "face_b", "left_anti")
-        faces = kept.select(*self.faces.columns).unionByName(made.select(*self.faces.columns))
+        gone = written(gone, "gone")
         report = columns.agg(F.count_if(~F.col("failed")).alias("processed"), F.count_if("failed").alias("failures")).first().asDict()
-        self.store.commit(photo=photos, face=faces, face_constraint=constraints)
+        self.store.commit({"photo": (photos, None), "face": (made.select(*self.faces.columns), gone), "face_constraint": (None, dead_constraints(self.constraints, gone))})
         return report | {"faces": raw.select(F.sum(F.size("found"))).first()[0] or 0}
 
     def index(self, path: str, listing: DataFrame | None = None, now: float | None = None, progress: Callable[[str, dict], None] = lambda phase, counts: None) -> dict:
@@ -140,7 +138,7 @@ class Library:
             return 0
         raw = features(contents(paths), self.models)
         found = written(photo_columns(raw, paths.select("id", X.last_component(F.col("path")).alias("name"))).where("category IS NOT NULL").select("id", "category"), "categories")
-        self.store.commit(photo=with_values(self.photos, found))
+        self.store.commit({"photo": (with_values(self.photos.join(found.select("id"), "id", "left_semi").select(*self.photos.columns), found), None)})
         return found.count()
 
     # grouping
@@ -206,18 +204,18 @@ class Library:
         return n
 
     def set_cover(self, person_id: int, photo_id: int, now: float | None = None) -> None:
-        self.store.commit(person=R.set_cover(self.persons, self.faces, person_id, photo_id, float(now or time.time())))
+        own = self.persons.where(F.col("id") == person_id)
+        self.store.commit({"person": (R.set_cover(own, self.faces, person_id, photo_id, float(now or time.time())), None)})
 
     def learned_corrections(self) -> int:
         return self.constraints.count()
 
     def name(self, person_id: int, name: str | None, now: float | None = None) -> None:
-        own = F.col("id") == person_id
-        new = X.cleaned(F.lit(name))
-        self.store.commit(person=self.persons.withColumns({"display_name": F.when(own, new).otherwise(F.col("display_name")), "updated_at": F.when(own, F.lit(float(now or time.time()))).otherwise(F.col("updated_at"))}))
+        own = self.persons.where(F.col("id") == person_id)
+        self.store.commit({"person": (own.withColumns({"display_name": X.cleaned(F.lit(name)), "updated_at": F.lit(float(now or time.time()))}), None)})
 
     def set_favorite(self, photo_ids: Iterable[int], on: bool = True) -> None:
-        self.store.commit(photo=self.photos.withColumn("favorite", F.when(F.col("id").isin(list(photo_ids)), F.lit(on)).otherwise(F.col("favorite"))))
+        self.store.commit({"photo": (self.photos.where(F.col("id").isin(list(photo_ids))).withColumn("favorite", F.lit(on)), None)})
 
     # browsing
 
@@ -253,9 +251,12 @@ class Library:
         """Forget a root, its photos and their faces; counts are renewed and, only if asked for, centroids."""
         gone = self.photos.where(F.col("root_id") == root_id).select("id")
         n = gone.count()
-        left = {k: written(v, k) for k, v in without_photos(self.photos, self.faces, self.constraints, gone).items()}
-        touched = left["face"].select("person_id").where("person_id IS NOT NULL").distinct() if refresh_centroids else None
-        self.store.commit(**left, root=self.roots.where(F.col("id") != root_id), person=R.refreshed(self.persons, left["face"], float(now or time.time()), touched))
+        faces = without_photos(self.photos, self.faces, self.constraints, gone)["face"]
+        dead = written(self.faces.join(gone.select(F.col("id").alias("photo_id")), "photo_id", "left_semi").select("id"), "dead")
+        touched = faces.select("person_id").where("person_id IS NOT NULL").distinct() if refresh_centroids else None
+        people = R.refreshed(self.persons, faces, float(now or time.time()), touched)
+        removed = {"photo": (None, gone), "face": (None, dead), "face_constraint": (None, dead_constraints(self.constraints, dead))}
+        self.store.commit(removed, root=self.roots.where(F.col("id") != root_id), person=people)
         return n
 
     def reset(self) -> None:
@@ -284,9 +285,10 @@ class Library:
         gone = self.spark.createDataFrame(done, "id long")
         touched = self.faces.join(gone.select(F.col("id").alias("photo_id")), "photo_id", "left_semi").where("person_id IS NOT NULL").select("person_id").distinct()
         before = self.persons.count()
-        left = {k: written(v, k) for k, v in without_photos(self.photos, self.faces, self.constraints, gone).items()}
-        persons = written(R.refreshed(self.persons, left["face"], float(now or time.time()), touched), "people")
-        self.store.commit(**left, person=persons)
+        faces = without_photos(self.photos, self.faces, self.constraints, gone)["face"]
+        dead = written(self.faces.join(gone.select(F.col("id").alias("photo_id")), "photo_id", "left_semi").select("id"), "dead")
+        persons = written(R.refreshed(self.persons, faces, float(now or time.time()), touched), "people")
+        self.store.commit({"photo": (None, gone), "face": (None, dead), "face_constraint": (None, dead_constraints(self.constraints, dead))}, person=persons)
         return report | {"removed_people": before - persons.count()}
 
     def export_photos(self, ids: Iterable[int], folder: str, copy: Callable[[str, str], None] = shutil.copy2) -> dict[str, int]:

@@ -224,6 +224,53 @@ def test_store_ids_are_not_given_again(spark, tmp_path):
     assert s.table("person").schema == schema("person")
 
 
+def test_changes_are_read_over_the_base(spark, tmp_path, monkeypatch):
+    """Changes of rows, new rows and removals against a dictionary, before and after levels become one and a new base; old snapshots stay readable."""
+    from kinlens.sources import store as module
+
+    monkeypatch.setattr(module, "MOST_LEVELS", 3)
+    s = Store(spark, str(tmp_path / "db"))
+    rows = lambda of: spark.createDataFrame([(k, 1, 2, v, 0.0) for k, v in of.items()], schema("face_constraint"))
+    held = lambda df: {r["id"]: r["kind"] for r in df.collect()}
+    now = {k: "old" for k in range(1, 61)}
+    s.commit(face_constraint=rows(now))
+    old, before, rng, shapes = s.table("face_constraint"), dict(now), np.random.default_rng(2), []
+    for step in range(9):
+        gone = [int(x) for x in rng.choice(sorted(now), 2, replace=False)] if step % 3 else []
+        new = {int(k): f"s{step}" for k in rng.choice(sorted(now), 2 if step < 6 else 30, replace=False)} | {100 + step: "new"}
+        s.commit({"face_constraint": (rows(new), spark.createDataFrame([(k,) for k in gone if k not in new], "id long"))})
+        for k in gone:
+            now.pop(k, None)
+        now |= {k: v for k, v in new.items() if k not in gone or k in new}
+        entry = s.manifest["tables"]["face_constraint"]
+        shapes.append((len(entry["levels"]), entry["n"]))
+        assert held(s.table("face_constraint")) == now and held(Store(spark, str(tmp_path / "db")).table("face_constraint")) == now
+    assert {n for _, n in shapes} > {60} and max(n for n, _ in shapes) == 3 and shapes[3] == (1, 60)  # one level out of four, later a new base
+    assert held(old) == before and s.next_id("face_constraint") == 109
+    s.vacuum()
+    assert held(s.table("face_constraint")) == now
+    s.commit({"person": (spark.createDataFrame([(5, None, None, False, None, 0, None, None, 0.0, 0.0)], schema("person")), None)})
+    assert [r["id"] for r in s.table("person").collect()] == [5] and s.next_id("person") == 6
+
+
+def test_a_correction_writes_its_rows_alone(spark, tmp_path):
+    library = Library(spark, str(tmp_path / "db"))
+    photos = [(k, 1, f"{k}.jpg", None, None, 0.0, 1, None, None, None, None, None, "embedded", 1, None, None, None, None, False) for k in range(1, 4001)]
+    people = [(k, f"P{k}", None, False, None, 1, None, None, 0.0, 0.0) for k in range(1, 301)]
+    library.store.commit(photo=spark.createDataFrame(photos, schema("photo")).coalesce(1), person=spark.createDataFrame(people, schema("person")))
+    def size(table):
+        return {d: sum(f.stat().st_size for f in d.glob("*.parquet")) for d in (tmp_path / "db" / table).iterdir()}
+    base = size("photo"), size("person")
+    library.set_favorite([7, 9])
+    library.name(4, " Ann ")
+    library.set_favorite([9], False)
+    entry = library.store.manifest["tables"]
+    assert [x["n"] for x in entry["photo"]["levels"]] == [2, 1] and [x["n"] for x in entry["person"]["levels"]] == [1]
+    assert set(base[0]) < set(size("photo")) and set(base[1]) < set(size("person"))
+    assert [r["id"] for r in library.photos.where("favorite").collect()] == [7] and library.photos.count() == 4000
+    assert library.persons.where("id = 4").first()["display_name"] == "Ann" and library.persons.count() == 300
+
+
 def test_store_recovers(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"))
     s.commit(photo=photo_rows(spark, [(1, "a", 1, "embedded")]))
