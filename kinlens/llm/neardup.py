@@ -288,11 +288,13 @@ def mixed_keys(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(key, band, id, n, w, component, is_top, n_top, n_rest) of the keys of ``rows`` (key, band, id, n, w) that hold several components: whether a
     class is of its key's largest component, and how many classes, by weight, are and aren't. Components only merge, so no other key can
     become mixed later."""
-    where = rows.hint("merge").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    where = written(rows.hint("merge").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")  # read twice
     each = where.groupBy("key", "component").agg(F.sum("w").alias("c"))
     tops = each.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("top")).where(F.col("size") > F.col("top.c"))
     tops = tops.select("key", F.col("top.component").alias("top"), F.col("top.c").alias("n_top"), (F.col("size") - F.col("top.c")).alias("n_rest"))
-    return written(where.hint("merge").join(tops, "key").withColumn("is_top", F.col("component") == F.col("top")).drop("top"), "mixed")
+    out = written(where.hint("merge").join(tops, "key").withColumn("is_top", F.col("component") == F.col("top")).drop("top"), "mixed")
+    discard(where)
+    return out
 
 
 #: A class in a group: a key's pair of blocks, and which of the two it is from.
