@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import threading
 import time
 from collections.abc import Callable, Iterable
 from typing import Protocol
@@ -20,7 +21,7 @@ from ..operators.order import numbered
 from ..sources import inventory as N
 from ..sources.files import contents
 from ..sources.store import Store, dead_constraints, with_metadata, with_root, with_values, without_photos
-from ..tables import written
+from ..tables import schema, written
 from .features import Models, face_rows, features, photo_columns
 
 
@@ -124,12 +125,53 @@ class Library:
         """Index a root anew whenever a stream of changes (path, ts) under it is quiet; start it again when roots come or go."""
         from ..streaming.watch import watch, with_roots
 
-        def rescan(root: int, _: list[str]) -> None:
-            known = self.roots.where(F.col("id") == root).first()
-            if known is not None:  # else removed meanwhile: it stays so
-                self.index(known["display_path"])
+        return watch(with_roots(changed, self.roots), self._rescan, checkpoint, with_paths=False, **options)
 
-        return watch(with_roots(changed, self.roots), rescan, checkpoint, with_paths=False, **options)
+    def _rescan(self, root: int, _: list[str]) -> None:
+        known = self.roots.where(F.col("id") == root).first()
+        if known is not None:  # else removed meanwhile: it stays so
+            self.index(known["display_path"])
+
+    def follow(self, journal: str, checkpoint: str, stop: threading.Event, every: float = 5.0, **options) -> None:
+        """Watch the roots until ``stop`` is set: list them every few seconds, and index those anew whose changes are quiet. Roots that come, go, or
+        can't be reached for a while are taken up with the next listing."""
+        from ..streaming.folders import Journal, supervise
+        from ..streaming.watch import watch
+
+        kept = Journal(self.spark, journal)
+        supervise(lambda: kept.observe(self.roots), lambda: watch(kept.stream(), self._rescan, checkpoint, with_paths=False, **options), every, stop)
+
+    def take_faces(self, new_faces: DataFrame, checkpoint: str, name: str = "faces", **trigger):
+        """Give people to a stream of new faces (columns of the face table; ids are given here), batch after batch: see :meth:`assign_batch`."""
+        from ..streaming.watch import assign_stream
+
+        return assign_stream(new_faces, lambda batch, n: self.assign_batch(batch, n, name), checkpoint, **trigger)
+
+    def assign_batch(self, new_faces: DataFrame, batch: int, name: str = "faces", now: float | None = None) -> bool:
+        """Add faces and give people to all that have none, against the centroids of the present snapshot; whether anything was done.
+
+        Faces, people with their counts and centroids, and the batch's number are published together: a batch that comes again after a crash is
+        done once. Faces that no one is near to stay without a person until a later batch makes enough of them. Only changed rows of faces are written.
+        """
+        done = self.store.mark(name)
+        if done is not None and done >= batch:
+            return False
+        now = float(now or time.time())
+        given = {"created_at": F.lit(now), "person_id": F.lit(None)}
+        types = {f.name: f.dataType for f in schema("face").fields}
+        value = lambda c: F.col(c) if c in new_faces.columns and c != "person_id" else given.get(c, F.lit(None))
+        fresh = written(new_faces.select(*[value(c).cast(t).alias(c) for c, t in types.items() if c != "id"]), "fresh")
+        fresh = written(numbered(fresh, [F.col("photo_id"), F.col("bbox_x"), F.col("bbox_y"), F.xxhash64(F.col("embedding"))], self.store.next_id("face"), "id").select(*types), "new-faces")
+        faces = self.faces.unionByName(fresh)
+        found = written(C.assign_new(faces, self.persons, self.config, self.store.next_id("person")).where("person_id IS NOT NULL"), "assigned")
+        old = with_values(self.faces.join(found, "id", "left_semi").select(*types), found.select("id", "person_id"))
+        changed = written(old.unionByName(with_values(fresh, found.select("id", "person_id"))), "changed-faces")
+        after = self.faces.join(changed, "id", "left_anti").select(*types).unionByName(changed)
+        kinds = found.where("is_new").join(faces.select("id", F.coalesce("kind", F.lit("human")).alias("kind")), "id").select("person_id", "kind").distinct()
+        touched = found.select("person_id").distinct()
+        persons = written(R.refreshed(self.persons.unionByName(self._made(kinds, now)), after, now, touched), "people")
+        self.store.commit({"face": (changed, None)}, {name: batch}, person=persons)
+        return True
 
     def reclassify(self) -> int:
         """Categories of photos that have none and whose files are there; how many got one."""
@@ -169,9 +211,8 @@ class Library:
 
     def _published(self, faces: DataFrame, assigned: DataFrame, new: DataFrame, now: float) -> dict[str, int]:
         moved = written(with_values(faces, assigned), "moved")
-        made = new.select(F.col("person_id").alias("id"), F.lit(None).cast("string").alias("display_name"), F.lit(None).cast("long").alias("cover_face_id"), F.lit(False).alias("is_hidden"), F.lit(None).cast("array<double>").alias("centroid"), F.lit(0).cast("long").alias("face_count"), F.when(F.col("kind") != "human", F.col("kind")).alias("kind"), F.lit(None).cast("string").alias("model"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"))
         touched = assigned.where("person_id IS NOT NULL").select("person_id").distinct()
-        persons = written(R.refreshed(self.persons.unionByName(made.select(*self.persons.columns)), moved, now, touched), "people")
+        persons = written(R.refreshed(self.persons.unionByName(self._made(new, now)), moved, now, touched), "people")
         n_new = new.count()
         if n_new:
             top = new.agg(F.max("person_id")).first()[0]
@@ -179,6 +220,11 @@ class Library:
         self.store.commit(face=moved, person=persons)
         return {"faces": B.with_embeddings(moved).count(), "people": B.people(persons).count(), "new": n_new}
 
+    def _made(self, new: DataFrame, now: float) -> DataFrame:
+        """Rows of new people (person_id, kind), without counts and centroids yet."""
+        made = new.select(F.col("person_id").alias("id"), F.lit(None).cast("string").alias("display_name"), F.lit(None).cast("long").alias("cover_face_id"), F.lit(False).alias("is_hidden"), F.lit(None).cast("array<double>").alias("centroid"), F.lit(0).cast("long").alias("face_count"), F.when(F.col("kind") != "human", F.col("kind")).alias("kind"), F.lit(None).cast("string").alias("model"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"))
+        return made.select(*self.persons.columns)
+
     # corrections
 
     def suggest_merges(self, max_distance: float = R.DISTANCE, limit: int | None = R.LIMIT) -> DataFrame:

@@ -123,11 +123,17 @@ class Store:
     def next_id(self, name: str) -> int:
         return self.manifest["next_id"].get(name, 1)
 
-    def commit(self, changes: dict[str, tuple[DataFrame | None, DataFrame | None]] | None = None, /, **tables: DataFrame) -> None:
+    def mark(self, name: str) -> int | None:
+        """The number that was last published under a name (:meth:`commit`)."""
+        return self.manifest.get("marks", {}).get(name)
+
+    def commit(self, changes: dict[str, tuple[DataFrame | None, DataFrame | None]] | None = None, marks: dict[str, int] | None = None, /, **tables: DataFrame) -> None:
         """Write the given tables whole, and of those in ``changes`` the rows that are new or have new values (one an id) and the ids (id) of
-        those that are gone; publish all together. The next ids rise over all ids written, and never fall."""
+        those that are gone; publish all together, and with them ``marks``, such as the number of a stream's batch. The next ids rise over all ids
+        written, and never fall."""
         n = self.manifest["snapshot"] + 1
         new = json.loads(json.dumps(self.manifest)) | {"snapshot": n}
+        new["marks"] = new.get("marks", {}) | (marks or {})
         for name, df in tables.items():
             new["tables"][name] = {"levels": []} | dict(zip(("base", "n"), self._written(name, df, n, new)))
         for name, (rows, gone) in (changes or {}).items():

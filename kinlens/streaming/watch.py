@@ -36,7 +36,7 @@ def quiet_sessions(events: DataFrame, quiet: str = QUIET) -> DataFrame:
 
 def watch(events: DataFrame, rescan: Callable[[int, list[str]], None], checkpoint: str, quiet: str = QUIET, late: str = "1 seconds", with_paths: bool = True, **trigger) -> StreamingQuery:
     """Call ``rescan(root id, paths)`` for every run of changes once it is quiet; with ``with_paths`` off, ``paths`` is empty and only the ids of
-    changed roots, no more than there are roots, leave the executors."""
+    changed roots, no more than there are roots, leave the executors. Events of a null key move the watermark on, and are no change."""
     events = events.withWatermark("ts", late)
     if with_paths:
         runs = quiet_sessions(events, quiet)
@@ -44,6 +44,7 @@ def watch(events: DataFrame, rescan: Callable[[int, list[str]], None], checkpoin
         runs = events.groupBy("key", F.session_window("ts", quiet)).agg(F.max("ts").alias("ended")).select("key", "ended")
 
     def each(batch: DataFrame, _: int) -> None:
+        batch = batch.where("key IS NOT NULL")
         if with_paths:
             found = batch.groupBy("key").agg(F.flatten(F.collect_list("paths")).alias("paths")).collect()
         else:
@@ -54,6 +55,6 @@ def watch(events: DataFrame, rescan: Callable[[int, list[str]], None], checkpoin
     return runs.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
-def assign_stream(new_faces: DataFrame, assign: Callable[[DataFrame], None], checkpoint: str, **trigger) -> StreamingQuery:
-    """Give each batch of new faces to ``assign``, which holds it against a snapshot of the people's centroids."""
-    return new_faces.writeStream.foreachBatch(lambda batch, _: assign(batch)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+def assign_stream(new_faces: DataFrame, assign: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+    """Give each batch of new faces and its number to ``assign``, which may get a batch again after a crash, under the same number."""
+    return new_faces.writeStream.foreachBatch(assign).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
