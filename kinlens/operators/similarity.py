@@ -1,7 +1,8 @@
 """Similarity joins: Hamming distance by equal blocks, cosine distance by blocks of matrix products, nearest centroids.
 
 Vector pairs never meet as a cross join of rows: rows are dealt into blocks, and a task multiplies one block by another and
-gives back only the pairs under the limit. The number of blocks grows with the rows, so a task's memory does not.
+gives back only the pairs under the limit. The number of blocks grows with the rows, so a task's memory does not; blocks too far apart to
+hold a pair are never brought together.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ BLOCK = 2048
 BROADCAST_BYTES = 64 << 20
 #: Faces of a task that meet a block of centroids.
 FACES = 16_384
+#: Pivots of a length of vectors, the lengths that have some, and the sample that they are chosen from, at most.
+PIVOTS, DIMS, SAMPLE_ROWS, SAMPLE_BYTES = 256, 8, 4096, 8 << 20
+#: Radians by which computed angles can be off, with room.
+SLACK = 1e-6
 
 
 def hamming_keys(n: int, most: int) -> tuple[int, int]:
@@ -139,22 +144,108 @@ def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links])
 
 
+def farthest_first(m: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` of the unit rows of ``m`` that cover it: half are the first ones, so that where rows are dense there are some, the others each the
+    farthest from those before."""
+    first = max(1, n // 2)
+    chosen = list(range(min(first, len(m))))
+    near = (m @ m[chosen].T).max(1)
+    while len(chosen) < n:
+        k = int(near.argmin())
+        if near[k] > 1 - 1e-9:
+            break
+        chosen.append(k)
+        near = np.maximum(near, m @ m[k])
+    return m[chosen]
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    """As :func:`_matrix`, with null rows (NaN) for what has no direction."""
+    m = _matrix(vectors)
+    with np.errstate(invalid="ignore"):
+        m[~(np.abs((m * m).sum(1) - 1) < 1e-6)] = np.nan
+    return m
+
+
+def _pivots(base: DataFrame, large: DataFrame, block: int) -> dict[int, np.ndarray]:
+    """Pivots by length of vectors: no more than PIVOTS each, from SAMPLE_ROWS rows and SAMPLE_BYTES at most, for the DIMS lengths of most rows; other lengths go
+    without, and all their blocks meet."""
+    lengths = large.groupBy("dim").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "dim").limit(DIMS).collect()
+    out = {}
+    for r in lengths:
+        wanted = max(2, min(PIVOTS, r["n"] // block))
+        most = max(wanted, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * r["dim"])))
+        rows = base.where(F.col("dim") == r["dim"]).join(large, [c for c in large.columns if c != "n"], "left_semi")
+        sample = rows.orderBy(F.xxhash64("id"), "id").limit(most).select("vec").toPandas()
+        m = _units(sample["vec"])
+        m = m[~np.isnan(m).any(1)]
+        if len(m):
+            out[r["dim"]] = farthest_first(m, wanted)
+    return out
+
+
+def blocks_that_meet(base: DataFrame, full: list[str], limit: float, block: int) -> DataFrame:
+    """Rows (full, id, vec, dim) in groups (full, i, j) of two blocks i <= j of a key, or one with itself (``side`` tells them apart), such that every pair
+    with a cosine distance up to ``limit`` is together in one group.
+
+    Rows of keys beyond one block are dealt into cells by the nearest of some pivots, and cells into blocks by a hash. Angles obey the triangle
+    inequality: with D between two pivots, and the angles of the cells' rows to their own pivots from lo to hi, two rows are D - hi - hi' apart at least, and
+    lo - D - hi' (or the other way round). Cells that can't hold a pair under the limit never meet, whatever they hold; rows without a direction
+    are a cell that meets all.
+    """
+    base = base.withColumn("cell", F.lit(0).cast("long")).withColumn("angle", F.lit(None).cast("double"))
+    counts = base.groupBy(*full).agg(F.count("*").alias("n"))
+    large = written(counts.where(F.col("n") > block), "large-keys")
+    if large.isEmpty():
+        return base.select(*full, "id", "vec", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
+    pivots = _pivots(base, large, block)
+    held = base.sparkSession.sparkContext.broadcast(pivots)  # DIMS * SAMPLE_BYTES at most
+
+    def place(batches):
+        for pdf in batches:
+            for dim, at in pdf.groupby("dim").groups.items():
+                if dim in held.value:
+                    u = _units(pdf.loc[at, "vec"])
+                    cos = u @ held.value[dim].T
+                    lost = np.isnan(cos).any(1)
+                    best = np.where(lost[:, None], 0.0, cos).argmax(1)
+                    pdf.loc[at, "cell"] = np.where(lost, -1, best)
+                    pdf.loc[at, "angle"] = np.where(lost, np.nan, np.arccos(np.clip(cos[np.arange(len(cos)), best], -1, 1)))
+            yield pdf
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
+    moved = written(base.join(large, full, "left_semi").select(*base.columns).mapInPandas(place, schema).withColumn("angle", F.when(~F.isnan("angle"), F.col("angle"))), "placed")
+    rest = base.join(large, full, "left_anti").select(*base.columns)
+    cells = moved.groupBy(*full, "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("subs"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+    cells = written(cells, "cells")  # PIVOTS + 1 a key at most
+    apart = [(int(dim), p, q, float(np.arccos(np.clip(m[p] @ m[q], -1, 1)))) for dim, m in pivots.items() for p in range(len(m)) for q in range(len(m)) if p != q]
+    between = base.sparkSession.createDataFrame(apart, "dim int, cell long, other long, between double")
+    other = cells.select(*full, F.col("cell").alias("other"), F.col("subs").alias("other_subs"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"))
+    met = cells.join(other, full).join(F.broadcast(between), ["dim", "cell", "other"], "left").withColumn("between", F.coalesce("between", F.lit(0.0)))
+    reach = float(np.arccos(np.clip(1 - limit, -1, 1))) + SLACK
+    least = F.greatest(F.col("between") - F.col("hi") - F.col("other_hi"), F.col("lo") - F.col("between") - F.col("other_hi"), F.col("other_lo") - F.col("between") - F.col("hi"))
+    no_bound = F.col("lo").isNull() | F.col("other_lo").isNull()
+    met = met.where((F.col("cell") == F.col("other")) | no_bound | (least <= reach) | F.lit(limit >= 2))
+    met = met.groupBy(*full, "cell").agg(F.max("subs").alias("subs"), F.collect_list(F.struct("other", F.col("other_subs").alias("subs"))).alias("others"))
+    name = lambda cell, sub: cell * F.lit(1 << 32) + sub
+    # a cell can hold a third of all rows; the join deals it out in pieces
+    dealt = moved.hint("merge").join(met, [*full, "cell"]).withColumn("at", name(F.col("cell"), F.pmod(F.xxhash64("id"), F.col("subs"))))
+    dealt = dealt.withColumn("o", F.explode("others")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("o.subs") - 1))).withColumn("to", name(F.col("o.other"), F.col("to")))
+    dealt = dealt.select(*full, "id", "vec", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), (F.col("at") > F.col("to")).cast("int").alias("side"))
+    return dealt.unionByName(rest.select(*full, "id", "vec", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side")))
+
+
 def cosine_pairs(rows: DataFrame, limit: float, inclusive: bool = False, keys: tuple[str, ...] = ("kind",), block: int = BLOCK, spanning: dict[str, float] | None = None) -> DataFrame:
     """(keys, a, b, distance) of pairs a < b of one key and length with cosine distance under (or at) the limit.
 
-    ``rows``: keys, id, vec. Every pair of blocks of a key is one task: its rows are one block against another. With ``spanning``, limits
-    by the first key's value ("" for others), a task gives back only as many of its pairs under that as connect what they all connect, fewer than it has rows:
-    all that components need, however dense the pairs are.
+    ``rows``: keys, id, vec. Every pair of blocks that can hold such a pair (:func:`blocks_that_meet`) is one task: one block against another. With
+    ``spanning``, limits by the first key's value ("" for others), a task gives back only as many of its pairs under that as connect what they all connect, fewer than
+    it has rows: all that components need, however dense the pairs are.
     """
     ship(rows.sparkSession)
     full = [*keys, "dim"]
     # a null key is a key; vectors are only held against vectors of their length
     base = written(rows.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys], "id", F.col("vec").cast("array<double>").alias("vec"), F.size("vec").alias("dim")).where("dim > 0"), "vectors")
-    counts = base.groupBy(*full).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
-    placed = base.join(counts, full).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # block i meets every j >= i once: a row goes to its row and column of that triangle
-    low = placed.select(*full, "id", "vec", "at", F.explode(F.sequence("at", F.col("blocks") - 1)).alias("other")).select(*full, "id", "vec", F.col("at").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
-    high = placed.select(*full, "id", "vec", "at", F.explode(F.sequence(F.lit(0), "at")).alias("other")).where("other < at").select(*full, "id", "vec", F.col("other").alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"))
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["i"].iat[0] == pdf["j"].iat[0]
@@ -182,13 +273,13 @@ def cosine_pairs(rows: DataFrame, limit: float, inclusive: bool = False, keys: t
         return found[[*keys, "a", "b", "distance"]]
 
     types = ", ".join(f"{k} string" for k in keys)
-    return low.unionByName(high).groupBy(*full, "i", "j").applyInPandas(near, f"{types}, a long, b long, distance double")
+    return blocks_that_meet(base, full, limit, block).groupBy(*full, "i", "j").applyInPandas(near, f"{types}, a long, b long, distance double")
 
 
-def nearest_two(faces: DataFrame, persons: DataFrame, by_model: bool = False) -> DataFrame:
+def nearest_two(faces: DataFrame, persons: DataFrame, by_model: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, person_id, best, runner_up): each face's nearest person of its kind and length, and the next distance (null for none).
 
-    ``faces``: id, kind, vec[, model]; ``persons``: id, kind, centroid[, model]. Centroids are broadcast up to BROADCAST_BYTES;
+    ``faces``: id, kind, vec[, model]; ``persons``: id, kind, centroid[, model]. Centroids are broadcast up to ``broadcast_bytes``;
     beyond that faces meet blocks of centroids and the two best of each block are merged.
     """
     ship(faces.sparkSession)
@@ -197,7 +288,7 @@ def nearest_two(faces: DataFrame, persons: DataFrame, by_model: bool = False) ->
     f, p = clean(faces, "vec"), clean(persons, "centroid")
     p = written(p, "centroids")
     bytes_ = p.agg(F.coalesce(F.sum(F.col("dim") * 8 + 32), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-int(bytes_) // BROADCAST_BYTES))
+    blocks = max(1, -(-int(bytes_) // broadcast_bytes))
     schema = "id long, person_id long, best double, runner_up double"
 
     def top(fv: pd.DataFrame, pv: pd.DataFrame) -> pd.DataFrame:
@@ -208,7 +299,7 @@ def nearest_two(faces: DataFrame, persons: DataFrame, by_model: bool = False) ->
         return pd.DataFrame({"id": fv["id"].to_numpy(), "person_id": pv["id"].to_numpy()[order[:, 0]], "best": d[rows, order[:, 0]], "runner_up": second})
 
     if blocks == 1:
-        held = faces.sparkSession.sparkContext.broadcast({k: g for k, g in p.toPandas().groupby([*keys, "dim"])})  # at most BROADCAST_BYTES
+        held = faces.sparkSession.sparkContext.broadcast({k: g for k, g in p.toPandas().groupby([*keys, "dim"])})  # at most broadcast_bytes
 
         def stream(batches):
             for pdf in batches:

@@ -432,6 +432,15 @@ def _(spark, sf):
     return S.cosine_pairs(face_vectors(spark, sf), 0.4).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
+@query("cosine_pairs_by_cells")
+def _(spark, sf):
+    """As cosine_pairs_under, in blocks so small that all kinds have many, and most of them never meet."""
+    return S.cosine_pairs(face_vectors(spark, sf), 0.4, block=64).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+SQL["cosine_pairs_by_cells"] = SQL["cosine_pairs_under"]
+
+
 CENTROID = """, part AS (SELECT person_id, generate_subscripts(vec, 1) AS i, unnest(vec) AS x FROM v_face_vec WHERE person_id IS NOT NULL),
 avgs AS (SELECT person_id, i, avg(x) AS m FROM part GROUP BY 1, 2),
 cen AS (SELECT person_id, list(m ORDER BY i) AS c FROM avgs GROUP BY 1),
@@ -488,6 +497,17 @@ def _(spark, sf):
     return near.select("id", "person_id", F.round("best", 6).alias("best"), F.round("runner_up", 6).alias("runner_up"))
 
 
+@query("nearest_two_in_blocks")
+def _(spark, sf):
+    """As nearest_two_centroids, with centroids beyond what is broadcast."""
+    rows, persons = library(spark, sf)
+    near = S.nearest_two(rows.select("id", "kind", F.col("embedding").alias("vec")), persons.select("id", F.coalesce("kind", F.lit("human")).alias("kind"), "centroid"), broadcast_bytes=16 << 10)
+    return near.select("id", "person_id", F.round("best", 6).alias("best"), F.round("runner_up", 6).alias("runner_up"))
+
+
+SQL["nearest_two_in_blocks"] = SQL["nearest_two_centroids"]
+
+
 @query("incremental_attach", NEAR + "SELECT id, person_id FROM two WHERE own IS NULL AND best < CASE WHEN (id - 1) % 10 = 9 THEN 0.5 ELSE 0.4 END AND runner_up - best >= 0.25 * CASE WHEN (id - 1) % 10 = 9 THEN 0.5 ELSE 0.4 END", "v_face_vec")
 def _(spark, sf):
     rows, persons = library(spark, sf)
