@@ -43,14 +43,21 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterato
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(struct)
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
-        rows = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in parts)
+        rows = ({n: c.to_pylist() for n, c in zip(names, b.columns)} for b in parts)
         for out in fn(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
-
-    return df.mapInArrow(run, struct)
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], f.type) for n, f in zip(struct.fieldNames(), sent)], schema=sent)
+
+    if not any("." in n for n in [*names, *struct.fieldNames()]):
+        sent = target
+        return df.mapInArrow(run, struct)
+    # mapInArrow would take a name with a dot for a field of a column: names of our own on the way
+    sent = pa.schema([f.with_name(f"c{k}") for k, f in enumerate(target)])
+    plain = T.StructType([T.StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(struct.fields)])
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, plain).toDF(*struct.fieldNames())
 
 
 def lower_ascii(c):

@@ -2,8 +2,10 @@
 
 The lexer reads name-literal pairs: ``name = "x"``, ``name: x``, ``"name": "x"``, ``name: type = "x"``, ``var name type = "x"``,
 ``a["name"] = "x"``, ``#define name "x"``, ``ENV name x``, ``<name>x</name>``, ``--name x``; strings with prefixes, in triple quotes and
-back quotes, in parentheses, on the next line, and block scalars. It propagates constants (``a = "x"; token = a``, and ``+`` of literals and
-names), and scores a literal by the most sensitive of the targets that it reaches and by how random the target's value looks.
+back quotes, in parentheses, on the next line, and block scalars. Further lists, tuples and calls as values, compound operators, conditional values,
+up to sixteen names with as many values, attributes ``key="name" value="x"``, calls with a name and a default, setters, ``set name x``, and bearer
+headers; a literal in a call or a list that is a sensitive name itself is no value. It propagates constants (``a = "x"; token = a``, and ``+`` of literals and
+names, also ``a.strip()``), and scores a literal by the most sensitive of the targets that it reaches and by how random the target's value looks.
 Each literal comes once; time grows with the text, not with its chains. Only texts that hold a sensitive name are lexed.
 
 Defined results: a null or empty text has no spans; texts are read whole, whatever their length; repeated
@@ -13,6 +15,7 @@ rows give repeated results. Offsets are code points, ends exclusive. A name mean
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections import Counter
@@ -65,6 +68,22 @@ _PART = re.compile(
     r"""|([^\s"'`+]++)(?!["'`])|[A-Za-z]{1,2}(?=["'`])"""
 )
 _IDENTIFIER = re.compile(_NAME + r"\Z")
+_GAP = r"[ \t]*+(?:\n[ \t]*+)?"
+_LIST = rf"{_STRING}(?:{_GAP},{_GAP}{_STRING})*+"
+#: Forms beyond a name, an operator and a value that begins at once; what can be long and precede a string is bounded, so that no line is read again and again.
+_FORMS = re.compile(
+    rf"""(?<![A-Za-z0-9_.\-])(?P<name>{_NAME})["']?[ \t]*+(?:(?:\+|\|\||\?\??|\.)=[ \t]*+(?P<more>{_STRING}|[A-Za-z0-9+/_.=-]++)"""
+    rf"""|(?:(?:\+|\|\||\?\??|:)?=(?![=>])|:(?![:=]))[ \t]*+(?:(?:[\[{{(]|[A-Za-z_][\w.]{{0,99}}+[\[({{]){_GAP}(?P<list>{_LIST})|\\\n[ \t]*+(?P<next>{_STRING})"""
+    rf"""|[^\n"'`?:;,#=]{{1,200}}+\?[ \t]*+(?P<yes>{_STRING})[ \t]*+:[ \t]*+(?P<no>{_STRING})?+))"""
+    rf"""|(?<![A-Za-z0-9_.\-])(?P<names>{_NAME}(?:[ \t]*+,[ \t]*+{_NAME}){{1,15}}+)[ \t]*+=(?![=>])[ \t]*+\(?(?P<values>{_LIST})"""
+    rf"""|(?<![\w-])(?:key|name|id)[ \t]*+=[ \t]*+(?P<key>{_STRING})\s++value[ \t]*+=[ \t]*+(?P<held>{_STRING})"""
+    rf"""|(?<=[\w])\({_GAP}(?P<given>{_STRING})[ \t]*+,{_GAP}(?P<default>{_STRING})"""
+    rf"""|(?<![A-Za-z0-9])(?:set|with|use|add)_?(?P<setter>[A-Za-z]\w{{0,99}}+)\({_GAP}(?P<set>{_STRING})(?![ \t]*+,{_GAP}["'])"""
+    rf"""|(?m:^)[ \t]*+(?:set|setx|export)[ \t]++(?P<variable>{_NAME})[ \t]++(?P<word>{_STRING}|[^\s"'`=(]++)"""
+    rf"""|[Aa]uthorization["']?\]?[ \t]*+[:=,][ \t]*+["']?(?P<scheme>[Bb]earer|[Tt]oken)[ \t]++(?P<bearer>[A-Za-z0-9+/_.=~-]++)"""
+)
+#: Groups of _FORMS: of the target's name, and of what holds its literals.
+_TARGETS = {"more": "name", "list": "name", "next": "name", "yes": "name", "no": "name", "held": "key", "default": "given", "set": "setter", "word": "variable", "bearer": "scheme"}
 
 
 class Literal(NamedTuple):
@@ -138,11 +157,37 @@ class _Binding:
         self.best: tuple[float, str] = (sensitivity(name) * self.sum.randomness(), name)
 
 
+def _parts(m: re.Match, k: str) -> list[tuple[str, int, int]]:
+    """The literals (text, start, end) of a group."""
+    at = m.start(k)
+    found = [(p, p.lastindex) for p in _PART.finditer(m[k]) if p.lastindex is not None]
+    return [(p[i], at + p.start(i), at + p.end(i)) for p, i in found if p[i] and p[i].strip(",[({")]
+
+
+def _formed(m: re.Match) -> list[_Binding]:
+    """The assignments of a match of _FORMS."""
+    if m["names"]:
+        names = [n.strip() for n in m["names"].split(",")]
+        return [_Binding(n, [x], []) for n, x in zip(names, _parts(m, "values"))]
+    out = []
+    for k, target in _TARGETS.items():
+        if m[k]:
+            name = m[target].strip("\"'`") if target in ("key", "given") else m[target]
+            own = [x for x in _parts(m, k) if k not in ("list", "default") or not sensitivity(x[0])]
+            out += [_Binding(name, [x], []) for x in own]  # of a list each is a value by itself
+    return out
+
+
 def _bindings(text: str) -> list[_Binding]:
     """The assignments of a text, in order."""
     known: dict[str, _Binding] = {}
     out: list[_Binding] = []
-    for m in _PAIR.finditer(text):
+    for m in heapq.merge(_PAIR.finditer(text), _FORMS.finditer(text), key=lambda m: m.start()):
+        if m.re is _FORMS:
+            made = _formed(m)
+            out += made
+            known |= {x.name: x for x in made}
+            continue
         own, uses = [], []
         names = [m["tag"] or m["flag"] or m["macro"] or m["go"] or m["name"]]
         if m["tag"] or m["flag"]:
@@ -158,9 +203,12 @@ def _bindings(text: str) -> list[_Binding]:
                     continue
                 x = p[p.lastindex]
                 bare = known.get(x) if p.lastindex == 6 and _IDENTIFIER.match(x) else None
+                called = p.lastindex == 6 and text[at + p.end(6) : at + p.end(6) + 1] == "(" and _IDENTIFIER.match(x)
+                if bare is None and called:  # a method of a constant
+                    bare = known.get(x.rpartition(".")[0])
                 if bare is not None:
                     uses.append(bare)
-                elif x and not (p.lastindex == 6 and x in "(|>\\|-|+>->+"):
+                elif x and not called and not (p.lastindex == 6 and x in "(|>\\|-+|>->+"):
                     own.append((x, at + p.start(p.lastindex), at + p.end(p.lastindex)))
         made = _Binding(max(names, key=sensitivity), own, uses)  # ``a: b = x`` can be a path as well as a type
         known[names[0]] = made
@@ -180,7 +228,13 @@ def literals(text: str) -> list[Literal]:
         for x in made[i].uses:
             k = order[id(x)]
             first[k] = max(first[k], first[i])
-    return [Literal(best[2], v, s, e, 0.0 if placeholder(v) else best[0]) for x, best in zip(made, first) for v, s, e in x.own]
+    found: dict[tuple[int, int], Literal] = {}
+    for x, best in zip(made, first):
+        for v, s, e in x.own:
+            one = Literal(best[2], v, s, e, 0.0 if placeholder(v) else best[0])
+            if (s, e) not in found or found[s, e].score < one.score:  # read as two forms
+                found[s, e] = one
+    return list(found.values())
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

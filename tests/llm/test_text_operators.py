@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -435,3 +436,52 @@ def test_bpe_edges(spark):
     got = sorted((r["doc_id"] or 0, r["decoded"], len(r["ids"])) for r in bpe.encode_and_decode(df).collect())
     assert got == [(0, "x", 4), (1, "", 0), (2, "", 0), (3, "same", 4), (3, "same", 4)]
     assert bpe.encode_and_decode(spark.createDataFrame([], DOCS)).count() == 0
+
+
+SECRET = "q8Zr2LmX0vT5bN7c"
+
+
+@pytest.mark.parametrize(
+    "form",
+    ['signing_key = ["%s"]', 'signing_key = ["x", "%s"]', 'signing_key = ("%s", 1)', 'signing_key: ["%s"]', 'signing_key += "%s"', 'signing_key ||= "%s"', 'signing_key ?= "%s"', "signing_key ?= %s", 'a, signing_key = "x", "%s"']
+    + ['signing_key = c ? "%s" : ""', 'signing_key = c ? "" : "%s"', '<add key="PrivateKey" value="%s"/>', 'os.environ.setdefault("PRIVATE_KEY", "%s")', 'private_key = os.getenv("PRIVATE_KEY", "%s")', 'x.setPrivateKey("%s")', 'private_key = f("%s")']
+    + ['signing_key=\\\n"%s"', "set signing_key %s", "Authorization: Bearer %s", "headers['Authorization'] = 'Bearer %s'", 'k = "%s"\nsigning_key = k.strip()'],
+)
+def test_more_forms_of_secrets(form):
+    text = "before\n" + form % SECRET + "\nafter"
+    assert [text[s:e] for s, _, e in secrets.all_spans(text)[1]] == [SECRET]
+    harmless = form.replace("signing", "sorting").replace("private", "public").replace("Private", "Public").replace("PRIVATE", "PUBLIC").replace("Authorization", "Accept") % SECRET
+    assert secrets.all_spans("bearer\n" + harmless)[1] == []
+
+
+@pytest.mark.parametrize("unit", ['signing_key = ["', "a=b ", "a=x.y(", 'key="a" ', 'a,b="x","y",', "a, ", "use_", "a=[\n", "a=b ? ", 'f("a",', "set ", "a=\"\"\""])
+def test_more_forms_stay_linear(unit):
+    def seconds(n):
+        text = unit * n + " bearer"
+        best = float("inf")
+        for _ in range(2):
+            start = time.perf_counter()
+            secrets.all_spans(text)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert seconds(16_000) < 8 * seconds(4_000) + 0.2
+
+
+def test_names_with_dots_pass(spark):
+    df = spark.createDataFrame([(1, 'password = "q8Zr2LmX0vT5bN7c"', 7, [1.5])], "doc_id long, text string, `x.y` int, `a.b.c` array<double>")
+    row = secrets.redact(df).collect()[0]
+    assert (row["doc_id"], row["text"], row["x.y"], row["a.b.c"]) == (1, "[secret]\"", 7, [1.5]) and secrets.redact(df).columns == df.columns
+
+
+def test_long_turns_are_cut_into_pieces(spark):
+    """By running length, in order; a piece holds the limit and one text at most, and all pieces together are the dialogue."""
+    rows = [(1, k, "ab"[k % 2], f"{k}:" + "x" * 80) for k in range(40)] + [(2, 0, "a", "y" * 500), (3, None, "a", "short")]
+    got = chat.rotate(spark.createDataFrame(rows, TURNS), section_chars=200).where("perspective = 'a'").orderBy("conv_id", "part", "section", "piece").collect()
+    own = [r for r in got if r["conv_id"] == 1]
+    assert len(own) > 10 and all(len(r["text"]) < 200 + 83 + 30 * r["n_turns"] for r in own) and sum(r["n_turns"] for r in own) == 40
+    whole = [r for r in chat.rotate(spark.createDataFrame(rows, TURNS)).where("perspective = 'a'").collect()]
+    for c in (1, 2, 3):
+        assert "".join(r["text"] for r in got if r["conv_id"] == c) == "".join(r["text"] for r in whole if r["conv_id"] == c)
+    learned = [r["text"][m["start"] : m["end"]] for r in own for m in r["mask"]]
+    assert learned == [f"{k}:" + "x" * 80 + "<|end|>\n" for k in range(0, 40, 2)]
