@@ -639,4 +639,4 @@ def _(spark, sf):
 SQL["debounce_sessions"] = SQL["debounce_sessions"].replace("WITH RECURSIVE \n", "")
 
 
-from . import corrections  # noqa: E402, F401  (registers its queries)
+from . import corrections, shapes  # noqa: E402, F401  (register their queries)
