@@ -11,8 +11,8 @@ Equal sets are one class from the start, so copies never meet each other. Of a b
 first held against the smallest one; what is linked then counts as one component, and only classes of different
 components that share a key are compared further. From then on a key is those of its classes that aren't linked with its first one, which stands for
 the others. In large keys those outside the largest component are held against further
-members, for a few rounds, which settles most, and what is settled doesn't enter the next; what is left is compared on registers and where it lies, in
-blocks: those outside a key's largest component with all others, so a key of S classes with M outside costs about M * S / BLOCK rows, S at least. Those
+members, for a few rounds as long as a tenth of their pairs link, and what is settled doesn't enter the next; what is left is compared on registers and where
+it lies, in blocks: those outside a key's largest component with all others, so a key of S classes with M outside costs about M * S / BLOCK rows, S at least. Those
 with a rival that the estimate leaves come again with their full sets.
 
 Defined results: a null, empty or blank text has the empty set and is linked with nothing; a text of fewer than five
@@ -42,8 +42,10 @@ MANTISSA = 10
 MOST_MISSED = 4e-9
 #: Classes of one key that are held against each other in one place.
 BLOCK = 512
-#: Rounds in which large keys of several components are held against another member of their largest one.
+#: Rounds at most in which large keys of several components are held against another member of their largest one, and the share of a
+#: round's pairs that has to link for another to follow: where fewer do, rounds settle next to nothing and blocks have the rest either way.
 STAR_ROUNDS = 3
+LEAST_LINKED = 0.1
 #: Bits of the filter that keeps texts out of a shuffle: 4 MB.
 FILTER_BITS = 1 << 25
 #: Standard deviations of slack of the estimate.
@@ -243,16 +245,18 @@ def linked_classes(classes: DataFrame, docs: DataFrame, percent: int) -> DataFra
         head = large.where("is_top").groupBy("key").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(k))).alias("head"))
         rest = large.where("NOT is_top").hint("merge").join(head, "key").where(_near_in_size(F.col("n"), F.col("head.n"), percent))
         again = written(rest.select(F.least("head.id", "id").alias("a"), F.greatest("head.id", "id").alias("b")).distinct(), "tried")
-        if again.isEmpty():
-            discard(again)
-            break
-        new = confirmed(estimated(again, classes, percent), docs, classes, percent)
+        pairs = again.count()
+        new = confirmed(estimated(again, classes, percent), docs, classes, percent) if pairs else again
+        settled = new.count()
         discard(again)
-        if new.isEmpty():
+        if not settled:
+            discard(new)
             break
         both = written(links.union(new), "links")
         discard(links, new, found)
         links, found = both, components(both)
+        if settled < LEAST_LINKED * pairs:
+            break
         before, left = left, mixed_keys(left.select("key", "band", "id", "n", "w"), found)
         discard(before)
     # what still shares a key across components: all classes of those keys

@@ -268,6 +268,24 @@ def test_settled_keys_enter_no_round(spark, monkeypatch):
     assert entered[0] < 0.2 * classes * (neardup.REGISTERS // neardup.band_width(80)) and entered[1:-1] == sorted(entered[1:-1], reverse=True)
 
 
+def test_rounds_end_where_few_link(spark, monkeypatch):
+    """After a round in which too few pairs link, what is left goes to blocks at once, and no link is lost."""
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    monkeypatch.setattr(neardup, "LEAST_LINKED", 2.0)
+    entered, mixed = [], neardup.mixed_keys
+    monkeypatch.setattr(neardup, "mixed_keys", lambda rows, found: (entered.append(1), mixed(rows, found))[1])
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(4000)]
+    base, docs = list(rng.choice(words, 200)), []
+    for k in range(120):  # most pairs lie around 0.65 to 0.9
+        text = list(base)
+        for _ in range(int(rng.integers(0, 6))):
+            text[int(rng.integers(0, 200))] = f"edit{k}"
+        docs.append((k, " ".join(text)))
+    assert found_components(neardup.near_duplicates(spark.createDataFrame(docs, DOCS))) == brute_components(docs, 80)
+    assert len(entered) == 2
+
+
 def test_null_ids_are_linked_with_nothing(spark):
     df = spark.createDataFrame([(5, "a b c"), (None, "a b c"), (7, "a b c"), (None, "d e")], DOCS)
     got = sorted(((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()), key=str)
