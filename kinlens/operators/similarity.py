@@ -7,11 +7,13 @@ hold a pair are never brought together.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,11 @@ from .order import numbered
 
 MAX_HAMMING = 6
 BITS = 64
-#: Rows of a block of vectors.
-BLOCK = 2048
+#: Rows of a block of vectors; where a key would have more blocks than MOST_BLOCKS, its blocks grow instead, up to so many bytes, since every row is sent to as many.
+#: A key whose rows would be sent to more than COPIES blocks each though far ones never meet has COPIES blocks without cells.
+BLOCK, MOST_BLOCKS, COPIES, BLOCK_BYTES = 2048, 48, 16, 64 << 20
+#: Distances that a task has at once.
+TILE = 2 << 20
 #: Centroids up to this many bytes are sent to every task; more are joined in blocks.
 BROADCAST_BYTES = 64 << 20
 #: Faces of a task that meet a block of centroids.
@@ -111,8 +116,8 @@ def shown_sets(members: DataFrame, photos: DataFrame, offline_roots: DataFrame,
     return marked.withColumn("rank_in_set", F.row_number().over(order)).select("set_id", "rank_in_set", "id", "size", F.count("*").over(Window.partitionBy("set_id")).alias("set_size"))
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, np.float64) for v in vectors])
+def _matrix(vectors: pd.Series | np.ndarray) -> np.ndarray:
+    m = vectors if isinstance(vectors, np.ndarray) else np.stack([np.asarray(v, np.float64) for v in vectors])
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.where(n > 1e-12, m / np.maximum(n, 1e-300), m)
 
@@ -144,6 +149,34 @@ def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links])
 
 
+class _Links:
+    """Links (a, b, distance) of a task that connect what all links given connect: no more than there are ids."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+        self.kept: list[tuple[int, int, float]] = []
+
+    def __len__(self) -> int:
+        return len(self.kept)
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def add(self, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> None:
+        for link in zip(a.tolist(), b.tolist(), distance.tolist()):
+            x, y = self.root(link[0]), self.root(link[1])
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
+                self.kept.append(link)
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, distance = zip(*self.kept)
+        return np.array(a, np.int64), np.array(b, np.int64), np.array(distance, float)
+
+
 def farthest_first(m: np.ndarray, n: int) -> np.ndarray:
     """Up to ``n`` of the unit rows of ``m`` that cover it: half are the first ones, so that where rows are dense there are some, the others each the
     farthest from those before."""
@@ -167,15 +200,15 @@ def _units(vectors: pd.Series) -> np.ndarray:
     return m
 
 
-def _pivots(base: DataFrame, large: DataFrame, block: int) -> dict[int, np.ndarray]:
+def _pivots(base: DataFrame, large: DataFrame) -> dict[int, np.ndarray]:
     """Pivots by length of vectors: no more than PIVOTS each, from SAMPLE_ROWS rows and SAMPLE_BYTES at most, for the DIMS lengths of most rows; other lengths go
     without, and all their blocks meet."""
-    lengths = large.groupBy("dim").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "dim").limit(DIMS).collect()
+    lengths = large.groupBy("dim").agg(F.sum("n").alias("n"), F.min("size").alias("size")).orderBy(F.desc("n"), "dim").limit(DIMS).collect()
     out = {}
     for r in lengths:
-        wanted = max(2, min(PIVOTS, r["n"] // block))
+        wanted = max(2, min(PIVOTS, MOST_BLOCKS, r["n"] // r["size"]))
         most = max(wanted, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * r["dim"])))
-        rows = base.where(F.col("dim") == r["dim"]).join(large, [c for c in large.columns if c != "n"], "left_semi")
+        rows = base.where(F.col("dim") == r["dim"]).join(large, [c for c in large.columns if c not in ("n", "size")], "left_semi")
         sample = rows.orderBy(F.xxhash64("id"), "id").limit(most).select("vec").toPandas()
         m = _units(sample["vec"])
         m = m[~np.isnan(m).any(1)]
@@ -188,17 +221,19 @@ def blocks_that_meet(base: DataFrame, full: list[str], limit: float, block: int)
     """Rows (full, id, vec, dim) in groups (full, i, j) of two blocks i <= j of a key, or one with itself (``side`` tells them apart), such that every pair
     with a cosine distance up to ``limit`` is together in one group.
 
-    Rows of keys beyond one block are dealt into cells by the nearest of some pivots, and cells into blocks by a hash. Angles obey the triangle
+    Rows of keys beyond one block are dealt into cells by the nearest of some pivots, and cells into blocks by a hash. A block has ``block`` rows, or a
+    share of 1 / MOST_BLOCKS of its key's (1 / COPIES where cells don't help), so that the copies of a row don't grow with the rows. Angles obey the triangle
     inequality: with D between two pivots, and the angles of the cells' rows to their own pivots from lo to hi, two rows are D - hi - hi' apart at least, and
     lo - D - hi' (or the other way round). Cells that can't hold a pair under the limit never meet, whatever they hold; rows without a direction
     are a cell that meets all.
     """
     base = base.withColumn("cell", F.lit(0).cast("long")).withColumn("angle", F.lit(None).cast("double"))
     counts = base.groupBy(*full).agg(F.count("*").alias("n"))
-    large = written(counts.where(F.col("n") > block), "large-keys")
+    size = lambda blocks: F.greatest(F.lit(block), F.least(F.ceil(F.col("n") / blocks), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim"))))).cast("long")
+    large = written(counts.where(F.col("n") > block).withColumn("size", size(MOST_BLOCKS)), "large-keys")
     if large.isEmpty():
         return base.select(*full, "id", "vec", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
-    pivots = _pivots(base, large, block)
+    pivots = _pivots(base, large)
     held = base.sparkSession.sparkContext.broadcast(pivots)  # DIMS * SAMPLE_BYTES at most
 
     def place(batches):
@@ -216,7 +251,8 @@ def blocks_that_meet(base: DataFrame, full: list[str], limit: float, block: int)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     moved = written(base.join(large, full, "left_semi").select(*base.columns).mapInPandas(place, schema).withColumn("angle", F.when(~F.isnan("angle"), F.col("angle"))), "placed")
     rest = base.join(large, full, "left_anti").select(*base.columns)
-    cells = moved.groupBy(*full, "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("subs"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+    cells = moved.groupBy(*full, "cell").agg(F.count("*").alias("rows"), F.min("angle").alias("lo"), F.max("angle").alias("hi")).join(large, full)
+    cells = cells.select(*full, "cell", "rows", F.ceil(F.col("rows") / F.col("size")).cast("int").alias("subs"), "lo", "hi")
     cells = written(cells, "cells")  # PIVOTS + 1 a key at most
     apart = [(int(dim), p, q, float(np.arccos(np.clip(m[p] @ m[q], -1, 1)))) for dim, m in pivots.items() for p in range(len(m)) for q in range(len(m)) if p != q]
     between = base.sparkSession.createDataFrame(apart, "dim int, cell long, other long, between double")
@@ -226,7 +262,13 @@ def blocks_that_meet(base: DataFrame, full: list[str], limit: float, block: int)
     least = F.greatest(F.col("between") - F.col("hi") - F.col("other_hi"), F.col("lo") - F.col("between") - F.col("other_hi"), F.col("other_lo") - F.col("between") - F.col("hi"))
     no_bound = F.col("lo").isNull() | F.col("other_lo").isNull()
     met = met.where((F.col("cell") == F.col("other")) | no_bound | (least <= reach) | F.lit(limit >= 2))
-    met = met.groupBy(*full, "cell").agg(F.max("subs").alias("subs"), F.collect_list(F.struct("other", F.col("other_subs").alias("subs"))).alias("others"))
+    met = written(met, "met")  # the square of a key's cells at most
+    alike = met.groupBy(*full).agg(F.sum(F.col("rows") * F.col("other_subs")).alias("copies")).join(large, full).where(F.col("copies") > COPIES * F.col("n"))
+    alike = written(alike.select(*full, F.ceil(F.col("n") / size(COPIES)).cast("int").alias("subs")), "alike")
+    met = met.join(alike, full, "left_anti").groupBy(*full, "cell").agg(F.max("subs").alias("subs"), F.collect_list(F.struct("other", F.col("other_subs").alias("subs"))).alias("others"))
+    none = F.lit(0).cast("long")
+    met = met.unionByName(alike.select(*full, none.alias("cell"), "subs", F.array(F.struct(none.alias("other"), "subs")).alias("others")))
+    moved = moved.join(alike, full, "left").withColumn("cell", F.when(F.col("subs").isNotNull(), none).otherwise(F.col("cell"))).drop("subs")
     name = lambda cell, sub: cell * F.lit(1 << 32) + sub
     # a cell can hold a third of all rows; the join deals it out in pieces
     dealt = moved.hint("merge").join(met, [*full, "cell"]).withColumn("at", name(F.col("cell"), F.pmod(F.xxhash64("id"), F.col("subs"))))
@@ -238,8 +280,8 @@ def blocks_that_meet(base: DataFrame, full: list[str], limit: float, block: int)
 def cosine_pairs(rows: DataFrame, limit: float, inclusive: bool = False, keys: tuple[str, ...] = ("kind",), block: int = BLOCK, spanning: dict[str, float] | None = None) -> DataFrame:
     """(keys, a, b, distance) of pairs a < b of one key and length with cosine distance under (or at) the limit.
 
-    ``rows``: keys, id, vec. Every pair of blocks that can hold such a pair (:func:`blocks_that_meet`) is one task: one block against another. With
-    ``spanning``, limits by the first key's value ("" for others), a task gives back only as many of its pairs under that as connect what they all connect, fewer than
+    ``rows``: keys, id, vec. A task takes pairs of blocks that can hold such a pair (:func:`blocks_that_meet`) one after another: it holds one block and streams
+    the other past it, so its memory grows with neither the rows nor the pairs. With ``spanning``, limits by the first key's value ("" for others), a task gives back only as many of its pairs under that as connect what they all connect, fewer than
     it has rows: all that components need, however dense the pairs are.
     """
     ship(rows.sparkSession)
@@ -247,33 +289,63 @@ def cosine_pairs(rows: DataFrame, limit: float, inclusive: bool = False, keys: t
     # a null key is a key; vectors are only held against vectors of their length
     base = written(rows.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys], "id", F.col("vec").cast("array<double>").alias("vec"), F.size("vec").alias("dim")).where("dim > 0"), "vectors")
 
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = pdf["i"].iat[0] == pdf["j"].iat[0]
-        p, q = pdf[pdf["side"] == 0], pdf[pdf["side"] == (0 if same else 1)]
-        out = pdf.iloc[:0][[*keys]].assign(a=pd.Series(dtype="int64"), b=pd.Series(dtype="int64"), distance=pd.Series(dtype="float64"))
-        if p.empty or q.empty:
-            return out
-        d = 1 - _matrix(p["vec"]) @ _matrix(q["vec"]).T
-        a, b = p["id"].to_numpy(), q["id"].to_numpy()
+    names = [*keys, "a", "b", "distance"]
+    schema = pa.schema([(k, pa.string()) for k in keys] + [("a", pa.int64()), ("b", pa.int64()), ("distance", pa.float64())])
+
+    def met(at: tuple, own: np.ndarray, u: np.ndarray, ids: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of some rows with a block (where they are its last rows: with those before them)."""
+        d = 1 - u @ block.T
         keep = (d <= limit) if inclusive else (d < limit)
-        if spanning is not None:
-            keep &= d < spanning.get(pdf[keys[0]].iat[0], spanning[""])
-            if same:
-                np.fill_diagonal(keep, False)
-            x, y = _spanning(keep)
-            away = a[x] != b[y]
-            x, y = x[away], y[away]
-        else:
-            if same:
-                keep &= a[:, None] < b[None]
+        if spanning is None:
+            keep &= own[:, None] != ids[None]
+            if at[-2] == at[-1]:
+                keep &= np.arange(len(ids))[None] < np.arange(len(ids) - len(own), len(ids))[:, None]
             x, y = np.nonzero(keep)
-        found = pd.DataFrame({"a": np.minimum(a[x], b[y]), "b": np.maximum(a[x], b[y]), "distance": d[x, y]})
-        for k in keys:
-            found[k] = pdf[k].iat[0]
-        return found[[*keys, "a", "b", "distance"]]
+        else:
+            keep &= (d < spanning.get(at[0], spanning[""])) & (own[:, None] != ids[None])
+            x, y = _spanning(keep)
+        return np.minimum(own[x], ids[y]), np.maximum(own[x], ids[y]), d[x, y]
+
+    def told(at: tuple, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(at[k], pa.string()), len(a)) for k in range(len(keys))] + [pa.array(a), pa.array(b), pa.array(distance)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, links, filled, ids, block = None, _Links(), 0, np.empty(0, np.int64), np.empty((0, 0))
+        for batch in batches:
+            marks = list(zip(*(batch.column(c).to_pylist() for c in (*full, "i", "j", "side"))))
+            own_ids, flat, start = batch.column("id").to_numpy(), batch.column("vec"), 0
+            while start < len(marks):
+                at, side = marks[start][:-1], marks[start][-1]
+                if at != place:
+                    if len(links):
+                        yield told(place, *links.all())
+                    place, links, filled = at, _Links(), 0
+                end, most = start + 1, max(64, min(BLOCK, TILE // max(1, filled)))
+                while end < len(marks) and end - start < most and marks[end] == marks[start]:
+                    end += 1
+                own = own_ids[start:end]
+                u = _matrix(flat.slice(start, end - start).flatten().to_numpy(zero_copy_only=False).reshape(end - start, -1))
+                if side == 0:
+                    if not filled or filled + len(own) > len(ids) or block.shape[1] != u.shape[1]:  # room for twice as many
+                        more = max(BLOCK, 2 * (filled + len(own)))
+                        ids, block = np.concatenate([ids[:filled], np.empty(more - filled, np.int64)]), np.concatenate([block[:filled].reshape(filled, u.shape[1]), np.empty((more - filled, u.shape[1]))])
+                    ids[filled : filled + len(own)], block[filled : filled + len(own)] = own, u
+                    filled += len(own)
+                if filled and (side or at[-2] == at[-1]):
+                    found = met(at, own, u, ids[:filled], block[:filled])
+                    if spanning is not None:
+                        links.add(*found)
+                    elif len(found[0]):
+                        yield told(at, *found)
+                start = end
+        if len(links):
+            yield told(place, *links.all())
 
     types = ", ".join(f"{k} string" for k in keys)
-    return blocks_that_meet(base, full, limit, block).groupBy(*full, "i", "j").applyInPandas(near, f"{types}, a long, b long, distance double")
+    group = [*full, "i", "j"]
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks_that_meet(base, full, limit, block).select(*group, "side", "id", "vec").repartition(tasks, *group).sortWithinPartitions(*group, "side")
+    return dealt.mapInArrow(run, f"{types}, a long, b long, distance double").select(*names)
 
 
 def nearest_two(faces: DataFrame, persons: DataFrame, by_model: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -65,3 +65,24 @@ def test_lengths_and_null_vectors(spark):
     got = {(r["a"], r["b"]) for r in S.cosine_pairs(df, 1e-9, block=8).collect()}
     assert got == {(i, j) for i in range(30) for j in range(i + 1, 30) if i % 3 == j % 3} | {(100 + i, 100 + j) for i in range(30) for j in range(i + 1, 30) if i % 3 == j % 3}
     assert S.cosine_pairs(df.limit(0), 0.5).isEmpty()
+
+
+@pytest.mark.parametrize("n", [600, 1200])
+def test_copies_of_a_row_do_not_grow_with_the_rows(spark, n):
+    v = np.random.default_rng(3).normal(size=(n, 8))
+    base = rows_of(spark, v).withColumn("dim", F.size("vec"))
+    assert S.blocks_that_meet(base, ["kind", "dim"], 1.9, 4).count() <= S.COPIES * n
+
+
+def test_a_task_streams_its_blocks(spark, monkeypatch):
+    """Pieces of a few rows against blocks of many: all pairs once, and links that connect what all pairs connect, fewer than the rows of each pair of blocks."""
+    monkeypatch.setattr(S, "TILE", 1)
+    rng = np.random.default_rng(6)
+    v = clustered(rng, 5, 80, 12, 0.04)
+    kinds = ["human"] * len(v)
+    df = rows_of(spark, v)
+    got = [(r["a"], r["b"]) for r in S.cosine_pairs(df, 0.3, block=150).collect()]
+    want = brute(v, kinds, 0.3, False)
+    assert len(got) == len(want) and set(got) == want
+    links = [(r["a"], r["b"]) for r in S.cosine_pairs(df, 0.3, spanning={"": 0.3}).collect()]
+    assert len(links) == len(v) - 5 and set(links) <= want
