@@ -18,7 +18,7 @@ from ..functions.vectors import centroids
 from ..tables import ship, written
 from .browse import majority
 from .graph import components
-from .linkage import average_linkage_by_rounds
+from .linkage import BLOCK_ROWS, PART, average_linkage_by_rounds
 from .order import numbered
 from .similarity import cosine_pairs, nearest_two
 
@@ -193,9 +193,9 @@ def threshold_of(kind: Column, config: Config, ratio: float = 1.0) -> Column:
     return F.when(kind == "human", config.threshold * ratio).otherwise(config.pet_threshold * ratio)
 
 
-def cluster(faces: DataFrame, constraints: DataFrame | None, config: Config, large: int = LARGE) -> DataFrame:
+def cluster(faces: DataFrame, constraints: DataFrame | None, config: Config, large: int = LARGE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, kind, model, dim, grp) of usable faces: ``grp`` is the smallest face id of its average-linkage group. Components of more than
-    ``large`` faces are never in one task."""
+    ``large`` faces go by rounds, where no task has more than ``block_rows`` of their clusters at once."""
     ship(faces.sparkSession)
     base = written(faces.select("id", *KEYS, "dim", "vec"), "faces")
     most = max(config.threshold, config.pet_threshold)
@@ -210,11 +210,17 @@ def cluster(faces: DataFrame, constraints: DataFrame | None, config: Config, lar
     found = components(edges)
     alone = base.join(found, "id", "left_anti").select("id", *KEYS, "dim", F.col("id").alias("grp"))
     rows = base.join(found, "id").select("component", "id", *KEYS, "dim", "vec")
-    giants = written(found.groupBy("component").count().where(F.col("count") > large).select("component"), "giants")
+    giants = written(found.groupBy("component").count().where(F.col("count") > large), "giants")
     if not giants.isEmpty():
-        many = written(rows.join(giants, "component", "left_semi"), "giant-faces")
+        many = written(rows.join(giants.select("component"), "component", "left_semi"), "giant-faces")
         rows, found = rows.join(giants, "component", "left_anti"), found.join(giants, "component", "left_anti")
-        grouped = average_linkage_by_rounds(many, None if constraints is None else own, threshold_of(F.col("kind"), config))
+        parts = None
+        if not giants.where(F.col("count") > block_rows).isEmpty():
+            closer = {"human": config.threshold * PART, "": config.pet_threshold * PART}
+            tight = cosine_pairs(many, most * PART, keys=(*KEYS, "component"), spanning=closer).select("a", "b")
+            linked = components(tight if constraints is None else tight.union(own.where("link = 'mustLink'").select("face_a", "face_b")))
+            parts = many.select("id").join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("part"))
+        grouped = average_linkage_by_rounds(many, None if constraints is None else own, threshold_of(F.col("kind"), config), block_rows, parts)
         alone = alone.unionByName(many.join(grouped, "id").select("id", *KEYS, "dim", "grp"))
     schema = "id long, kind string, model string, dim int, grp long"
 

@@ -6,6 +6,9 @@ its parts), also with barred pairs at an infinite distance, which a merged clust
 nearest may merge at once, in one round, and the groups are those of merging the closest pair of all again and again. Only clusters that merged,
 or whose nearest did, look for a nearest one again.
 
+A component of no more clusters than a block goes through all of its rounds in one task. Of a larger one, that happens first to its parts that no pair under
+half of its limit connects, up to that half; rounds over blocks go on only while it has more clusters than a block.
+
 A search holds one block of clusters in a task and streams those that ask past it. Ties go to the smaller id, so there is always a pair to merge while
 any distance is under the limit; among equal distances the order of merges can differ from that of one matrix.
 """
@@ -25,7 +28,9 @@ from ..tables import discard, ship, written
 from .graph import components
 
 #: Clusters of a block, and of those that ask at once.
-BLOCK_ROWS, ASKING = 2048, 512
+BLOCK_ROWS, ASKING = 8192, 512
+#: Share of its limit up to which parts of a large component are grouped by themselves.
+PART = 0.5
 
 
 def held_together(must: list[tuple[int, int]], cannot: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -126,11 +131,137 @@ def nearest_clusters(clusters: DataFrame, asking: DataFrame, block_rows: int = B
     return each.groupBy("id").agg(F.min(F.struct("distance", "near")).alias("best")).select("id", "best.near", "best.distance")
 
 
-def average_linkage_by_rounds(members: DataFrame, constraints: DataFrame | None, limit: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
+class _Clusters:
+    """Clusters of one component in a task: sums, sizes, ids that ascend, and those that each is barred from."""
+
+    def __init__(self, ids: np.ndarray, totals: np.ndarray, n: np.ndarray, barred: list[set[int]]) -> None:
+        self.ids, self.totals, self.n = ids, totals, n.astype(float)
+        at = {v: k for k, v in enumerate(ids.tolist())}
+        self.barred = [{at[x] for x in b if x in at} for b in barred]
+        self.alive = np.ones(len(ids), bool)
+        self.near, self.distance = np.full(len(ids), -1), np.full(len(ids), np.inf)
+
+    def look(self, asking: np.ndarray, limit: float) -> None:
+        """The nearest under the limit of each of ``asking``, the first of equals."""
+        alive = np.flatnonzero(self.alive)
+        place = np.full(len(self.ids), -1)
+        place[alive] = np.arange(len(alive))
+        means = self.totals[alive] / self.n[alive, None]
+        for start in range(0, len(asking), ASKING):
+            some = asking[start : start + ASKING]
+            d = 1 - means[place[some]] @ means.T
+            d[np.arange(len(some)), place[some]] = np.inf
+            for k, i in enumerate(some.tolist()):
+                if self.barred[i]:
+                    d[k, place[list(self.barred[i])]] = np.inf
+            at = d.argmin(1)
+            least = d[np.arange(len(some)), at]
+            self.near[some], self.distance[some] = np.where(least < limit, alive[at], -1), np.where(least < limit, least, np.inf)
+
+    def merge(self, i: int, j: int) -> None:
+        self.totals[i] += self.totals[j]
+        self.n[i] += self.n[j]
+        self.alive[j] = False
+        for k in self.barred[j]:
+            self.barred[k].discard(j)
+            self.barred[k].add(i)
+        self.barred[i] |= self.barred[j]
+        self.barred[j] = set()
+
+    def rounds(self, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (a, b) where b has become part of a, after all merges under the limit."""
+        into = np.arange(len(self.ids))
+        asking = np.flatnonzero(self.alive)
+        while len(asking):
+            self.look(asking, limit)
+            rows = np.flatnonzero(self.alive & (self.near >= 0))
+            pairs = [(i, j) for i, j in zip(rows.tolist(), self.near[rows].tolist()) if i < j and self.near[j] == i]
+            if not pairs and len(rows):  # equal distances that were computed with different last digits
+                i = int(rows[self.distance[rows].argmin()])
+                pairs = [(min(i, int(self.near[i])), max(i, int(self.near[i])))]
+            changed = np.zeros(len(self.ids), bool)
+            for i, j in pairs:
+                self.merge(i, j)
+                into[j] = i
+                changed[[i, j]] = True
+            asking = np.flatnonzero(self.alive & (changed | ((self.near >= 0) & changed[self.near]))) if pairs else rows[:0]
+        while (into != into[into]).any():
+            into = into[into]
+        gone = np.flatnonzero(~self.alive)
+        return self.ids[into[gone]], self.ids[gone]
+
+
+def _with_bars(clusters: DataFrame, barred: DataFrame | None) -> DataFrame:
+    """Clusters with the ids that each is ``barred`` from."""
+    none = F.array().cast("array<long>")
+    if barred is None:
+        return clusters.withColumn("barred", none)
+    return clusters.join(barred.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("barred")), "id", "left").withColumn("barred", F.coalesce("barred", none))
+
+
+def merges_in_tasks(clusters: DataFrame, barred: DataFrame | None) -> DataFrame:
+    """(a, b), where b becomes part of a, after all merges of each component of the ``clusters`` (component, id, limit, n, total), a task for a component."""
+    ship(clusters.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        bars = [set(x.tolist() if isinstance(x, np.ndarray) else x) for x in pdf["barred"]]
+        a, b = _Clusters(pdf["id"].to_numpy(), np.stack(pdf["total"].tolist()), pdf["n"].to_numpy(), bars).rounds(float(pdf["limit"].iat[0]))
+        return pd.DataFrame({"a": a, "b": b})
+
+    return _with_bars(clusters, barred).groupBy("component").applyInPandas(run, "a long, b long")
+
+
+def _into(pairs: DataFrame) -> DataFrame:
+    """(id, into) of all clusters of merges (a, b), where no a is another's b."""
+    return pairs.select(F.col("b").alias("id"), F.col("a").alias("into")).union(pairs.select("a", "a").distinct())
+
+
+def _all_rounds(clusters: DataFrame, barred: DataFrame | None, block_rows: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """``clusters`` (component, id, limit, n, total) and ``barred`` (a, b) after all merges under their limits, and the tables of merges (a, b)."""
+    merges = []  # a table a round
+    near, done, rest = None, None, clusters
+    while True:
+        sizes = written(rest.groupBy("component").agg(F.count("*").alias("clusters")), "sizes")
+        large = sizes.where(F.col("clusters") > block_rows).select("component")
+        small = sizes.where(f"clusters <= {block_rows}")
+        if not small.isEmpty():
+            few, rest = rest.join(small.select("component"), "component", "left_semi"), rest.join(large, "component", "left_semi")
+            pairs = written(merges_in_tasks(few.join(small.where("clusters > 1").select("component"), "component", "left_semi"), barred), "merges")
+            if not pairs.isEmpty():
+                merges.append(pairs)
+                few, barred = _merged(few, barred, _into(pairs))
+            done = few if done is None else done.unionByName(few)
+        if large.isEmpty():
+            break
+        # clusters that merged, or whose nearest did, ask again
+        asking = rest if near is None else rest.join(near.select("id"), "id", "left_anti")
+        found = nearest_clusters(rest, _with_bars(asking, barred).select("component", "id", "n", "total", "barred"), block_rows)
+        # one without a nearest under its limit has none from now on: merged clusters are no nearer
+        found = asking.select("id", "limit").join(found, "id", "left").select("id", F.when(F.col("distance") < F.col("limit"), F.col("near")).alias("near"), "distance")
+        near = written(found if near is None else near.unionByName(found), "nearest")
+        back = near.select(F.col("id").alias("near"), F.col("near").alias("back"))
+        pairs = written(near.where("id < near").join(back, "near").where("back = id").select(F.col("id").alias("a"), F.col("near").alias("b")), "merges")
+        if pairs.isEmpty():
+            # equal distances that were computed with different last digits
+            closest = near.where("near IS NOT NULL").join(rest, "id", "left_semi").orderBy("distance", "id").limit(1)
+            pairs = written(closest.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")), "merges")
+            if pairs.isEmpty():
+                done = rest if done is None else done.unionByName(rest)
+                break
+        merges.append(pairs)
+        rest, barred = _merged(rest, barred, _into(pairs))
+        gone = written(_into(pairs).select("id"), "gone")
+        near = near.join(gone, "id", "left_anti").join(gone.toDF("near"), "near", "left_anti").select("id", "near", "distance")
+    return done, barred, merges
+
+
+def average_linkage_by_rounds(members: DataFrame, constraints: DataFrame | None, limit: Column, block_rows: int = BLOCK_ROWS, parts: DataFrame | None = None) -> DataFrame:
     """(id, grp): ``grp`` is the smallest id of the average-linkage group of each of ``members`` (component, id, kind, vec), whose components
-    stay apart, under ``limit`` (of ``kind``) and ``constraints`` (face_a, face_b, link, id)."""
+    stay apart, under ``limit`` (of ``kind``) and ``constraints`` (face_a, face_b, link, id). ``parts`` (id, part) of components, which no pair under PART of the
+    limit and no must-link connects, are grouped up to that first."""
     faces = written(members.select("component", "id", limit.alias("limit"), l2_normalized(F.col("vec")).alias("total"), F.lit(1).cast("long").alias("n")), "linkage-faces")
-    merges = []  # tables of (a, b), a round each
+    merges = []  # tables of (a, b)
     clusters, barred = faces, None
     if constraints is not None:
         known = faces.select("id")
@@ -142,30 +273,12 @@ def average_linkage_by_rounds(members: DataFrame, constraints: DataFrame | None,
         if not first.isEmpty():
             merges.append(first)
             clusters, barred = _merged(clusters, barred, components(first).select("id", F.col("component").alias("into")))
-    near = None
-    while True:
-        # clusters that merged, or whose nearest did, ask again
-        asking = clusters if near is None else clusters.join(near.select("id"), "id", "left_anti")
-        bars = F.array().cast("array<long>").alias("barred")
-        if barred is not None:
-            asking = asking.join(barred.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("barred")), "id", "left")
-            bars = F.coalesce("barred", F.array().cast("array<long>")).alias("barred")
-        found = nearest_clusters(clusters, asking.select("component", "id", "n", "total", bars), block_rows)
-        # one without a nearest under its limit has none from now on: merged clusters are no nearer
-        found = asking.select("id", "limit").join(found, "id", "left").select("id", F.when(F.col("distance") < F.col("limit"), F.col("near")).alias("near"), "distance")
-        near = written(found if near is None else near.unionByName(found), "nearest")
-        back = near.select(F.col("id").alias("near"), F.col("near").alias("back"))
-        pairs = written(near.where("id < near").join(back, "near").where("back = id").select(F.col("id").alias("a"), F.col("near").alias("b")), "merges")
-        if pairs.isEmpty():
-            break
-        merges.append(pairs)
-        moved = pairs.select(F.col("b").alias("id"), F.col("a").alias("into")).union(pairs.select("a", "a"))
-        before = clusters
-        clusters, barred = _merged(clusters, barred, moved)
-        gone = written(moved.select("id"), "gone")
-        near = near.join(gone, "id", "left_anti").join(gone.toDF("near"), "near", "left_anti").select("id", "near", "distance")
-        if before is not faces:
-            discard(before)
+    if parts is not None:
+        own_parts = clusters.join(parts, "id").select(F.col("part").alias("component"), "id", (F.col("limit") * PART).alias("limit"), "total", "n")
+        clusters, barred, made = _all_rounds(written(own_parts, "parts"), barred, block_rows)
+        clusters = written(clusters.select("id", "total", "n").join(faces.select("component", "id", "limit"), "id"), "clusters")
+        merges += made
+    merges += _all_rounds(clusters, barred, block_rows)[2]
     if not merges:
         return faces.select("id", F.col("id").alias("grp"))
     edges = merges[0]

@@ -180,6 +180,23 @@ def test_a_chain_by_rounds_holds_blocks(spark, monkeypatch):
     assert got == {k: firsts[int(whole[k])] for k in range(n)} and len(firsts) > 1
 
 
+@pytest.mark.parametrize("block_rows", [None, 100])
+def test_a_dense_component_takes_few_rounds(spark, monkeypatch, block_rows):
+    """Three dense groups and faces between them are one component: it, or each part of it, goes through its rounds in one task, not in a job a round."""
+    rng = np.random.default_rng(9)
+    centres = np.eye(24)[:3]
+    v = np.concatenate([c + rng.normal(0, 0.05, (60, 24)) for c in centres] + [(centres[[0, 1]] + centres[[1, 2]]) / 2])
+    assert ((1 - (u := v / np.linalg.norm(v, axis=1, keepdims=True)) @ u.T) < 0.4)[-2:, :-2].sum() > 2
+    searches, search = [], L.nearest_clusters
+    monkeypatch.setattr(L, "nearest_clusters", lambda *a: searches.append(1) or search(*a))
+    rows = [(k + 1, x, None, "m", None) for k, x in enumerate(v)]
+    links = spark.createDataFrame([(1, 1, 100, "cannotLink", 0.0), (2, 5, 9, "cannotLink", 0.0), (3, 7, 8, "mustLink", 0.0)], schema("face_constraint"))
+    own = {} if block_rows is None else {"block_rows": block_rows}
+    got = {r["id"]: r["grp"] for r in C.cluster(C.usable(faces(spark, rows)), links, C.Config(), large=3, **own).collect()}
+    labels = C.average_linkage(v, 0.4, [(6, 7)], [(0, 99), (4, 8)])
+    assert got == {k + 1: int(np.flatnonzero(labels == labels[k])[0]) + 1 for k in range(len(v))} and len(searches) <= 3
+
+
 def test_the_largest_group_claims_a_person(spark):
     groups = spark.createDataFrame([(k, "human", 10 if k < 13 else 20 if k < 15 else 30) for k in range(10, 18)], "id long, kind string, grp long")
     faces = spark.createDataFrame([(k, 7 if k < 17 else None) for k in range(10, 18)], "id long, person_id long")
