@@ -163,40 +163,58 @@ def five_points(left_eye: Column, right_eye: Column, nose: Column, lips: Column,
     return F.when(le.isNotNull() & re.isNotNull(), F.array(le, re, F.coalesce(mean(nose), between), F.coalesce(corner(1), le), F.coalesce(corner(-1), re)))
 
 
-def similarity_transform(source: np.ndarray, target: np.ndarray) -> np.ndarray | None:
-    """(a, b, tx, ty) of the least-squares rotation, scale and shift of points onto points; null for fewer than two or where points coincide.
+def similarity_transforms(source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """(a, b, tx, ty) of the least-squares rotation, scale and shift of each row of points (rows, points, 2) onto points; NaN for fewer than two or where
+    points coincide.
 
     x' = a x - b y + tx, y' = b x + a y + ty. In centred complex numbers the fit is one division.
     """
     p, q = np.asarray(source, float), np.asarray(target, float)
-    if p.shape != q.shape or len(p) < 2:
-        return None
+    if p.shape[1] < 2:
+        return np.full((len(p), 4), np.nan)
     z, w = p @ [1, 1j], q @ [1, 1j]
-    centred = z - z.mean()
-    spread = float((np.abs(centred) ** 2).sum())
-    if spread <= PIVOT:
+    middle, goal = z.mean(1), w.mean(-1)
+    centred = z - middle[:, None]
+    spread = (np.abs(centred) ** 2).sum(1)
+    spread = np.where(spread > PIVOT, spread, np.nan)
+    with np.errstate(invalid="ignore"):
+        turn = (np.conj(centred) * (w - goal[..., None])).sum(1) / spread
+        shift = goal - turn * middle
+    return np.stack([turn.real, turn.imag, shift.real, shift.imag], 1)
+
+
+def similarity_transform(source: np.ndarray, target: np.ndarray) -> np.ndarray | None:
+    """:func:`similarity_transforms` of one set of points; null where there is no fit."""
+    p, q = np.asarray(source, float), np.asarray(target, float)
+    if p.shape != q.shape or len(p) < 2:
         return None
-    turn = (np.conj(centred) * (w - w.mean())).sum() / spread
-    shift = w.mean() - turn * z.mean()
-    return np.array([turn.real, turn.imag, shift.real, shift.imag])
+    fit = similarity_transforms(p[None], q)[0]
+    return None if np.isnan(fit).any() else fit
 
 
-def template_transform(points: np.ndarray, width: int, height: int, side: int = TEMPLATE_SIDE) -> np.ndarray | None:
-    """The transform of five face landmarks (unit, top-left origin) or three pet joints (unit, bottom-left origin) onto the template.
+def template_transforms(points: np.ndarray, width: int, height: int, side: int = TEMPLATE_SIDE) -> np.ndarray:
+    """The transforms of five face landmarks each (unit, top-left origin) or three pet joints (unit, bottom-left origin) onto the template: rows of
+    (a, b, tx, ty), as :func:`similarity_transforms`.
 
     Eyes and mouth corners are taken by their x. Both sides count from the bottom left, in pixels.
     """
-    p = np.asarray(points, float).copy()
-    face = len(p) == 5
+    p = np.array(points, float)
+    face = p.shape[1] == 5
     for a, b in ((0, 1), (3, 4)) if face else ((0, 1),):
-        if p[a, 0] > p[b, 0]:
-            p[[a, b]] = p[[b, a]]
+        swap = p[:, a, 0] > p[:, b, 0]
+        p[swap, a], p[swap, b] = p[swap, b], p[swap, a]
     if face:
-        p[:, 1] = 1 - p[:, 1]
+        p[:, :, 1] = 1 - p[:, :, 1]
     scale = side / TEMPLATE_SIDE
     goal = np.array(FACE_TEMPLATE if face else PET_TEMPLATE) * scale
     goal[:, 1] = side - goal[:, 1]
-    return similarity_transform(p * [width, height], goal)
+    return similarity_transforms(p * [width, height], goal)
+
+
+def template_transform(points: np.ndarray, width: int, height: int, side: int = TEMPLATE_SIDE) -> np.ndarray | None:
+    """:func:`template_transforms` of one face or pet; null where there is no fit."""
+    fit = template_transforms(np.asarray(points, float)[None], width, height, side)[0]
+    return None if np.isnan(fit).any() else fit
 
 
 def warp(image: np.ndarray, transform: np.ndarray, side: int) -> np.ndarray:

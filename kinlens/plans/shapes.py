@@ -61,15 +61,13 @@ _W, _H = 640, 480
 def _fits(batches):
     """(id, a, b, tx, ty) of each face's or pet's points onto the template; of even ids the pairs come the other way round."""
     for pdf in batches:
-        out = []
-        for i in pdf["id"].tolist():
-            base = np.array(PET_POINTS if i % 3 == 0 else FACE_POINTS)
+        for pet, base, turned in ((False, FACE_POINTS, [1, 0, 2, 4, 3]), (True, PET_POINTS, [1, 0, 2])):
+            i = pdf["id"].to_numpy()
+            i = i[(i % 3 == 0) == pet]
             k = np.arange(len(base))
-            p = base + np.stack([i * (k + 3) % 17, i * (k + 5) % 13], 1) / 200
-            if i % 2 == 0:
-                p = p[[1, 0, 2] if len(p) == 3 else [1, 0, 2, 4, 3]]
-            out.append((i, *I.template_transform(p, _W, _H).tolist()))
-        yield pd.DataFrame(out, columns=["id", "a", "b", "tx", "ty"])
+            p = np.array(base) + np.stack([i[:, None] * (k + 3) % 17, i[:, None] * (k + 5) % 13], 2) / 200
+            p[i % 2 == 0] = p[i % 2 == 0][:, turned]
+            yield pd.DataFrame(I.template_transforms(p, _W, _H), columns=["a", "b", "tx", "ty"]).assign(id=i)[["id", "a", "b", "tx", "ty"]]
 
 
 def _values(points, template) -> str:

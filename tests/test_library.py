@@ -94,6 +94,24 @@ def test_alignment():
     assert np.allclose(I.warp(image, np.array([1.0, 0, 0, 0]), 112), image)
 
 
+@pytest.mark.parametrize("k", [5, 3])
+def test_transforms_of_many_are_those_of_each(k):
+    rng = np.random.default_rng(k)
+    many = rng.random((40, k, 2))
+    many[7] = 0.5  # all points coincide
+    got = I.template_transforms(many, 640, 480)
+    assert np.isnan(got[7]).all() and I.template_transform(many[7], 640, 480) is None
+    for j in [*range(7), *range(8, 40)]:
+        p = many[j].copy()
+        for a, b in ((0, 1), (3, 4))[: 2 if k == 5 else 1]:
+            p[[a, b]] = p[sorted((a, b), key=lambda x: p[x, 0])]
+        goal = np.array(I.FACE_TEMPLATE if k == 5 else I.PET_TEMPLATE, float)
+        (x, y), (u, v) = (p * [640, 480] if k == 3 else np.stack([p[:, 0] * 640, (1 - p[:, 1]) * 480], 1)).T, np.stack([goal[:, 0], I.TEMPLATE_SIDE - goal[:, 1]])
+        system = np.concatenate([np.stack([x, -y, x * 0 + 1, x * 0], 1), np.stack([y, x, x * 0, x * 0 + 1], 1)])
+        assert np.allclose(np.linalg.lstsq(system, np.concatenate([u, v]), rcond=None)[0], got[j])
+
+
+
 def test_five_points(spark):
     pts = lambda *x: F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in x])
     none = F.array().cast("array<struct<x:double,y:double>>")
