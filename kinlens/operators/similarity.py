@@ -25,18 +25,21 @@ from .order import numbered
 MAX_HAMMING = 6
 BITS = 64
 #: Rows of a block of vectors; where a key would have more blocks than MOST_BLOCKS, its blocks grow instead, up to so many bytes, since every row is sent to as many.
-#: A key whose rows would be sent to more than COPIES blocks each though far ones never meet has COPIES blocks without cells.
-BLOCK, MOST_BLOCKS, COPIES, BLOCK_BYTES = 2048, 48, 16, 64 << 20
+#: A key has COPIES blocks without cells at most; it has these where its rows would be sent to more blocks each with cells, though far ones never meet.
+BLOCK, MOST_BLOCKS, COPIES, BLOCK_BYTES = 2048, 32, 16, 64 << 20
 #: Distances that a task has at once.
 TILE = 2 << 20
 #: Centroids up to this many bytes are sent to every task; more are joined in blocks.
 BROADCAST_BYTES = 64 << 20
 #: Faces of a task that meet a block of centroids.
 FACES = 16_384
-#: Pivots of a length of vectors, the lengths that have some, and the sample that they are chosen from, at most.
-PIVOTS, DIMS, SAMPLE_ROWS, SAMPLE_BYTES = 256, 8, 4096, 8 << 20
-#: Radians by which computed angles can be off, with room.
+#: Pivots of a length of vectors (twice MOST_BLOCKS, so that a cell of twice the mean is one block), the lengths that have some, and the sample that they are
+#: chosen from, at most; rows for each pivot, at least.
+PIVOTS, DIMS, SAMPLE_ROWS, SAMPLE_BYTES, PIVOT_ROWS = 64, 8, 4096, 8 << 20, 16
+#: By how much computed angles (radians) and distances can be off, with room.
 SLACK = 1e-6
+#: Pivots closer than this have no plane between them that rows could be told apart by.
+SAME = 1e-3
 
 
 def hamming_keys(n: int, most: int) -> tuple[int, int]:
@@ -192,6 +195,17 @@ def farthest_first(m: np.ndarray, n: int) -> np.ndarray:
     return m[chosen]
 
 
+def centred(m: np.ndarray, pivots: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """The pivots, moved to the middle of the unit rows of ``m`` that they are nearest to."""
+    for _ in range(rounds):
+        best = (m @ pivots.T).argmax(1)
+        sums = np.zeros_like(pivots)
+        np.add.at(sums, best, m)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        pivots = np.where(norms > 1e-3, sums / np.maximum(norms, 1e-3), pivots)
+    return pivots
+
+
 def _units(vectors: pd.Series) -> np.ndarray:
     """As :func:`_matrix`, with null rows (NaN) for what has no direction."""
     m = _matrix(vectors)
@@ -203,76 +217,92 @@ def _units(vectors: pd.Series) -> np.ndarray:
 def _pivots(base: DataFrame, large: DataFrame) -> dict[int, np.ndarray]:
     """Pivots by length of vectors: no more than PIVOTS each, from SAMPLE_ROWS rows and SAMPLE_BYTES at most, for the DIMS lengths of most rows; other lengths go
     without, and all their blocks meet."""
-    lengths = large.groupBy("dim").agg(F.sum("n").alias("n"), F.min("size").alias("size")).orderBy(F.desc("n"), "dim").limit(DIMS).collect()
+    lengths = large.groupBy("dim").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "dim").limit(DIMS).collect()
     out = {}
     for r in lengths:
-        wanted = max(2, min(PIVOTS, MOST_BLOCKS, r["n"] // r["size"]))
+        wanted = max(2, min(PIVOTS, r["n"] // PIVOT_ROWS))
         most = max(wanted, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * r["dim"])))
         rows = base.where(F.col("dim") == r["dim"]).join(large, [c for c in large.columns if c not in ("n", "size")], "left_semi")
         sample = rows.orderBy(F.xxhash64("id"), "id").limit(most).select("vec").toPandas()
         m = _units(sample["vec"])
         m = m[~np.isnan(m).any(1)]
         if len(m):
-            out[r["dim"]] = farthest_first(m, wanted)
+            out[r["dim"]] = centred(m, farthest_first(m, wanted))
     return out
 
 
 def blocks_that_meet(base: DataFrame, full: list[str], limit: float, block: int) -> DataFrame:
-    """Rows (full, id, vec, dim) in groups (full, i, j) of two blocks i <= j of a key, or one with itself (``side`` tells them apart), such that every pair
+    """Rows (full, id, vec) in groups (full, i, j) of two blocks i <= j of a key, or one with itself (``side`` tells them apart), such that every pair
     with a cosine distance up to ``limit`` is together in one group.
 
     Rows of keys beyond one block are dealt into cells by the nearest of some pivots, and cells into blocks by a hash. A block has ``block`` rows, or a
     share of 1 / MOST_BLOCKS of its key's (1 / COPIES where cells don't help), so that the copies of a row don't grow with the rows. Angles obey the triangle
     inequality: with D between two pivots, and the angles of the cells' rows to their own pivots from lo to hi, two rows are D - hi - hi' apart at least, and
-    lo - D - hi' (or the other way round). Cells that can't hold a pair under the limit never meet, whatever they hold; rows without a direction
-    are a cell that meets all.
+    lo - D - hi' (or the other way round). And the plane between two pivots keeps rows of their cells as far apart at least as the distances of both to it, so
+    a row of one cell goes to another only if its own distance and the other cell's least one leave room for a pair. Cells that can't hold a pair under the
+    limit never meet, whatever they hold; rows without a direction are a cell that meets all.
     """
-    base = base.withColumn("cell", F.lit(0).cast("long")).withColumn("angle", F.lit(None).cast("double"))
+    base = base.withColumn("cell", F.lit(0).cast("long")).withColumn("angle", F.lit(None).cast("double")).withColumn("margins", F.lit(None).cast("array<float>"))
     counts = base.groupBy(*full).agg(F.count("*").alias("n"))
     size = lambda blocks: F.greatest(F.lit(block), F.least(F.ceil(F.col("n") / blocks), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim"))))).cast("long")
     large = written(counts.where(F.col("n") > block).withColumn("size", size(MOST_BLOCKS)), "large-keys")
     if large.isEmpty():
         return base.select(*full, "id", "vec", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
     pivots = _pivots(base, large)
-    held = base.sparkSession.sparkContext.broadcast(pivots)  # DIMS * SAMPLE_BYTES at most
-
-    def place(batches):
-        for pdf in batches:
-            for dim, at in pdf.groupby("dim").groups.items():
-                if dim in held.value:
-                    u = _units(pdf.loc[at, "vec"])
-                    cos = u @ held.value[dim].T
-                    lost = np.isnan(cos).any(1)
-                    best = np.where(lost[:, None], 0.0, cos).argmax(1)
-                    pdf.loc[at, "cell"] = np.where(lost, -1, best)
-                    pdf.loc[at, "angle"] = np.where(lost, np.nan, np.arccos(np.clip(cos[np.arange(len(cos)), best], -1, 1)))
-            yield pdf
+    gaps = {dim: np.linalg.norm(m[:, None] - m[None], axis=2) for dim, m in pivots.items()}
+    held = base.sparkSession.sparkContext.broadcast((pivots, gaps))  # DIMS * SAMPLE_BYTES at most, and DIMS * PIVOTS ** 2 numbers
+
+    most = max(map(len, pivots.values()), default=0)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, gaps = held.value
+        for batch in batches:
+            dims, flat = batch.column("dim").to_numpy(), batch.column("vec").flatten().to_numpy(zero_copy_only=False)
+            cell, angle, margins, starts = np.zeros(len(dims), np.int64), np.full(len(dims), np.nan), np.full((len(dims), most), np.nan, np.float32), np.cumsum(dims) - dims
+            for dim in set(dims.tolist()) & set(pivots):
+                at = np.flatnonzero(dims == dim)
+                u = _units(flat[starts[at][:, None] + np.arange(dim)])
+                cos = u @ pivots[dim].T
+                lost = np.isnan(cos).any(1)
+                best = np.where(lost[:, None], 0.0, cos).argmax(1)
+                own, gap = cos[np.arange(len(cos)), best], gaps[dim][best]
+                cell[at], angle[at] = np.where(lost, -1, best), np.where(lost, np.nan, np.arccos(np.clip(own, -1, 1)))
+                margins[at, : len(gaps[dim])] = np.where(gap > SAME, (own[:, None] - cos) / np.maximum(gap, SAME), 0.0)
+            own = {"cell": pa.array(cell), "angle": pa.array(angle, from_pandas=True), "margins": pa.ListArray.from_arrays(pa.array(np.arange(len(dims) + 1) * most, pa.int32()), pa.array(margins.ravel(), from_pandas=True))}
+            yield pa.RecordBatch.from_arrays([own.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    moved = written(base.join(large, full, "left_semi").select(*base.columns).mapInPandas(place, schema).withColumn("angle", F.when(~F.isnan("angle"), F.col("angle"))), "placed")
+    moved = written(base.join(large, full, "left_semi").select(*base.columns).mapInArrow(place, schema), "placed")
     rest = base.join(large, full, "left_anti").select(*base.columns)
-    cells = moved.groupBy(*full, "cell").agg(F.count("*").alias("rows"), F.min("angle").alias("lo"), F.max("angle").alias("hi")).join(large, full)
-    cells = cells.select(*full, "cell", "rows", F.ceil(F.col("rows") / F.col("size")).cast("int").alias("subs"), "lo", "hi")
+    nearest = F.array(*[F.min(F.get("margins", F.lit(k))) for k in range(most)]).cast("array<double>")
+    cells = moved.groupBy(*full, "cell").agg(F.count("*").alias("rows"), F.min("angle").alias("lo"), F.max("angle").alias("hi"), nearest.alias("near")).join(large, full)
+    cells = cells.select(*full, "cell", F.ceil(F.col("rows") / F.col("size")).cast("int").alias("subs"), "lo", "hi", "near")
     cells = written(cells, "cells")  # PIVOTS + 1 a key at most
     apart = [(int(dim), p, q, float(np.arccos(np.clip(m[p] @ m[q], -1, 1)))) for dim, m in pivots.items() for p in range(len(m)) for q in range(len(m)) if p != q]
-    between = base.sparkSession.createDataFrame(apart, "dim int, cell long, other long, between double")
-    other = cells.select(*full, F.col("cell").alias("other"), F.col("subs").alias("other_subs"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"))
+    columns = pa.schema([("dim", pa.int32()), ("cell", pa.int64()), ("other", pa.int64()), ("between", pa.float64())])
+    between = base.sparkSession.createDataFrame(pa.Table.from_pylist([dict(zip(columns.names, x)) for x in apart], schema=columns))
+    other = cells.select(*full, F.col("cell").alias("other"), F.col("subs").alias("other_subs"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), F.col("near").alias("other_near"))
     met = cells.join(other, full).join(F.broadcast(between), ["dim", "cell", "other"], "left").withColumn("between", F.coalesce("between", F.lit(0.0)))
     reach = float(np.arccos(np.clip(1 - limit, -1, 1))) + SLACK
     least = F.greatest(F.col("between") - F.col("hi") - F.col("other_hi"), F.col("lo") - F.col("between") - F.col("other_hi"), F.col("other_lo") - F.col("between") - F.col("hi"))
-    no_bound = F.col("lo").isNull() | F.col("other_lo").isNull()
-    met = met.where((F.col("cell") == F.col("other")) | no_bound | (least <= reach) | F.lit(limit >= 2))
+    all_meet = (F.col("cell") == F.col("other")) | F.col("lo").isNull() | F.col("other_lo").isNull() | F.lit(limit >= 2)
+    # how far from the plane a row of the cell may be (null: anywhere)
+    room = F.when(~all_meet, F.lit(float(np.sqrt(max(0.0, 2 * limit))) + SLACK) - F.get("other_near", F.col("cell").cast("int")))
+    met = met.withColumn("room", room).where(all_meet | ((least <= reach) & (F.get("near", F.col("other").cast("int")) <= F.col("room"))))
+    met = met.groupBy(*full, "cell").agg(F.collect_list(F.struct("other", F.col("other_subs").alias("subs"), "room")).alias("others"), F.max("subs").alias("subs"))
     met = written(met, "met")  # the square of a key's cells at most
-    alike = met.groupBy(*full).agg(F.sum(F.col("rows") * F.col("other_subs")).alias("copies")).join(large, full).where(F.col("copies") > COPIES * F.col("n"))
-    alike = written(alike.select(*full, F.ceil(F.col("n") / size(COPIES)).cast("int").alias("subs")), "alike")
-    met = met.join(alike, full, "left_anti").groupBy(*full, "cell").agg(F.max("subs").alias("subs"), F.collect_list(F.struct("other", F.col("other_subs").alias("subs"))).alias("others"))
+    reached = F.filter("others", lambda o: o["room"].isNull() | (F.get("margins", o["other"].cast("int")) <= o["room"]))
+    sent = moved.select(*full, "cell", "margins").join(met, [*full, "cell"]).groupBy(*full).agg(F.sum(F.aggregate(reached, F.lit(0).cast("long"), lambda n, o: n + o["subs"])).alias("copies"))
+    alike = sent.join(large, full).withColumn("subs", F.ceil(F.col("n") / size(COPIES)).cast("int")).where(F.col("copies") > F.col("subs") * F.col("n"))
+    alike = written(alike.select(*full, "subs"), "alike")
+    met = met.join(alike, full, "left_anti")
     none = F.lit(0).cast("long")
-    met = met.unionByName(alike.select(*full, none.alias("cell"), "subs", F.array(F.struct(none.alias("other"), "subs")).alias("others")))
+    met = met.unionByName(alike.select(*full, none.alias("cell"), "subs", F.array(F.struct(none.alias("other"), "subs", F.lit(None).cast("double").alias("room"))).alias("others")))
     moved = moved.join(alike, full, "left").withColumn("cell", F.when(F.col("subs").isNotNull(), none).otherwise(F.col("cell"))).drop("subs")
     name = lambda cell, sub: cell * F.lit(1 << 32) + sub
-    # a cell can hold a third of all rows; the join deals it out in pieces
-    dealt = moved.hint("merge").join(met, [*full, "cell"]).withColumn("at", name(F.col("cell"), F.pmod(F.xxhash64("id"), F.col("subs"))))
-    dealt = dealt.withColumn("o", F.explode("others")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("o.subs") - 1))).withColumn("to", name(F.col("o.other"), F.col("to")))
+    # a cell can hold a third of all rows; where the cells are too many to broadcast, the join deals it out in pieces
+    dealt = moved.join(met, [*full, "cell"]).withColumn("at", name(F.col("cell"), F.pmod(F.xxhash64("id"), F.col("subs"))))
+    dealt = dealt.withColumn("o", F.explode(reached)).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("o.subs") - 1))).withColumn("to", name(F.col("o.other"), F.col("to")))
     dealt = dealt.select(*full, "id", "vec", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), (F.col("at") > F.col("to")).cast("int").alias("side"))
     return dealt.unionByName(rest.select(*full, "id", "vec", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side")))
 

@@ -86,3 +86,31 @@ def test_a_task_streams_its_blocks(spark, monkeypatch):
     assert len(got) == len(want) and set(got) == want
     links = [(r["a"], r["b"]) for r in S.cosine_pairs(df, 0.3, spanning={"": 0.3}).collect()]
     assert len(links) == len(v) - 5 and set(links) <= want
+
+
+@pytest.mark.parametrize("each", [40, 80])
+def test_planes_between_pivots_keep_spread_clusters_apart(spark, each):
+    """Clusters whose rows are as far from their pivots as a pair may be from each other: no row goes to more than a few blocks, and no pair is lost."""
+    rng = np.random.default_rng(12)
+    v = clustered(rng, 20, each, 64, 0.05)
+    v[:3] = [np.zeros(64), np.full(64, np.inf), np.eye(64)[0] * 1e-200]
+    kinds = ["human"] * len(v)
+    df = rows_of(spark, v, kinds)
+    base = df.withColumn("dim", F.size("vec"))
+    # those without a direction meet every block, so they are left out here
+    assert S.blocks_that_meet(base.where("id > 2"), ["kind", "dim"], 0.4, 16).count() <= 6 * len(v)
+    got = [(r["a"], r["b"]) for r in S.cosine_pairs(df.where("id <> 1"), 0.4, block=16).select("a", "b").collect()]
+    want = {(a, b) for a, b in brute(np.where(np.isinf(v), 0, v), kinds, 0.4, False) if 1 not in (a, b)}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_pivots_that_coincide_or_lie_outside_keep_all_pairs(spark, monkeypatch):
+    """Planes are bounds whatever the pivots are."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(200, 5))
+    m = rng.normal(size=(6, 5))
+    m[3] = m[2] * (1 + 1e-9)
+    monkeypatch.setattr(S, "_pivots", lambda base, large: {5: m / np.linalg.norm(m, axis=1, keepdims=True)})
+    got = [(r["a"], r["b"]) for r in S.cosine_pairs(rows_of(spark, v), 0.1, block=8).select("a", "b").collect()]
+    want = brute(v, ["human"] * len(v), 0.1, False)
+    assert len(got) == len(want) and set(got) == want
